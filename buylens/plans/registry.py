@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from buylens.sources import purchasing_tables
 
-GROUPS = ["rules", "validation"]
+GROUPS = ["rules", "validation", "graph"]
 
 
 def plans() -> dict[str, Callable]:

@@ -4,7 +4,7 @@ import importlib
 
 from oracle.adapter import with_adapter
 
-GROUPS = ["rules", "validation"]
+GROUPS = ["rules", "validation", "graph"]
 
 
 def oracle_sql() -> dict[str, str]:
