@@ -39,8 +39,8 @@ EDGES = {
     "CONTAINS_MATERIAL": ("po_line_item", "po_id", "material_id", ["po_id", "po_line_number"],
                           ["quantity", "unit_price", "net_value"]),
     "UNDER_CONTRACT": ("po_line_item", "po_id", "contract_id", ["po_id", "po_line_number"],
-                       ["contract_item_number"]),
-    "INVOICED_FOR": ("invoice_header", "invoice_id", "po_id", ["invoice_id"], ["invoice_date", "total_net_amount"]),
+                       ["unit_price"]),
+    "INVOICED_FOR": ("invoice_header", "invoice_id", "po_id", ["invoice_id"], ["total_net_amount", "match_status"]),
     "RECEIVED_FOR": ("gr_header", "gr_id", "po_id", ["gr_id"], ["gr_date", "status"]),
     "PAYS": ("payment_invoice_link", "payment_id", "invoice_id", ["payment_id", "invoice_id"], ["amount_applied"]),
     "BELONGS_TO_CATEGORY": ("material_master", "material_id", "category_id", ["material_id"], []),

@@ -20,8 +20,8 @@ EDGE = {
     "contains_material": ("po_line_item", "po_id", "material_id", "po_line_number", "po_id, po_line_number",
                           ", quantity, unit_price, net_value", ""),
     "under_contract": ("po_line_item", "po_id", "contract_id", "po_line_number", "po_id, po_line_number",
-                       ", contract_item_number", "WHERE contract_id IS NOT NULL"),
-    "invoiced_for": ("invoice_header", "invoice_id", "po_id", "", "invoice_id", ", invoice_date, total_net_amount", ""),
+                       ", unit_price", "WHERE contract_id IS NOT NULL"),
+    "invoiced_for": ("invoice_header", "invoice_id", "po_id", "", "invoice_id", ", total_net_amount, match_status", ""),
     "received_for": ("gr_header", "gr_id", "po_id", "", "gr_id", ", gr_date, status", ""),
     "pays": ("payment_invoice_link", "payment_id", "invoice_id", "", "payment_id, invoice_id", ", amount_applied", ""),
     "belongs_to_category": ("material_master", "material_id", "category_id", "", "material_id", "", ""),
