@@ -84,7 +84,7 @@ FROM payment JOIN payment_invoice_link USING (payment_id) JOIN invoice_header i
     "f05_price_benchmarks": f"WITH {BENCH} SELECT * REPLACE (round(p_std_unit_price, 4) AS p_std_unit_price) FROM pb",
     "f05b_price_trend": """WITH l AS (SELECT material_id, vendor_id, po_date, unit_price FROM po_line_item JOIN po_header USING (po_id)),
 g AS (SELECT material_id, vendor_id, sum(unit_price)::DOUBLE / count(*) AS a, coalesce(stddev_samp(unit_price::DOUBLE), 0) AS s,
-    regr_slope(unit_price::DOUBLE, (po_date - DATE '1970-01-01')::DOUBLE) AS k,
+    CASE WHEN count(DISTINCT po_date) > 1 THEN regr_slope(unit_price::DOUBLE, (po_date - DATE '1970-01-01')::DOUBLE) END AS k,
     min(unit_price) FILTER (po_date BETWEEN DATE '2001-05-31' AND DATE '2001-06-30') AS lo,
     max(unit_price) FILTER (po_date BETWEEN DATE '2001-05-31' AND DATE '2001-06-30') AS hi FROM l GROUP BY 1, 2),
 c AS (SELECT vendor_id, material_id, min(agreed_price) AS p FROM contract_item JOIN contract_header USING (contract_id) GROUP BY 1, 2)
