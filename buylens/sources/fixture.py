@@ -54,6 +54,7 @@ class PurchasingTables:
         tag = hashlib.sha1(f"{spark.sparkContext.applicationId}{self.source_dir}".encode()).hexdigest()[:12]
         self.folder = f"{folder}/purchasing-{tag}" if folder else None
         self._frames: dict[str, DataFrame] = {}
+        self.kept: set[str] = set()  # derived tables written beside the others
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.source_dir}/{name}.parquet")
