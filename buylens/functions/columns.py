@@ -110,15 +110,6 @@ def day_number(c: str | Column) -> Column:
     return F.unix_date(col(c))
 
 
-def stddev_exact(n: Column, total: Column, squares: Column) -> Column:
-    """Sample deviation from additive parts; NULL below two rows.
-
-    With integer parts the result does not depend on the order of additions.
-    """
-    n, total, squares = n.cast("double"), total.cast("double"), squares.cast("double")
-    return F.when(n > 1, F.sqrt(F.greatest(F.try_divide(squares - total * total / n, n - 1), F.lit(0.0))))
-
-
 def one_hot(c: str | Column, domain: list[str], prefix: str) -> list[Column]:
     """Indicator columns over a fixed domain, so train and serve agree."""
     return [flag(col(c) == value).alias(f"{prefix}_{value.lower()}") for value in domain]

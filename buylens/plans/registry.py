@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from buylens.sources import purchasing_tables
 
-GROUPS = ["rules", "validation", "graph", "analytics", "features", "usecases", "ml"]
+GROUPS = ["rules", "validation", "graph", "analytics", "features", "usecases", "ml", "streaming"]
 
 
 def plans() -> dict[str, Callable]:

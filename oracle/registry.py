@@ -4,7 +4,7 @@ import importlib
 
 from oracle.adapter import with_adapter
 
-GROUPS = ["rules", "validation", "graph", "analytics", "features", "usecases", "ml"]
+GROUPS = ["rules", "validation", "graph", "analytics", "features", "usecases", "ml", "streaming"]
 
 
 def oracle_sql() -> dict[str, str]:
