@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buylens.functions.columns import day_number, mean, ratio
+from buylens.functions.columns import mean, ratio, slope
 
 
 def _contract_price(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def price_trend(po_lines: DataFrame, po_headers: DataFrame, materials: DataFrame
     price = F.col("unit_price").cast("double")
     pairs = lines.groupBy("material_id", "vendor_id").agg(
         mean("unit_price").alias("p_avg_unit_price"), F.coalesce(F.stddev_samp(price), F.lit(0.0)).alias("p_std_unit_price"),
-        F.regr_slope(price, day_number("po_date")).alias("p_price_trend_slope"),
+        (slope((F.col("unit_price") * 100).cast("bigint"), F.datediff("po_date", day)) / 100).alias("p_price_trend_slope"),
         F.min(F.when(recent, F.col("unit_price"))).alias("p_min_price_30d"), F.max(F.when(recent, F.col("unit_price"))).alias("p_max_price_30d"))
     agreed = _contract_price(items.join(contract_headers.select("contract_id", "vendor_id"), "contract_id"), ["material_id", "vendor_id"])
     return pairs.join(materials.select("material_id", "standard_cost"), "material_id").join(agreed, ["material_id", "vendor_id"], "left").select(

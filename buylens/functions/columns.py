@@ -106,8 +106,15 @@ def add_business_days(day: str | Column, n: int) -> Column:
     return F.date_sub(start, back + 2 * F.floor((4 - weekday + back) / 5).cast("int"))
 
 
-def day_number(c: str | Column) -> Column:
-    return F.unix_date(col(c))
+def slope(y: Column, x: Column) -> Column:
+    """Regression slope of integer ``y`` on integer ``x`` from exact sums; NULL for a single x.
+
+    Unlike a floating-point accumulation it does not depend on the order of the rows.
+    """
+    known = y.isNotNull() & x.isNotNull()
+    n, sx, sy, sxy, sxx = (F.sum(F.when(known, v).cast("decimal(20,0)")).cast("double")
+                           for v in (F.lit(1), x, y, x.cast("bigint") * y, x.cast("bigint") * x))
+    return F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
 
 
 def one_hot(c: str | Column, domain: list[str], prefix: str) -> list[Column]:

@@ -42,7 +42,7 @@ QUERIES = {
     "f05_price_benchmarks": lambda t: rounded(benchmarks(t), "p_std_unit_price", places=4),
     "f05b_price_trend": lambda t: rounded(price.price_trend(
         t["po_line_item"], t["po_header"], t["material_master"], t["contract_header"], t["contract_item"], AS_OF),
-        "p_std_unit_price", "p_price_trend_slope", places=4),
+        "p_std_unit_price", places=4),
     "f06_material_risk": lambda t: rounded(groups.material_risk(
         t["material_master"], t["source_list"], t["contract_header"], t["contract_item"]), "m_standard_cost_log"),
     "f07_contract_status": lambda t: rounded(groups.contract_status(t["contract_header"], t["contract_item"], AS_OF),

@@ -28,23 +28,18 @@ def predicted(t):
         F.floor(F.col("total_net_amount") % 4).cast("int").alias("prediction"))
 
 
-def matrix(t, features=None):
-    return im.feature_columns(im.uc02_table(t), features=features or im.FEATURES)
+def kept(t, target="target_binary"):
+    """The feature matrix written once, since training reads it many times."""
+    name = f"uc02_matrix_{target}"
+    if name not in t.kept:
+        im.feature_columns(im.uc02_table(t), target).write.mode("overwrite").parquet(f"{t.folder}/{name}")
+        t.kept.add(name)
+    return t.spark.read.parquet(f"{t.folder}/{name}")
 
 
 def folded(t, k):
-    m = matrix(t, FEW)
-    m = m.withColumn("key", F.concat_ws("/", "invoice_id", F.col("invoice_line_number").cast("string")))
-    return splits.stratified_folds(m, "label", "key", k)
-
-
-def kept(t):
-    """The feature matrix written once, since training reads it many times."""
-    path = f"{t.folder}/uc02_matrix"
-    if "uc02_matrix" not in t.kept:
-        matrix(t).write.mode("overwrite").parquet(path)
-        t.kept.add("uc02_matrix")
-    return t.spark.read.parquet(path)
+    m = kept(t).withColumn("key", F.concat_ws("/", "invoice_id", F.col("invoice_line_number").cast("string")))
+    return splits.stratified_folds(m.select("invoice_id", "invoice_line_number", "key", "label", *FEW), "label", "key", k)
 
 
 def lines_scored(model, df):
@@ -69,8 +64,7 @@ QUERIES = {
         scored(t).withColumn("fold", F.month("invoice_date") % 3), by="fold"), *metrics.METRICS),
     "m07_metrics_summary": lambda t: rounded(metrics.metrics_summary(metrics.binary_metrics(
         scored(t).withColumn("fold", F.month("invoice_date") % 3), by="fold")), "mean", "std"),
-    "m08_fit_multiclass": lambda t: models.predictions(models.fit_multiclass(
-        im.feature_columns(im.uc02_table(t), "target_multiclass", FEW), FEW), im.feature_columns(im.uc02_table(t), "target_multiclass", FEW)).select(
+    "m08_fit_multiclass": lambda t: models.predictions(models.fit_multiclass(kept(t, "target_multiclass"), FEW), kept(t, "target_multiclass")).select(
         "invoice_id", "invoice_line_number", "label", "prediction"),
     "m09_compare_and_fit": lambda t: models.compare_and_fit(
         {"logistic": models.logistic(FEW), "forest": models.forest(FEW, 10, 5)}, folded(t, 2), 2, f"{t.folder}/best_model", FEW).table,

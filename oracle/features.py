@@ -84,12 +84,14 @@ FROM payment JOIN payment_invoice_link USING (payment_id) JOIN invoice_header i
     "f05_price_benchmarks": f"WITH {BENCH} SELECT * REPLACE (round(p_std_unit_price, 4) AS p_std_unit_price) FROM pb",
     "f05b_price_trend": """WITH l AS (SELECT material_id, vendor_id, po_date, unit_price FROM po_line_item JOIN po_header USING (po_id)),
 g AS (SELECT material_id, vendor_id, sum(unit_price)::DOUBLE / count(*) AS a, coalesce(stddev_samp(unit_price::DOUBLE), 0) AS s,
-    CASE WHEN count(DISTINCT po_date) > 1 THEN regr_slope(unit_price::DOUBLE, (po_date - DATE '1970-01-01')::DOUBLE) END AS k,
+    CASE WHEN count(DISTINCT po_date) > 1 THEN (count(*)::DOUBLE * sum((po_date - DATE '2001-06-30') * (unit_price * 100)::BIGINT)::DOUBLE
+      - sum(po_date - DATE '2001-06-30')::DOUBLE * sum((unit_price * 100)::BIGINT)::DOUBLE) / (count(*)::DOUBLE * sum((po_date - DATE '2001-06-30')
+      * (po_date - DATE '2001-06-30'))::DOUBLE - sum(po_date - DATE '2001-06-30')::DOUBLE * sum(po_date - DATE '2001-06-30')::DOUBLE) / 100 END AS k,
     min(unit_price) FILTER (po_date BETWEEN DATE '2001-05-31' AND DATE '2001-06-30') AS lo,
     max(unit_price) FILTER (po_date BETWEEN DATE '2001-05-31' AND DATE '2001-06-30') AS hi FROM l GROUP BY 1, 2),
 c AS (SELECT vendor_id, material_id, min(agreed_price) AS p FROM contract_item JOIN contract_header USING (contract_id) GROUP BY 1, 2)
 SELECT g.material_id, g.vendor_id, a AS p_avg_unit_price, round(s, 4) AS p_std_unit_price, a / standard_cost::DOUBLE AS p_price_to_standard_ratio,
-  p AS p_contract_price, a / p::DOUBLE AS p_price_vs_contract, round(k, 4) AS p_price_trend_slope, lo AS p_min_price_30d, hi AS p_max_price_30d
+  p AS p_contract_price, a / p::DOUBLE AS p_price_vs_contract, k AS p_price_trend_slope, lo AS p_min_price_30d, hi AS p_max_price_30d
 FROM g JOIN material_master m ON m.material_id = g.material_id LEFT JOIN c ON c.vendor_id = g.vendor_id AND c.material_id = g.material_id""",
     "f06_material_risk": """WITH n AS (SELECT material_id, plant_id, count(DISTINCT vendor_id) AS n FROM source_list GROUP BY 1, 2),
 s AS (SELECT material_id, max(n) AS hi, min(n) AS lo FROM n GROUP BY 1)

@@ -20,7 +20,9 @@ def main(sf: str, parts: list[str]) -> int:
             df = run(spark, sf_dir)
             note = compare(df, con, twins[name]) if name in twins else f"no twin, {df.count()} rows"
         except Exception as error:  # report and go on with the next query
-            note = f"ERROR {type(error).__name__} {str(error)[:700]}"
+            text = str(error)
+            cause = text.rfind("Caused by")
+            note = f"ERROR {type(error).__name__} {text[:500]} ... {text[cause:cause + 600] if cause > 0 else ''}"
         bad += bool(note) and not str(note).startswith("no twin")
         print(f"{'ok  ' if not note else '    '}{name} {time.time() - start:.1f}s {note or ''}", flush=True)
     print("differences:", bad)
