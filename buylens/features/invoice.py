@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from buylens.functions.columns import flag, ratio, share
 
-FULL = F.col("match_status") == "FULL_MATCH"
-PRICE = F.col("match_status").isin("PRICE_VARIANCE", "BOTH_VARIANCE")
-QUANTITY = F.col("match_status").isin("QUANTITY_VARIANCE", "BOTH_VARIANCE")
 RATES = ["v_invoice_match_rate", "v_price_variance_rate", "v_qty_variance_rate", "v_avg_price_variance_pct"]
 
 
+def full_match() -> Column:
+    return F.col("match_status") == "FULL_MATCH"
+
+
+def price_varies() -> Column:
+    return F.col("match_status").isin("PRICE_VARIANCE", "BOTH_VARIANCE")
+
+
+def quantity_varies() -> Column:
+    return F.col("match_status").isin("QUANTITY_VARIANCE", "BOTH_VARIANCE")
+
+
 def _variance_pct() -> Column:
     return F.when(F.col("unit_price_invoiced") > 0, ratio(F.abs("price_variance"), F.col("unit_price_invoiced"))).otherwise(0.0)
 
@@ -22,7 +31,7 @@ def invoice_behavior(invoices: DataFrame, lines: DataFrame, grain: str = "header
 
     ``header`` counts each invoice once; ``line`` weights it by its number of lines.
     """
-    rates = [share(FULL).alias(RATES[0]), share(PRICE).alias(RATES[1]), share(QUANTITY).alias(RATES[2]),
+    rates = [share(full_match()).alias(RATES[0]), share(price_varies()).alias(RATES[1]), share(quantity_varies()).alias(RATES[2]),
              share(F.col("payment_block")).alias("v_payment_block_rate")]
     pct = lines.select("invoice_id", _variance_pct().alias("pct"))
     if grain == "line":
@@ -42,8 +51,8 @@ def invoice_behavior_loo(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     invoice. An only invoice gets the mean of all vendors' rates.
     """
     own_lines = lines.groupBy("invoice_id").agg(F.sum(_variance_pct()).alias("pct"), F.count(F.lit(1)).alias("lines"))
-    own = invoices.select("invoice_id", "vendor_id", flag(FULL).alias("full"), flag(PRICE).alias("price"),
-                          flag(QUANTITY).alias("quantity")).join(own_lines, "invoice_id", "left").na.fill(0, ["lines"]).na.fill(0.0, ["pct"])
+    own = invoices.select("invoice_id", "vendor_id", flag(full_match()).alias("full"), flag(price_varies()).alias("price"),
+                          flag(quantity_varies()).alias("quantity")).join(own_lines, "invoice_id", "left").na.fill(0, ["lines"]).na.fill(0.0, ["pct"])
     parts = ["full", "price", "quantity", "pct", "lines"]
     totals = own.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t_{c}") for c in parts])
     pct_all = F.coalesce(ratio(F.col("t_pct"), F.col("t_lines")), F.lit(0.0))

@@ -55,18 +55,23 @@ def rate_by(df: DataFrame, key: str, condition: Column, min_n: int = 1) -> DataF
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), share(condition).alias("rate")).filter(F.col("n") >= min_n)
 
 
+LARGE_GROUP = 100_000  # distinct values that one task may well sort
+
+
 def group_quantiles(df: DataFrame, by: list[str], x: str, probabilities: dict[str, float], pieces: int = 64) -> DataFrame:
     """Exact quantiles per group with linear interpolation, and the group's row count ``n``.
 
-    Equal values are merged first. Approximate cut points then split each group into
-    pieces, so a group with a third of all rows is ranked by many tasks; ranks are exact
-    whatever the cuts.
+    Equal values are merged first. A group with very many values is split into pieces at
+    approximate cut points, so many tasks rank it; ranks are exact whatever the cuts.
     """
     values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    total = values.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("_values"))
+    large = total.filter(F.col("_values") > LARGE_GROUP).select(*by)
     steps = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = df.filter(F.col(x).isNotNull()).groupBy(*by).agg(F.percentile_approx(F.col(x), steps, 2000).alias("cuts"))
-    total = values.groupBy(*by).agg(F.sum("c").alias("n"))
-    placed = values.join(cuts, by).withColumn("piece", F.size(F.filter("cuts", lambda cut: cut < F.col("x")))).drop("cuts")
+    cuts = values.join(large, by, "left_semi").groupBy(*by).agg(F.percentile_approx(F.col("x"), steps, 2000).alias("cuts"))
+    total = total.drop("_values")
+    placed = values.join(cuts, by, "left").withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(
+        F.size(F.filter("cuts", lambda cut: cut < F.col("x"))))).drop("cuts")
     sizes = placed.groupBy(*by, "piece").agg(F.sum("c").alias("s"))
     before = W.partitionBy(*by).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # at most `pieces` rows
     offsets = sizes.select(*by, "piece", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))

@@ -347,18 +347,20 @@ CHECKS: dict[str, Check] = dict([
 def run_checks(t: Tables, checks: Iterable[Check], keep: int = 10) -> DataFrame:
     """One result row per check: count of violations and the first ``keep`` details."""
     checks = list(checks)
-    found = reduce(DataFrame.unionByName, [c.findings(t).withColumn("check_name", F.lit(c.name)) for c in checks])
-    counts = found.groupBy("check_name").agg(F.count_if("bad").alias("n"))
+    named = [c.findings(t).select(F.lit(c.name).alias("check_name"), F.lit(c.severity).alias("severity"), F.lit(c.text).alias("text"),
+                                  "detail", "bad") for c in checks]
+    found = reduce(DataFrame.unionByName, named)
+    # One empty finding per check, so a check without findings has a row as well.
+    catalog = found.sparkSession.createDataFrame([(c.name, c.severity, c.text, None, False) for c in checks], found.schema)
+    counts = found.unionByName(catalog).groupBy("check_name", "severity", "text").agg(F.count_if("bad").alias("n")).withColumn(
+        "d", F.lit(None).cast("array<struct<rn:int,detail:string>>"))
     # The rank filter is applied per task before the shuffle, so at most ten rows per check and task move.
-    order = W.partitionBy("check_name").orderBy(F.col("bad").desc(), "detail")
-    first = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep).groupBy("check_name").agg(
-        F.sort_array(F.collect_list(F.struct("rn", "detail"))).alias("d"))
-    catalog = found.sparkSession.createDataFrame([(c.name, c.severity, c.text) for c in checks],
-                                                 "check_name string, severity string, text string")
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return catalog.join(counts, "check_name", "left").join(first, "check_name", "left").select(
-        "check_name", "severity", (n == 0).alias("passed"), n.alias("violation_count"),
-        F.concat_ws(" ", n.cast("string"), "text").alias("message"),
+    order = W.partitionBy("check_name", "severity", "text").orderBy(F.col("bad").desc(), "detail")
+    first = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep).groupBy("check_name", "severity", "text").agg(
+        F.lit(None).cast("bigint").alias("n"), F.sort_array(F.collect_list(F.struct("rn", "detail"))).alias("d"))
+    n = F.col("n")
+    return counts.unionByName(first).groupBy("check_name", "severity", "text").agg(F.max("n").alias("n"), F.max("d").alias("d")).select(
+        "check_name", "severity", (n == 0).alias("passed"), n.alias("violation_count"), F.concat_ws(" ", n.cast("string"), "text").alias("message"),
         F.coalesce(F.transform("d", lambda x: x["detail"]), F.array().cast("array<string>")).alias("details"))
 
 

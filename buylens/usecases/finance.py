@@ -31,7 +31,7 @@ def uc06_features(t: Tables, as_of: str) -> DataFrame:
         F.max("c_days_to_expiry").alias("uc06_days_to_expiry"), F.max("c_is_active").alias("c_is_active"),
         F.avg("c_consumption_pct").alias("c_consumption_pct"), F.max("c_months_active").alias("c_months_active"))
     perf = vendor.performance_from_parts(vendor.performance_parts(t["po_header"], t["po_line_item"], t["gr_line_item"]))
-    matched = t["invoice_header"].groupBy("vendor_id").agg(share(invoice.FULL).alias("match_rate"))
+    matched = t["invoice_header"].groupBy("vendor_id").agg(share(invoice.full_match()).alias("match_rate"))
     score = (F.coalesce("v_on_time_delivery_actual", F.lit(0.5)) * 100 + F.col("quality_score") + F.coalesce("match_rate", F.lit(0.0)) * 100) / 3
     scores = t["vendor_master"].select("vendor_id", "quality_score").join(perf, "vendor_id", "left").join(matched, "vendor_id", "left").select(
         "vendor_id", score.alias("uc06_vendor_performance_score"))
@@ -124,10 +124,18 @@ def number_variants(invoices: DataFrame) -> DataFrame:
     return invoices.select("invoice_id", "invoice_date", "vendor_id", F.explode(cut).alias("variant"))
 
 
+def number_links(invoices: DataFrame, days: int = 30) -> DataFrame:
+    """Links between invoices of a vendor whose numbers differ in one character."""
+    variants = number_variants(invoices).withColumn("h", F.xxhash64("vendor_id", "variant"))
+    # Almost every variant occurs once. A count per hash sets those aside cheaply; the links
+    # are made on the variants themselves, so a chance collision does no harm.
+    repeated = variants.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    return duplicate_links(variants.join(repeated, "h", "left_semi"), days, ("vendor_id", "variant"))
+
+
 def candidate_links(invoices: DataFrame, days: int = 30) -> DataFrame:
     """Invoices linked by amount, order or a number one character apart, each to its predecessor."""
-    links = [duplicate_links(invoices, days), duplicate_links(invoices, days, ("vendor_id", "po_id")),
-             duplicate_links(number_variants(invoices), days, ("vendor_id", "variant"))]
+    links = [duplicate_links(invoices, days), duplicate_links(invoices, days, ("vendor_id", "po_id")), number_links(invoices, days)]
     return reduce(DataFrame.unionByName, [x.select("first_invoice_id", "invoice_id") for x in links]).distinct()
 
 

@@ -39,8 +39,11 @@ def drop_leakage(df: DataFrame) -> DataFrame:
     return df.drop(*LEAKAGE)
 
 
-def uc02_base(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
-    """One row per invoice line with its documents; nothing that gives the outcome away."""
+def uc02_base(t: Tables, invoice_ids: DataFrame | None = None, per_material: DataFrame | None = None) -> DataFrame:
+    """One row per invoice line with its documents; nothing that gives the outcome away.
+
+    ``per_material`` adds its columns along with the material's own.
+    """
     heads, lines = t["invoice_header"], t["invoice_line_item"]
     if invoice_ids is not None:
         heads = heads.join(invoice_ids, "invoice_id", "left_semi")
@@ -58,6 +61,8 @@ def uc02_base(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
     materials = t["material_master"].select(
         "material_id", "material_type", "category_id", "standard_cost", "criticality", "hazmat_flag", "default_lead_time_days",
         "make_or_buy", F.col("confidentiality_tier").alias("material_confidentiality"))
+    if per_material is not None:
+        materials = materials.join(per_material, "material_id", "left")
     agreed = t["contract_item"].select(
         "contract_id", F.col("item_number").alias("contract_item_number"), F.col("agreed_price").alias("contract_agreed_price"))
     contracts = t["contract_header"].select("contract_id", "contract_type", F.col("valid_from").alias("contract_valid_from"),
@@ -114,27 +119,23 @@ def uc02_table(t: Tables, leave_one_out: bool = True, invoice_ids: DataFrame | N
     """All features and labels. Training leaves the own invoice out of the vendor's rates,
     serving does not; both give the same columns. The vendor and material history always
     covers all rows, also when only some invoices are asked for."""
-    df = match_labels(uc02_features(temporal_features(uc02_base(t, invoice_ids))))
+    prices = price.price_stats(t["po_line_item"], ["material_id"]).join(
+        t["contract_item"].groupBy("material_id").agg(F.min("agreed_price").alias("p_contract_price")), "material_id", "left")
+    df = match_labels(uc02_features(temporal_features(uc02_base(t, invoice_ids, prices)))).withColumn(
+        "p_price_to_standard_ratio", ratio(F.col("po_unit_price"), F.col("standard_cost")))
     per_vendor = (vendor.vendor_profile(t["vendor_master"], t["vendor_category"])
                   .join(vendor.vendor_scores(t["vendor_master"]), "vendor_id")
                   .join(vendor.vendor_performance(t["po_header"], t["po_line_item"], t["gr_line_item"]), "vendor_id", "left"))
-    if not leave_one_out:
+    # What belongs to the invoice line is put together on narrow rows; the wide rows move once for it.
+    per_line = vendor_invoice_seq(t["invoice_header"].select("invoice_id", "vendor_id", "invoice_date").join(
+        t["invoice_line_item"].select("invoice_id", "invoice_line_number"), "invoice_id")).drop("vendor_id", "invoice_date")
+    if leave_one_out:
+        per_line = per_line.join(invoice.invoice_behavior_loo(t["invoice_header"], t["invoice_line_item"]), "invoice_id", "left")
+    else:
         behavior = invoice.invoice_behavior(t["invoice_header"], t["invoice_line_item"]).select(
             "vendor_id", *[F.col(r).alias(f"{r}_loo") for r in invoice.RATES])
         per_vendor = per_vendor.join(behavior, "vendor_id", "left")
-    df = df.join(per_vendor, "vendor_id", "left")
-    if leave_one_out:
-        df = df.join(invoice.invoice_behavior_loo(t["invoice_header"], t["invoice_line_item"]), "invoice_id", "left")
-    prices = price.price_stats(t["po_line_item"], ["material_id"]).join(
-        t["contract_item"].groupBy("material_id").agg(F.min("agreed_price").alias("p_contract_price")), "material_id", "left")
-    df = df.join(prices, "material_id", "left").withColumn(
-        "p_price_to_standard_ratio", ratio(F.col("po_unit_price"), F.col("standard_cost")))
-    if invoice_ids is None:
-        return vendor_invoice_seq(df)
-    # The sequence counts lines that were not asked for as well.
-    numbered = vendor_invoice_seq(t["invoice_header"].select("invoice_id", "vendor_id", "invoice_date").join(
-        t["invoice_line_item"].select("invoice_id", "invoice_line_number"), "invoice_id"))
-    return df.join(numbered.select("invoice_id", "invoice_line_number", "uc02_vendor_invoice_seq"), ["invoice_id", "invoice_line_number"])
+    return df.join(per_line, ["invoice_id", "invoice_line_number"]).join(per_vendor, "vendor_id", "left")
 
 
 def feature_columns(df: DataFrame, target: str = "target_binary", features: list[str] = FEATURES) -> DataFrame:

@@ -151,7 +151,7 @@ def vendor_trend(t: Tables, metric: str = "rejection_rate", by_reason: bool = Fa
         values = rows.groupBy(*keys).agg(share(F.col("actual_delivery_date") > F.col("requested_delivery_date")).alias("value"))
     elif metric == "price_variance":
         rows = t["invoice_header"].withColumn("quarter", F.trunc("invoice_date", "quarter"))
-        values = rows.groupBy(*keys).agg(share(invoice.PRICE).alias("value"))
+        values = rows.groupBy(*keys).agg(share(invoice.price_varies()).alias("value"))
     else:
         raise ValueError(f"unknown metric {metric!r}")
     keep = ["vendor_id"] + (["rejection_reason"] if by_reason and metric == "rejection_rate" else [])
