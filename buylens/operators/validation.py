@@ -351,7 +351,8 @@ def run_checks(t: Tables, checks: Iterable[Check], keep: int = 10) -> DataFrame:
                                   "detail", "bad") for c in checks]
     found = reduce(DataFrame.unionByName, named)
     # One empty finding per check, so a check without findings has a row as well.
-    catalog = found.sparkSession.createDataFrame([(c.name, c.severity, c.text, None, False) for c in checks], found.schema)
+    catalog = found.sparkSession.createDataFrame([(c.name, c.severity, c.text, None, False) for c in checks],
+                                                 "check_name string, severity string, text string, detail string, bad boolean")
     counts = found.unionByName(catalog).groupBy("check_name", "severity", "text").agg(F.count_if("bad").alias("n")).withColumn(
         "d", F.lit(None).cast("array<struct<rn:int,detail:string>>"))
     # The rank filter is applied per task before the shuffle, so at most ten rows per check and task move.
