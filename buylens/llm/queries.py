@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, quality
+from . import decontamination, jaccard, packing, quality, rans, secrets
 from .shared import reachable
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,5 +36,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        "ratio", "chunk_min", "chunk_max")
 
 
+def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_crc(packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("secrets")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_ngram_jaccard, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op3_ngram_jaccard, op5_quality_rules, op7_rans, op8_packing, op10_secrets)}
