@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles, held as 64-bit hashes; equal sets are one class, and a class is
 named by the hash of its set. The join of classes runs in these steps:
 
-1. Groups. Classes that share one of a few min-hashes are compared with one leader of that bucket only; those that link with
-   it form star-shaped groups, so a cluster of thousands becomes one group in linear work. Min-hashing only forms groups; it decides nothing.
+1. Groups. Classes that share one of a few min-hashes are sorted by them and compared with near ones; what links forms groups, so a cluster of
+   thousands becomes a few groups in linear work. Min-hashing only forms groups; it decides nothing.
 2. Matrix. Two sets that are similar enough share a token among their first ``n - ceil(t n) + 1`` tokens in any common order. The order puts
    tokens that many documents have last. Each group stores the union of its members' first tokens once, with its range of set sizes.
 3. Bound. For each two groups with common tokens the largest overlap that any of their members can have is bound by that count and the sizes.
@@ -16,6 +16,7 @@ The order of tokens and the choice of groups change the work, never the result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from .components import components
 from .shared import stored
 
 WIDTH, PERCENT = 5, 80
-KEYS = 4
+#: Min-hashes of a set; how many of them sort the classes; how many classes before it each one is compared with.
+KEYS, ORDERS, NEAR = 8, 3, 32
 #: Entries at most of the table of frequent tokens that is broadcast; tokens beyond it are taken as rare, which costs time only.
 ORDER_LIMIT = 1_000_000
 #: Hashes that a task gathers before it counts them.
@@ -169,25 +171,46 @@ def _tokens(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint64)
 
 
-def star_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): classes that link with the leader of one of their min-hash buckets, verified on whole sets."""
-    keys = classes.select("node", "n", "rep", F.posexplode("keys").alias("k", "key"))
-    leaders = stored(keys.groupBy("k", "key").agg(F.min(F.struct("node", "n", "rep")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-                     .select("k", "key", "lead"), "leaders")
-    pairs = keys.join(leaders, ["k", "key"]).where(
-        (F.col("node") != F.col("lead.node")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    pairs = stored(pairs.select(F.col("node").alias("u"), "rep", F.col("lead.node").alias("v"), F.col("lead.rep").alias("lead_rep")).distinct(), "pairs")
-    wanted = pairs.select(F.col("u").alias("node"), "rep").union(pairs.select("v", "lead_rep")).distinct()
-    sets = sets_of(docs, stored(wanted, "wanted"), width)
-    both = pairs.select("u", "v").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v").join(
-        sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").select("u", "v", "a", "b")
+def group_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): verified links between classes that lie close to each other when sorted by their min-hashes.
+
+    Classes with a min-hash in common are sorted by it and by further ones, once for each of the first ORDERS min-hashes. Each is compared with the first
+    of its bucket and with the NEAR classes before it, unless links already lead there. The work is linear, and a bucket of any size is dealt out by range.
+    """
+    firsts = classes.select("node", "rep", F.posexplode(F.slice("keys", 1, ORDERS)).alias("k", "key"))
+    buckets = stored(firsts.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k", "key"), "buckets")
+    near = stored(firsts.join(buckets, ["k", "key"]).groupBy("node", "rep").agg(F.collect_list("k").alias("orders")), "near")
+    sets = sets_of(docs, near, width)
+    turned = [F.expr(f"keys[(k + {i}) % {KEYS}]").alias(f"key{i}") for i in range(4)]
+    rows = near.join(classes.select("node", "keys"), "node").join(sets, "node").withColumn("k", F.explode("orders")).select("k", *turned, "node", "tokens")
+    order = ["k", *(f"key{i}" for i in range(4)), "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        bucket, first, window, parent = None, None, deque(maxlen=NEAR), {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         for batch in batches:
-            fits = [linked(_tokens(a.as_py()), _tokens(b.as_py()), percent) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+            found = []
+            for k, key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "key0", "node", "tokens")), strict=True):
+                own = _tokens(raw)
+                if (k, key) != bucket:
+                    bucket, first, parent = (k, key), (node, own), {}
+                    window.clear()
+                parent[node] = node
+                for other, tokens in (*reversed(window), first):
+                    if root(other) != root(node) and linked(own, tokens, percent):
+                        found.append((node, other))
+                        parent[root(node)] = root(other)
+                window.append((node, own))
+            yield tx.rows_to_batch(found, schema)
 
-    return stored(both.mapInArrow(run, "u bigint, v bigint"), "links")
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u bigint, v bigint"), "links")
 
 
 def group_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +330,7 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     rows = stored(features(docs, frequent(docs, width), width, percent), "features")
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
                                                             F.first("prefix").alias("prefix")), "classes")
-    stars = star_links(docs, classes.drop("prefix"), width, percent)
+    stars = group_links(docs, classes.drop("prefix"), width, percent)
     grouped = classes.drop("keys").join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
     pairs = stored(group_pairs(grouped, percent), "group_pairs")
     more = opened_links(docs, grouped, pairs, width, percent)
