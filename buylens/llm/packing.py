@@ -173,15 +173,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(path), TaskContext.get().partitionId()
-        ranks, end = defaultdict(int), np.array([end_id], dtype="<u4").tobytes()
+        ranks, end = defaultdict(int), np.array([end_id], dtype="<u4")
         for batch in tx.small_batches(batches):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text")), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at:at + 4 * capacity]
-                    length = len(own) // 4
-                    rows.append((doc, k, at // 4, length, own, part, ranks[length]))
+            for doc, own in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text")), strict=True):
+                ids = np.concatenate([own, end])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    length = min(capacity, len(ids) - at)
+                    rows.append((doc, k, at, length, ids[at:at + length].tobytes(), part, ranks[length]))
                     ranks[length] += 1
             yield tx.rows_to_batch(rows, schema)
 

@@ -136,9 +136,9 @@ def decode_block(block: bytes, table: Table) -> np.ndarray:
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): each text's ids and the end id, as little-endian unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = Encoder(path), np.array([end_id], dtype="<u4")
         for batch in tx.small_batches(batches):
-            ids = [x + end for x in encoder.encode_all(batch.column("text"))]
+            ids = [np.concatenate([x, end]).tobytes() for x in encoder.encode_all(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 
+ARROW_BYTES = 16 << 20
+
 
 def folder(spark: SparkSession, what: str) -> str:
     """A new folder below the shared one."""
@@ -22,11 +24,14 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reachable(spark: SparkSession) -> SparkSession:
-    """Let the Python workers of a local session find this library where the driver found it; a cluster has it installed."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with small Arrow batches; Python workers of a local one find this library where the driver found it, a cluster has it installed."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    # Batches of texts that a Python worker holds at once; rows of any length fit in their own batch.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
     return spark

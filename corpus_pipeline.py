@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from buylens.llm import decontamination, jaccard, packing, quality, secrets
-from buylens.llm.shared import reachable, stored
+from buylens.llm.shared import prepared, stored
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -18,30 +18,30 @@ END_ID = 1
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the word counts and the compression bands accept."""
-    reachable(spark)
+    prepared(spark)
     return quality.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group that five-word shingles link at a similarity of 0.8 or more."""
-    reachable(spark)
+    prepared(spark)
     return jaccard.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
-    return decontamination.cleaned(docs, reachable(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
+    return decontamination.cleaned(docs, prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
-    reachable(spark)
+    prepared(spark)
     return secrets.redacted(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: where its ids lie, and their checksum."""
-    reachable(spark)
+    prepared(spark)
     return packing.with_crc(packing.packed(docs, public_tokenizers.path(TOKENIZER), END_ID))
 
 
