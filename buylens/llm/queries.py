@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, quality, rans, secrets
+from . import chat, decontamination, html, jaccard, packing, quality, rans, scoring, secrets, urls
 from .shared import prepared
 
 
@@ -26,16 +26,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(ids.cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic; background: all."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
+    return scoring.scored(_table(spark, sf_dir, "documents"), good)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(_table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                                        "ratio", "chunk_min", "chunk_max")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
@@ -44,6 +58,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1))
 
 
+#: (verdict, host, path): a listed rule comes before any mined one, the longest first.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels belong to the page of the same number: bad if of low quality or toxic."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id").select("url", "bad")
+    return urls.judged(pages, labelled, URL_RULES)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
@@ -54,4 +80,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_ngram_jaccard, op5_quality_rules, op7_rans, op8_packing, op10_secrets)}
+    return {f.__name__: f for f in (
+        op1_decontamination, op2_lm_scoring, op3_ngram_jaccard, op4_chat_rotation, op5_quality_rules, op6_html_extraction, op7_rans, op8_packing,
+        op9_url_rules, op10_secrets)}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -59,7 +59,7 @@ def mined(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     least = max(how.min_support, how.min_count / total)
     if least > 1:
         return labelled.sparkSession.sql(empty)
-    # Only combinations that are bad often enough matter, and all their parts are found with them: mine the bad rows, count among all.
+    # Whatever is frequent together with the label is frequent without it, so every rule finds its own support among the itemsets.
     frequent = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(items).freqItemsets
     sets = stored(frequent.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "itemsets")
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.size("items") <= how.max_tokens + 1)).select(
