@@ -1,7 +1,78 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express.
+
+Compression, main text, tokenizers, mined rules and decoded keys have no SQL form: tests/llm compares those queries with brute force.
+"""
 
 from __future__ import annotations
 
+from . import scoring
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = f"""
+with item as (select item_id, {_ALNUM} as w from benchmark),
+gram as (select distinct item_id, least(10, len(w)) as width, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as gram
+         from item, unnest(generate_series(1, greatest(1, len(w) - 9))) as g(i) where len(w) > 0),
+doc as (select doc_id, {_ALNUM} as w from documents),
+win as (select doc_id, i, width, array_to_string(w[i:i + width - 1], ' ') as gram
+        from doc, (select distinct width from gram), unnest(generate_series(1, len(w) - width + 1)) as g(i) where len(w) >= width),
+hit as (select doc_id, i, width, item_id from win join gram using (width, gram)),
+words as (select doc_id, count(distinct p) as n_hit from hit, unnest(generate_series(i, i + width - 1)) as g(p) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc d left join words using (doc_id) left join items using (doc_id)"""
+
+JACCARD = f"""
+with recursive doc as (select doc_id, {_SPACED} as w from documents),
+shingle as (select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as s
+            from doc, unnest(generate_series(1, greatest(1, len(w) - 4))) as g(i) where len(w) > 0),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+pairs as (select a.doc_id as u, b.doc_id as v, count(*) as c from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+link as (select u, v from pairs join size x on x.doc_id = u join size y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+reach(doc_id, other) as (select doc_id, doc_id from doc union select r.doc_id, l.v from reach r join link l on l.u = r.other)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from doc d left join size using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)"""
+
+CHAT = """
+with turns as (select distinct conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') as speaker, replace(coalesce(text, ''), '<|', '< |') as text
+               from conversations),
+people as (select distinct conv_id, speaker as perspective from turns where speaker <> 'system'),
+formed as (select t.*, perspective, case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user' end as role
+           from turns t join people p on t.conv_id is not distinct from p.conv_id),
+named as (select *, case when role = 'user' then speaker end as name from formed),
+headed as (select *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) as head from named),
+built as (select *, head || text || '<|im_end|>' || chr(10) as segment from headed),
+placed as (select *, row_number() over o - 1 as position, coalesce(sum(length(segment)) over (o rows between unbounded preceding and 1 preceding), 0) as start
+           from built window o as (partition by conv_id, perspective order by turn nulls first, speaker, text))
+select conv_id, perspective, position, turn, role, name, segment, cast(start as bigint) as start,
+       cast(case when role = 'assistant' then start + length(head) end as bigint) as mask_start,
+       cast(case when role = 'assistant' then start + length(segment) - 1 end as bigint) as mask_end
+from placed"""
+
+_MODEL = scoring.Model()
+SCORING = f"""
+with doc as (select doc_id, {_SPACED} as w, doc_id in (select doc_id from labels where quality = 1 and coalesce(toxic, 0) = 0) as target from documents),
+word as (select doc_id, target, i, w[i] as word from doc, unnest(generate_series(1, len(w))) as g(i) where len(w) > 0),
+vocabulary as (select word from word group by word order by count(*) desc, encode(word) limit {_MODEL.size}),
+token as (select doc_id, target, i, coalesce(v.word, ' ') as t from word left join vocabulary v using (word)),
+pair as (select doc_id, target, t, coalesce(lag(t) over (partition by doc_id order by i), '') as b from token),
+n2 as (select b, t, count(*) as n, count(*) filter (target) as m from pair group by all),
+types as (select word as t from vocabulary union all select ' ' from (select count(*) as k from vocabulary)),
+alltypes as (select t from types union all select '#' || k from unnest(generate_series(1, {_MODEL.size} - (select count(*) from vocabulary))) as g(k)),
+n1 as (select a.t, coalesce(sum(n), 0) + {_MODEL.added} as n, coalesce(sum(m), 0) + {_MODEL.added} as m from alltypes a left join n2 using (t) group by a.t),
+p1 as (select t, n / sum(n) over () as p, m / sum(m) over () as q from n1),
+n0 as (select b, sum(n) as n, sum(m) as m from n2 group by b),
+loss as (select b, t, -log2(case when n0.n > 0 then {_MODEL.bigram_weight} * n2.n / n0.n + {1 - _MODEL.bigram_weight:.12g} * p else p end) as lb,
+                -log2(case when n0.m > 0 then {_MODEL.bigram_weight} * n2.m / n0.m + {1 - _MODEL.bigram_weight:.12g} * q else q end) as lt
+         from n2 join n0 using (b) join p1 using (t)),
+mean as (select doc_id, count(*) as n_tokens, avg(lt) as lt, avg(lb) as lb from pair join loss using (b, t) group by doc_id)
+select d.doc_id, coalesce(n_tokens, 0) as n_tokens, round(lt, 6) as target_loss, round(lb, 6) as background_loss, round(lt - lb, 6) as score
+from doc d left join mean using (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": DECONTAMINATION, "op2_lm_scoring": SCORING, "op3_ngram_jaccard": JACCARD, "op4_chat_rotation": CHAT}

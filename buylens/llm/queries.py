@@ -29,7 +29,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic; background: all."""
     good = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return scoring.scored(_table(spark, sf_dir, "documents"), good)
+    losses = ("target_loss", "background_loss", "score")
+    return scoring.scored(_table(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in losses])
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .shared import stored
 class Model:
     """Words in the vocabulary; weight of the bigram against the unigram estimate; count added to each unigram."""
 
-    size: int = 2046
+    size: int = 1534
     bigram_weight: float = 0.7
     added: float = 0.5
 
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame, model: Model) -> np.ndarray:
     """Sorted hashes of the most frequent words; ties go to the word that sorts first."""
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(model.size).collect()
-    hashes = tx.Words(pa.array([bytes(r["word"]).decode() for r in top], pa.string()), tx.EXACT).hash
+    hashes = tx.Words(pa.array([bytes(r["word"]).decode() for r in top], pa.string()), tx.SPACED).hash
     return np.unique(hashes)
 
 
@@ -125,15 +125,15 @@ def losses(pairs: pa.Table, model: Model) -> np.ndarray:
     After a token that a model has never seen, its unigram estimate stands alone, so every row sums to one.
     """
     width = model.tokens
-    out = np.empty((2, width, width), dtype=np.float32)
+    out = np.empty((2, width, width))
     before, token = pairs["before"].to_numpy(), pairs["token"].to_numpy()
     for k, name in ((0, "target_n"), (1, "n")):
-        counts = np.zeros((width, width), dtype=np.float32)
+        counts = np.zeros((width, width))
         counts[before, token] = pairs[name].to_numpy()
-        single = counts.sum(axis=0, dtype=np.float64) + model.added
+        single = counts.sum(axis=0) + model.added
         single[0] = 0  # nothing is followed by the beginning
         single /= single.sum()
-        rows = counts.sum(axis=1, dtype=np.float64)
+        rows = counts.sum(axis=1)
         for i in range(width):
             weight = model.bigram_weight if rows[i] else 0.0
             mixed = weight * counts[i] / max(rows[i], 1.0) + (1 - weight) * single
@@ -161,7 +161,7 @@ def scored(docs: DataFrame, target: DataFrame, model: Model = Model()) -> DataFr
         known, table = held.value
         for batch, words, own, before in _numbered(batches, _Numbers(known)):
             size = np.diff(words.first)
-            sums = [np.concatenate([[0.0], np.cumsum(table[k][before, own], dtype=np.float64)])[words.first] for k in (0, 1)]
+            sums = [np.concatenate([[0.0], np.cumsum(table[k][before, own])])[words.first] for k in (0, 1)]
             with np.errstate(invalid="ignore", divide="ignore"):
                 a, b = (np.diff(s) / size for s in sums)
             none = size == 0
