@@ -172,7 +172,7 @@ def _tokens(raw: bytes) -> np.ndarray:
 
 
 def group_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): verified links between classes that lie close to each other when sorted by their min-hashes.
+    """(u, v): classes that verified links connect, found among those that lie close to each other when sorted by their min-hashes.
 
     Classes with a min-hash in common are sorted by it and by further ones, once for each of the first ORDERS min-hashes. Each is compared with the first
     of its bucket and with the NEAR classes before it, unless links already lead there. The work is linear, and a bucket of any size is dealt out by range.
@@ -195,20 +195,26 @@ def group_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
                 x = parent[x]
             return x
 
+        def stars() -> list[tuple[int, int]]:
+            """What the bucket's links connect, as one link each to a common class: short paths for the components."""
+            return [(x, r) for x in parent if (r := root(x)) != x]
+
         for batch in batches:
             found = []
             for k, key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "key0", "node", "tokens")), strict=True):
                 own = _tokens(raw)
                 if (k, key) != bucket:
+                    found += stars()
                     bucket, first, parent = (k, key), (node, own), {}
                     window.clear()
                 parent[node] = node
                 for other, tokens in (*reversed(window), first):
                     if root(other) != root(node) and linked(own, tokens, percent):
-                        found.append((node, other))
-                        parent[root(node)] = root(other)
+                        low, high = sorted((root(node), root(other)))
+                        parent[high] = low
                 window.append((node, own))
             yield tx.rows_to_batch(found, schema)
+        yield tx.rows_to_batch(stars(), schema)
 
     return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u bigint, v bigint"), "links")
 
@@ -331,11 +337,15 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
                                                             F.first("prefix").alias("prefix")), "classes")
     stars = group_links(docs, classes.drop("prefix"), width, percent)
-    grouped = classes.drop("keys").join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = components(stars)
+    grouped = classes.drop("keys").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pairs = stored(group_pairs(grouped, percent), "group_pairs")
     more = opened_links(docs, grouped, pairs, width, percent)
-    roots = components(stars.unionByName(more))
-    named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # The opened links join whole groups: the second components are those of the groups.
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("merged"))
+    named = grouped.select("node", "rep", "root").join(merged, "root", "left").select("node", "rep", F.coalesce("merged", "root").alias("root"))
     least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     of_node = stored(named.join(least, "root").select("node", "component_id"), "components")
     some = rows.where("n > 0").select("doc_id", "node", F.col("n").cast("bigint").alias("n_shingles")).join(of_node, "node")

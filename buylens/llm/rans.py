@@ -122,6 +122,13 @@ def decode_part(block: bytes, k: int, table: Table) -> np.ndarray:
             raise ValueError("the block ends early")
         state[short] = (state[short] << np.uint64(32)) | stream[place:place + len(short)]
         place += len(short)
+    if (k + 1) * every < steps:  # the next part begins where this one ends
+        at += size
+        after, goes_on = np.frombuffer(block, "<u8", lanes, at + 16), struct.unpack_from("<Q", block, at)[0]
+    else:
+        after, goes_on = _LOW, n_words
+    if place != goes_on or (state != after).any():
+        raise ValueError("a block's part does not end where the next one begins")
     ids = table.ids[np.concatenate(rows)][:n - k * every * lanes]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a block's part differs")
