@@ -3,13 +3,13 @@
 A document is the set of its distinct word shingles, held as 64-bit hashes; equal sets are one class, and a class is
 named by the hash of its set. The join of classes runs in these steps:
 
-1. Groups. Classes that share one of a few min-hashes are sorted by them and compared with near ones; what links forms groups, so a cluster of
-   thousands becomes a few groups in linear work. Min-hashing only forms groups; it decides nothing.
+1. Groups. Classes that share one of a few min-hashes are sorted by them and compared with near ones. What is alike forms a family, the group of the
+   matrix; what links inside it is one component already. So thousands of near copies become one group in linear work. Min-hashing only forms groups.
 2. Matrix. Two sets that are similar enough share a token among their first ``n - ceil(t n) + 1`` tokens in any common order. The order puts
    tokens that many documents have last. Each group stores the union of its members' first tokens once, with its range of set sizes.
 3. Bound. For each two groups with common tokens the largest overlap that any of their members can have is bound by that count and the sizes.
-4. Open. Only group pairs whose bound reaches the threshold are opened: members of the smaller one are compared with those of the
-   larger one in blocks of bounded size, on whole sets. Links inside a group already known to be connected are not looked for.
+4. Open. Only group pairs whose bound reaches the threshold are opened, and each group with itself: members are compared in blocks of bounded size, on
+   whole sets. Links inside a component already known are not looked for.
 
 The order of tokens and the choice of groups change the work, never the result.
 """
@@ -32,6 +32,8 @@ from .shared import stored
 WIDTH, PERCENT = 5, 80
 #: Min-hashes of a set; how many of them sort the classes; how many classes before it each one is compared with.
 KEYS, ORDERS, NEAR = 8, 3, 32
+#: Similarity in percent that holds a family of classes together; only work depends on it.
+FAMILY = 50
 #: Entries at most of the table of frequent tokens that is broadcast; tokens beyond it are taken as rare, which costs time only.
 ORDER_LIMIT = 1_000_000
 #: Hashes that a task gathers before it counts them.
@@ -157,14 +159,37 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return stored(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets", "none")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, on sorted sets."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def closest(a: np.ndarray, b: np.ndarray, percents: tuple[int, ...]) -> int:
+    """The first of ``percents``, descending, with 100 * intersection >= percent * union, on sorted sets; 0 if none."""
+    if 100 * min(len(a), len(b)) < percents[-1] * max(len(a), len(b)):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     both = int((b[at] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return next((p for p in percents if 100 * both >= p * (len(a) + len(b) - both)), 0)
+
+
+class Groups:
+    """What has been connected so far: the least number of each group, by union and find."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.parent.setdefault(x, x)
+        while self.parent[up] != up:
+            self.parent[up] = self.parent[self.parent[up]]
+            up = self.parent[up]
+        self.parent[x] = up
+        return up
+
+    def join(self, x: int, y: int) -> None:
+        low, high = sorted((self.root(x), self.root(y)))
+        self.parent[high] = low
+
+    def stars(self) -> list[tuple[int, int]]:
+        """One link from each member to its root: short paths for the components."""
+        return [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
 
 
 def _tokens(raw: bytes) -> np.ndarray:
@@ -172,9 +197,9 @@ def _tokens(raw: bytes) -> np.ndarray:
 
 
 def group_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): classes that verified links connect, found among those that lie close to each other when sorted by their min-hashes.
+    """(u, v, links): classes that verified links connect, or that only belong to one family, among those close to each other when sorted by min-hashes.
 
-    Classes with a min-hash in common are sorted by it and by further ones, once for each of the first ORDERS min-hashes. Each is compared with the first
+    A family is held together by pairs of at least FAMILY percent. Classes with a min-hash in common are sorted by it and by further ones, once for each of the first ORDERS min-hashes. Each is compared with the first
     of its bucket and with the NEAR classes before it, unless links already lead there. The work is linear, and a bucket of any size is dealt out by range.
     """
     firsts = classes.select("node", "rep", F.posexplode(F.slice("keys", 1, ORDERS)).alias("k", "key"))
@@ -186,37 +211,30 @@ def group_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
     order = ["k", *(f"key{i}" for i in range(4)), "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        bucket, first, window, parent = None, None, deque(maxlen=NEAR), {}
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.bool_())])
+        bucket, first, window, links, families = None, None, deque(maxlen=NEAR), Groups(), Groups()
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def stars() -> list[tuple[int, int]]:
-            """What the bucket's links connect, as one link each to a common class: short paths for the components."""
-            return [(x, r) for x in parent if (r := root(x)) != x]
+        def ends() -> list[tuple[int, int, bool]]:
+            return [(*x, True) for x in links.stars()] + [(*x, False) for x in families.stars()]
 
         for batch in batches:
             found = []
             for k, key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "key0", "node", "tokens")), strict=True):
                 own = _tokens(raw)
                 if (k, key) != bucket:
-                    found += stars()
-                    bucket, first, parent = (k, key), (node, own), {}
+                    found += ends()
+                    bucket, first, links, families = (k, key), (node, own), Groups(), Groups()
                     window.clear()
-                parent[node] = node
                 for other, tokens in (*reversed(window), first):
-                    if root(other) != root(node) and linked(own, tokens, percent):
-                        low, high = sorted((root(node), root(other)))
-                        parent[high] = low
+                    if links.root(other) != links.root(node) and (near := closest(own, tokens, (percent, FAMILY))):
+                        families.join(node, other)
+                        if near == percent:
+                            links.join(node, other)
                 window.append((node, own))
             yield tx.rows_to_batch(found, schema)
-        yield tx.rows_to_batch(stars(), schema)
+        yield tx.rows_to_batch(ends(), schema)
 
-    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u bigint, v bigint"), "links")
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u bigint, v bigint, links boolean"), "links")
 
 
 def group_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -285,43 +303,53 @@ def group_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * (100 + percent) * F.col("common") >= F.least(need("a_low", "b_high"), need("b_low", "a_high"))).select("a", "b")
 
 
-def opened_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): for each member of the smaller group of a pair one link at most to each block of the larger one."""
-    members = classes.select("root", "node", "rep")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sized = pairs.join(sizes.select(F.col("root").alias("a"), F.col("size").alias("a_size")), "a").join(
-        sizes.select(F.col("root").alias("b"), F.col("size").alias("b_size")), "b")
+def opened_links(docs: DataFrame, grouped: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): roots that links between their members connect.
+
+    Each family asks within itself, with all members but those of its largest root; of each two families that qualify, the smaller one's members ask the
+    larger one. Asking and asked members meet in blocks of bounded size, and roots that a block has connected already aren't compared again.
+    """
+    members = grouped.select("family", "root", "node", "rep")
+    sizes = stored(members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")), "sizes")
+    size_of = lambda c: sizes.select(F.col("family").alias(c), F.col("size").alias(f"{c}_size"))
     swap = F.col("a_size") > F.col("b_size")
-    sized = stored(sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("query"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("target"),
-                                F.least("a_size", "b_size").alias("queries"), F.greatest("a_size", "b_size").alias("members")), "opened")
-    blocks = stored(sized.groupBy("target").agg(F.ceil(F.sum("queries") / BLOCK).alias("across"), F.ceil(F.max("members") / BLOCK).alias("down")), "blocks")
+    sized = pairs.join(size_of("a"), "a").join(size_of("b"), "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("family"),
+                                                                        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("target"))
+    within = members.join(sizes.where("roots > 1").select("family", "main"), "family").where(F.col("root") != F.col("main"))
+    asking = stored(members.join(sized, "family").select("target", "root", "node", "rep").unionByName(
+        within.select(F.col("family").alias("target"), "root", "node", "rep")), "asking")
+    blocks = stored(asking.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("across")).join(
+        sizes.select(F.col("family").alias("target"), F.ceil(F.col("size") / BLOCK).alias("down")), "target"), "blocks")
     slot = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n)
-    asked = sized.join(members, sized["query"] == members["root"]).select("target", "node", "rep").join(blocks, "target").select(
-        "target", "node", "rep", slot(F.col("across")).alias("row"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1)).alias("column"), F.lit(0).alias("side"))
-    held = blocks.join(members, blocks["target"] == members["root"]).select(
-        "target", "node", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("across") - 1)).alias("row"), slot(F.col("down")).alias("column"), F.lit(1).alias("side"))
-    placed = stored(asked.unionByName(held), "placed")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asks = asking.join(blocks, "target").select("target", "root", "node", "rep", slot(F.col("across")).alias("row"), every("down").alias("column"), F.lit(0).alias("side"))
+    asked = blocks.join(members.withColumnRenamed("family", "target"), "target").select(
+        "target", "root", "node", "rep", every("across").alias("row"), slot(F.col("down")).alias("column"), F.lit(1).alias("side"))
+    placed = stored(asks.unionByName(asked), "placed")
     sets = sets_of(docs, stored(placed.select("node", "rep").distinct(), "wanted"), width)
-    rows = placed.drop("rep").join(sets, "node").repartition("target", "row", "column").sortWithinPartitions("target", "row", "column", "side")
+    order = ["target", "row", "column", "side"]
+    rows = placed.drop("rep").join(sets, "node").repartition("target", "row", "column").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        key, asked, found = None, [], []
-        done: set[int] = set()
+        block, asks, links = None, [], Groups()
         for batch in batches:
-            for target, row, column, side, node, raw in zip(*(batch.column(c).to_pylist() for c in ("target", "row", "column", "side", "node", "tokens")), strict=True):
-                if (target, row, column) != key:
-                    key, asked, done = (target, row, column), [], set()
+            found = []
+            columns = (batch.column(c).to_pylist() for c in (*order, "root", "tokens"))
+            for target, row, column, side, root, raw in zip(*columns, strict=True):
+                own = _tokens(raw)
+                if (target, row, column) != block:
+                    found += links.stars()
+                    block, asks, links = (target, row, column), [], Groups()
                 if side == 0:
-                    asked.append((node, _tokens(raw)))
+                    asks.append((root, own))
                     continue
-                own = _tokens(raw)
-                for other, tokens in asked:
-                    if other not in done and linked(tokens, own, percent):
-                        found.append((other, node))
-                        done.add(other)
+                for other, tokens in asks:
+                    if links.root(other) != links.root(root) and closest(tokens, own, (percent,)):
+                        links.join(other, root)
             yield tx.rows_to_batch(found, schema)
-            found = []
+        yield tx.rows_to_batch(links.stars(), schema)
 
     return stored(rows.mapInArrow(run, "u bigint, v bigint"), "links")
 
@@ -336,15 +364,14 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     rows = stored(features(docs, frequent(docs, width), width, percent), "features")
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
                                                             F.first("prefix").alias("prefix")), "classes")
-    stars = group_links(docs, classes.drop("prefix"), width, percent)
-    groups = components(stars)
-    grouped = classes.drop("keys").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = stored(group_pairs(grouped, percent), "group_pairs")
-    more = opened_links(docs, grouped, pairs, width, percent)
-    # The opened links join whole groups: the second components are those of the groups.
-    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    between = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
-    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("merged"))
+    found = group_links(docs, classes.drop("prefix"), width, percent)
+    groups = components(found.where("links").select("u", "v"))
+    families = components(found.select("u", "v")).withColumnRenamed("root", "family")
+    grouped = classes.drop("keys").join(groups, "node", "left").join(families, "node", "left").withColumns(
+        {"root": F.coalesce("root", "node"), "family": F.coalesce("family", "node")})
+    pairs = stored(group_pairs(grouped.select(F.col("family").alias("root"), "n", "prefix"), percent), "group_pairs")
+    # Opened links join whole groups, so the last components are those of the groups.
+    merged = components(opened_links(docs, grouped.drop("prefix"), pairs, width, percent)).select(F.col("node").alias("root"), F.col("root").alias("merged"))
     named = grouped.select("node", "rep", "root").join(merged, "root", "left").select("node", "rep", F.coalesce("merged", "root").alias("root"))
     least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     of_node = stored(named.join(least, "root").select("node", "component_id"), "components")

@@ -66,7 +66,7 @@ def test_without_groups_and_order(llm, monkeypatch):
     rows = families(3)[:150]
     monkeypatch.setattr(jaccard, "ORDER_LIMIT", 0)
     monkeypatch.setattr(jaccard, "frequent", lambda docs, width, limit=0, f=jaccard.frequent: f(docs, width, 0))
-    monkeypatch.setattr(jaccard, "group_links", lambda docs, classes, width, percent: llm.createDataFrame([], "u bigint, v bigint"))
+    monkeypatch.setattr(jaccard, "group_links", lambda docs, classes, width, percent: llm.createDataFrame([], "u bigint, v bigint, links boolean"))
     assert got(llm, rows) == brute(rows)
 
 
