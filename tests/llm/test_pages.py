@@ -184,4 +184,5 @@ def test_scores_tell_domains_apart(llm):
         rows.append((k, " ".join(words)))
     target = llm.createDataFrame([(k,) for k in range(1, 300, 2)], "doc_id bigint")
     got = scoring.scored(llm.createDataFrame(rows, "doc_id bigint, text string"), target, scoring.Model(size=120)).where("doc_id >= 300").collect()
-    assert sum((x.score < 0) == (x.doc_id % 2 == 1) for x in got) >= 0.95 * len(got)
+    middle = sorted(x.score for x in got)[len(got) // 2]  # a small target costs all texts alike, so ranks count
+    assert sum((x.score < middle) == (x.doc_id % 2 == 1) for x in got) >= 0.95 * len(got)
