@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import text as tx
 from .shared import folder, stored
@@ -140,31 +141,36 @@ def decode_block(block: bytes, table: Table) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, as little-endian unsigned 32-bit integers."""
+def id_type(path: str) -> str:
+    """The narrowest type for the tokenizer's ids, for what is stored between the steps."""
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """(doc_id, ids, counts): each text's ids and the end id as bytes of ``kind``; and, in a last row of each task, how often each id occurred in it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4")
+        encoder, end, counts = Encoder(path), np.array([end_id], dtype="<u4"), np.zeros(0, dtype=np.int64)
         for batch in tx.small_batches(batches):
-            ids = [np.concatenate([x, end]).tobytes() for x in encoder.encode_all(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = [np.concatenate([x, end]).astype(kind) for x in encoder.encode_all(batch.column("text"))]
+            if ids:
+                own = np.bincount(np.concatenate(ids), minlength=len(counts))
+                own[:len(counts)] += counts
+                counts = own
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), schema.field(2).type)],
+                                             schema=schema)
+        found = np.flatnonzero(counts)
+        yield tx.rows_to_batch([(None, None, [{"id": i, "n": n} for i, n in zip(found.tolist(), counts[found].tolist(), strict=True)])], schema)
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, ids binary")
+    return source.mapInArrow(run, "doc_id bigint, ids binary, counts array<struct<id:bigint,n:bigint>>")
 
 
 def frequencies(ids: DataFrame) -> Table:
     """The shared table: at most one row for each entry of the vocabulary comes to the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            _, data = tx.buffers(batch.column("ids").cast(pa.large_binary()))
-            own = np.bincount(np.frombuffer(data.tobytes(), dtype="<u4"), minlength=len(counts))
-            own[:len(counts)] += counts
-            counts = own
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts[found].astype(np.int64))], names=["id", "n"])
-
-    table = ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    pairs = ids.where(F.col("counts").isNotNull()).select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    table = pairs.toArrow()
     return Table(table["id"].to_numpy(), table["n"].to_numpy())
 
 
@@ -174,7 +180,8 @@ _FILE = "part int, block int, first bigint, doc_ids array<bigint>, doc_first arr
 def written(docs: DataFrame, path: str, end_id: int, to: str) -> Table:
     """Write the files below ``to``: blocks of each range of doc_id (column ``part``), in order. Gives the shared table, which is stored beside them."""
     spark = docs.sparkSession
-    ids = stored(encoded(docs, path, end_id), "ids")
+    kind = id_type(path)
+    ids = stored(encoded(docs, path, end_id, kind), "ids")
     table = frequencies(ids)
     held = spark.sparkContext.broadcast(table)
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())),
@@ -193,7 +200,7 @@ def written(docs: DataFrame, path: str, end_id: int, to: str) -> Table:
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                own, begin = np.frombuffer(raw, dtype="<u4"), first + size
+                own, begin = np.frombuffer(raw, dtype=kind).astype(np.uint32), first + size
                 if size and size + len(own) > BLOCK:
                     yield flush()
                     block, first, size, docs_in, held_ids = block + 1, first + size, 0, [], []
@@ -207,7 +214,7 @@ def written(docs: DataFrame, path: str, end_id: int, to: str) -> Table:
         if size:
             yield flush()
 
-    ordered = ids.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    ordered = ids.where(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
     ordered.mapInArrow(run, _FILE).write.option("compression", "none").parquet(f"{to}/blocks")
     numbers = zip(table.ids.tolist(), table.freq.astype(np.int64).tolist(), strict=True)
     spark.createDataFrame(list(numbers), "id bigint, freq bigint").coalesce(1).write.parquet(f"{to}/table")
@@ -220,17 +227,18 @@ def read_table(spark: SparkSession, at: str) -> Table:
     return table
 
 
-def read(spark: SparkSession, at: str) -> DataFrame:
-    """(doc_id, start, n_tokens, fragment, ids) from the files alone: one row per document and block it lies in, ``ids`` as bytes.
+def _decoded(spark: SparkSession, at: str, name: str, kind: str, of) -> DataFrame:
+    """(doc_id, start, n_tokens, fragment, n, ``name``): a row per document and block it lies in; ``of`` makes ``name`` of the ids' bytes.
 
-    ``start`` counts the ids of all documents before it; parts are in order of doc_id, so one running sum over their totals gives it.
+    ``start`` counts the ids of all documents before it: parts are in order of doc_id, so a running sum over their totals, one row per part, gives it.
     """
     blocks = spark.read.schema(_FILE).parquet(f"{at}/blocks")
-    totals = blocks.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy("part").agg(F.sum("n").alias("n"))
     bases = stored(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     held = spark.sparkContext.broadcast(read_table(spark, at))
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("n_tokens", pa.int64()), ("fragment", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("n_tokens", pa.int64()), ("fragment", pa.int64()), ("n", pa.int64()),
+                        (name, pa.binary() if kind == "binary" else pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value.prepare()
@@ -239,11 +247,16 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 ids, rows = decode_block(row["payload"], known).astype("<u4").tobytes(), []
                 for doc, begin, n in zip(row["doc_ids"], row["doc_first"], row["doc_tokens"], strict=True):
                     a, b = max(begin, row["first"]), min(begin + n, row["first"] + row["n"])
-                    rows.append((row["part"], doc, begin, n, a - begin, ids[4 * (a - row["first"]):4 * (b - row["first"])]))
+                    rows.append((row["part"], doc, begin, n, a - begin, b - a, of(ids[4 * (a - row["first"]):4 * (b - row["first"])])))
                 yield tx.rows_to_batch(rows, schema)
 
-    found = blocks.mapInArrow(run, "part int, doc_id bigint, begin bigint, n_tokens bigint, fragment bigint, ids binary")
-    return found.join(bases, "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "fragment", "ids")
+    found = blocks.mapInArrow(run, f"part int, doc_id bigint, begin bigint, n_tokens bigint, fragment bigint, n bigint, {name} {kind}")
+    return found.join(bases, "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "fragment", "n", name)
+
+
+def read(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, start, n_tokens, fragment, n, ids) from the files alone, ``ids`` as little-endian unsigned 32-bit integers."""
+    return _decoded(spark, at, "ids", "binary", lambda raw: raw)
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -264,21 +277,16 @@ def combined(first: int, second: int, size: int) -> int:
     return first ^ second
 
 
-def digests(read_back: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) per document; the few that lie in several blocks are put together from their fragments' checksums."""
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "fragment")), pa.array([len(x) // 4 for x in raw], pa.int64()),
-                                              pa.array([zlib.crc32(x) for x in raw], pa.int64())], names=["doc_id", "start", "n_tokens", "fragment", "n", "crc"])
-
+def digests(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) per document from the files alone; the few documents that lie in several blocks are put together
+    from their fragments' checksums."""
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [reduce(lambda acc, x: combined(acc, x["crc"], 4 * x["n"]), own, 0) for own in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64())],
                                              names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = stored(read_back.mapInArrow(crc, "doc_id bigint, start bigint, n_tokens bigint, fragment bigint, n bigint, crc bigint"), "digests")
+    parts = stored(_decoded(spark, at, "crc", "bigint", zlib.crc32), "digests")
     whole = parts.where("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     several = parts.where("n < n_tokens").groupBy("doc_id", "start", "n_tokens").agg(
         F.array_sort(F.collect_list(F.struct("fragment", "n", "crc"))).alias("parts"))
@@ -294,4 +302,4 @@ def round_trip(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     at = folder(spark, "rans")
     written(docs, path, end_id, at)
-    return digests(read(spark, at))
+    return digests(spark, at)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from buylens.llm import packing, queries, rans, tokens
+from buylens.llm import packing, queries, rans, shared, tokens
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -135,6 +135,12 @@ def test_blocks_round_trip(llm, docs, odd, monkeypatch):
     monkeypatch.setattr(rans, "BLOCK", 700)  # long documents go over many blocks
     check_blocks(rans.round_trip(odd, PATH, 2).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert rans.round_trip(odd.where("false"), PATH, 2).count() == 0
+    at = shared.folder(llm, "blocks")
+    rans.written(odd, PATH, 2, at)
+    back = {}
+    for r in sorted(rans.read(llm, at).collect(), key=lambda r: (r.start, r.fragment)):
+        back[r.doc_id, r.start] = back.get((r.doc_id, r.start), b"") + bytes(r.ids)
+    assert Counter((doc, x) for (doc, _), x in back.items()) == Counter((r.doc_id, np.array([*library(r.text), 2], dtype="<u4").tobytes()) for r in odd.collect())
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 4096, 70_001])
