@@ -84,38 +84,51 @@ class _Numbers:
         return out
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], numbers: _Numbers) -> Iterator[tuple[pa.RecordBatch, tx.Words, np.ndarray, np.ndarray]]:
-    """Each batch with its words, their token numbers and those of the tokens before them."""
-    for batch in tx.small_batches(batches):
-        words = tx.Words(batch.column("text"), tx.SPACED)
-        own = numbers.of(words.hash)
+def numbered(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """(doc_id, tokens): each text as token numbers of 16 bits, all that the models need of it."""
+    held = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(held.value)
+        for batch in tx.small_batches(batches):
+            words = tx.Words(batch.column("text"), tx.SPACED)
+            own = numbers.of(words.hash).astype("<u2")
+            rows = [own[a:b].tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id bigint, tokens binary")
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch with where its texts' tokens begin, the tokens and those before them (0 at a text's beginning)."""
+    for batch in batches:
+        bounds, data = tx.buffers(batch.column("tokens").cast(pa.large_binary()))
+        first, own = bounds // 2, np.frombuffer(data.tobytes(), dtype="<u2").astype(np.int64)
         before = np.zeros_like(own)
         before[1:] = own[:-1]
-        starts = words.first[:-1]
-        before[starts[starts < len(own)]] = 0
-        yield batch, words, own, before
+        before[first[:-1][first[:-1] < len(own)]] = 0
+        yield batch, first, own, before
 
 
-def pair_counts(docs: DataFrame, hashes: np.ndarray, model: Model) -> DataFrame:
+def pair_counts(tokens: DataFrame, model: Model) -> DataFrame:
     """(before, token, n, target_n): bigrams of all documents and of those with ``target``."""
-    held, width = docs.sparkSession.sparkContext.broadcast(hashes), model.tokens
+    width = model.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, width * width), dtype=np.int32)
-        for batch, words, own, before in _numbered(batches, _Numbers(held.value)):
-            pairs = before.astype(np.int64) * width + own
-            of_target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(words.first))
+        total = np.zeros((2, width * width), dtype=np.int64)
+        for batch, first, own, before in _bigrams(batches):
+            pairs = before * width + own
+            of_target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
             for k, some in ((0, pairs), (1, pairs[of_target])):
                 found, n = np.unique(some, return_counts=True)
-                total[k, found] += n.astype(np.int32)
+                total[k, found] += n
         found = np.flatnonzero(total[0])
         for at in range(0, len(found), 1 << 18):
             some = found[at:at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array((some // width).astype(np.int32)), pa.array((some % width).astype(np.int32)),
-                                              pa.array(total[0, some].astype(np.int64)), pa.array(total[1, some].astype(np.int64))],
-                                             names=["before", "token", "n", "target_n"])
+                                              pa.array(total[0, some]), pa.array(total[1, some])], names=["before", "token", "n", "target_n"])
 
-    counted = docs.select("text", "target").mapInArrow(run, "before int, token int, n bigint, target_n bigint")
+    counted = tokens.select("tokens", "target").mapInArrow(run, "before int, token int, n bigint, target_n bigint")
     return counted.groupBy("before", "token").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
 
 
@@ -149,23 +162,25 @@ def scored(docs: DataFrame, target: DataFrame, model: Model = Model()) -> DataFr
     Losses are bits per token; score is target minus background. Null or empty texts have no tokens and null losses. Without target documents the target model is uniform.
     Repeated rows are counted and scored each; repeated ids in ``target`` count once and a null one never. Extra columns are not read.
     """
+    if model.tokens > 1 << 16:
+        raise ValueError("token numbers have 16 bits")
     ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashes = vocabulary(source, model)
-    marked = source.join(ids, source["doc_id"] == ids["_target"], "left").withColumn("target", F.col("_target").isNotNull())
-    pairs = pair_counts(marked, hashes, model).toArrow()
-    held = docs.sparkSession.sparkContext.broadcast((hashes, losses(pairs, model)))
+    tokens = stored(numbered(source, vocabulary(source, model)), "tokens")
+    # Both sides grow with the corpus: always a sorted join, and of numbers instead of texts.
+    marked = tokens.join(ids.hint("merge"), tokens["doc_id"] == ids["_target"], "left").withColumn("target", F.col("_target").isNotNull())
+    held = docs.sparkSession.sparkContext.broadcast(losses(pair_counts(marked, model).toArrow(), model))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = held.value
-        for batch, words, own, before in _numbered(batches, _Numbers(known)):
-            size = np.diff(words.first)
-            sums = [np.concatenate([[0.0], np.cumsum(table[k][before, own])])[words.first] for k in (0, 1)]
+        table = held.value
+        for batch, first, own, before in _bigrams(batches):
+            size = np.diff(first)
+            sums = [np.concatenate([[0.0], np.cumsum(table[k][before, own])])[first] for k in (0, 1)]
             with np.errstate(invalid="ignore", divide="ignore"):
                 a, b = (np.diff(s) / size for s in sums)
             none = size == 0
             columns = [pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *columns], schema=schema)
 
-    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    return tokens.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
