@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buylens.functions.columns import flag, ratio, share
+from buylens.session import splittable
 
 RATES = ["v_invoice_match_rate", "v_price_variance_rate", "v_qty_variance_rate", "v_avg_price_variance_pct"]
 
@@ -64,4 +65,4 @@ def invoice_behavior_loo(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     lonely = F.col("n") <= 1
     outs = [F.when(lonely, cold[c]).otherwise(ratio(F.col(f"t_{c}") - F.col(c), F.col("n") - 1)).alias(f"{r}_loo")
             for c, r in zip(parts[:3], RATES)]
-    return own.join(totals, "vendor_id").select("invoice_id", *outs, F.when(lonely, cold["pct"]).otherwise(pct_loo).alias(f"{RATES[3]}_loo"))
+    return own.join(splittable(totals), "vendor_id").select("invoice_id", *outs, F.when(lonely, cold["pct"]).otherwise(pct_loo).alias(f"{RATES[3]}_loo"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buylens.functions.columns import mean, ratio, slope
+from buylens.session import splittable
 
 
 def _contract_price(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,7 +27,7 @@ def price_benchmarks(po_lines: DataFrame, materials: DataFrame, items: DataFrame
     per_material = (price_stats(po_lines, ["material_id"])
                     .join(materials.select("material_id", "standard_cost"), "material_id", "left")
                     .join(_contract_price(items, ["material_id"]), "material_id", "left"))
-    return po_lines.select("po_id", "po_line_number", "material_id", "unit_price").join(per_material, "material_id").select(
+    return po_lines.select("po_id", "po_line_number", "material_id", "unit_price").join(splittable(per_material), "material_id").select(
         "po_id", "po_line_number", "material_id", "unit_price", "p_avg_unit_price", "p_std_unit_price", "p_min_unit_price",
         "p_max_unit_price", F.when(F.col("standard_cost") > 0, ratio(F.col("unit_price"), F.col("standard_cost"))).alias("p_price_to_standard_ratio"),
         "p_contract_price")

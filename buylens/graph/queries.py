@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buylens.graph.views import all_edges, all_vertices, vertex_attributes
 from buylens.operators.hierarchy import category_closure
-from buylens.session import cut_lineage
+from buylens.session import cut_lineage, splittable
 
 Tables = Mapping[str, DataFrame]
 
@@ -147,11 +148,11 @@ def vendor_plant_contracts(t: Tables, key: str | None = None) -> DataFrame:
     return at_plant.join(t["contract_header"].select("vendor_id", "contract_id", "status", "valid_to"), "vendor_id", "left")
 
 
-def search(t: Tables, q: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """First vertices by id whose id or label contains the text, whatever its case."""
+def search(t: Tables, q: str, kind: str | None = None, limit: int | None = 20) -> DataFrame:
+    """Vertices whose id or label contains the text, whatever its case: the first by id, or with ``limit=None`` all."""
     q = q.lower()
-    return all_vertices(t, [kind] if kind else None).filter(
-        F.lower("vertex_id").contains(q) | F.lower("label").contains(q)).orderBy("vertex_id").limit(limit)
+    hits = all_vertices(t, [kind] if kind else None).filter(F.lower("vertex_id").contains(q) | F.lower("label").contains(q))
+    return hits if limit is None else hits.orderBy("vertex_id").limit(limit)
 
 
 def summary(t: Tables) -> DataFrame:
@@ -178,17 +179,17 @@ def neighbors(t: Tables, key: str | None = None, edge_type: str | None = None, d
         F.count(F.lit(1)).alias("edges"))
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame, max_hops: int, targets: DataFrame | None = None) -> DataFrame:
-    """Vertices within ``max_hops`` of the sources with their level and smallest parent.
+def bfs_levels(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Vertices within ``max_hops`` of the sources, or all that they reach, with their level and smallest parent.
 
     Each hop joins the frontier to the edges and drops what was seen. Stops early when a
     hop reaches nothing new, or a target.
     """
-    links = cut_lineage(undirected(edges)) if max_hops > 1 else undirected(edges)
+    links = cut_lineage(undirected(edges)) if max_hops is None or max_hops > 1 else undirected(edges)
     level = sources.select("vertex_id").distinct().withColumn("level", F.lit(0)).withColumn(
         "parent_id", F.lit(None).cast("string"))
     seen = level
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         frontier = level.select(F.col("vertex_id").alias("u"))
         reached = links.join(frontier, "u").groupBy(F.col("v").alias("vertex_id")).agg(F.min("u").alias("parent_id"))
         level = cut_lineage(reached.join(seen.select("vertex_id"), "vertex_id", "left_anti").select(
@@ -212,15 +213,15 @@ def ego_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         ids.withColumnRenamed("vertex_id", "target_vertex"), "target_vertex", "left_semi")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 6) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     """Vertices of one shortest undirected path, numbered from the source; empty if none."""
     spark = edges.sparkSession
     end = spark.createDataFrame([(target,)], "vertex_id string")
-    levels = bfs_levels(edges, spark.createDataFrame([(source,)], "vertex_id string"), max_hops, end)
+    levels = cut_lineage(bfs_levels(edges, spark.createDataFrame([(source,)], "vertex_id string"), max_hops, end))
     here = levels.join(end, "vertex_id", "left_semi")
-    steps = [here]
-    for _ in range(max_hops):
-        here = levels.join(here.select(F.col("parent_id").alias("vertex_id")), "vertex_id", "left_semi")
+    steps, far = [here], here.agg(F.max("level")).first()[0]
+    for _ in range(far or 0):
+        here = cut_lineage(levels.join(here.select(F.col("parent_id").alias("vertex_id")), "vertex_id", "left_semi"))
         steps.append(here)
     return _union(*steps).select(F.col("level").alias("step"), "vertex_id")
 
@@ -268,7 +269,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     def smallest(both: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        return both.join(low, "u")
+        return both.join(splittable(low), "u")  # a hub has many rows
 
     def fingerprint(edge_set: DataFrame) -> tuple:
         """Count and two hash sums; equal for equal edge sets. One row to the driver."""

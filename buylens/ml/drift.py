@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from buylens.functions.columns import flag, ratio, share
+from buylens.session import splittable
 
 
 def psi(base: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, epsilon: float = 1e-4, limit: float = 0.2) -> DataFrame:
@@ -48,5 +49,5 @@ def multivariate_outliers(df: DataFrame, by: str, columns: list[str], limit: flo
     z2 = [F.coalesce(F.pow(F.try_divide(F.col(c).cast("double") - F.col(f"_m_{c}"), F.when(F.col(f"_s_{c}") > 1e-9, F.col(f"_s_{c}"))), 2), F.lit(0.0))
           for c in columns]
     distance = F.sqrt(reduce(lambda a, b: a + b, z2))
-    return df.join(stats, by).withColumn("distance", distance).withColumn("outlier", F.col("distance") > limit).drop(
+    return df.join(splittable(stats), by).withColumn("distance", distance).withColumn("outlier", F.col("distance") > limit).drop(
         *[f"_{k}_{c}" for c in columns for k in "ms"])

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, StandardScaler, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -177,20 +177,6 @@ def top_factors(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.select(*keep, F.concat_ws("; ", text).alias("top_factors"))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], seed: int = SEED) -> DataFrame:
-    """Drop in ROC area when one feature is dealt out to other rows; for tree models."""
-    from buylens.graph.views import sequential_ids
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
-    base, rows = evaluator.evaluate(model.transform(df)), []
-    here = sequential_ids(df, ["invoice_id", "invoice_line_number"], "_n")
-    for f in features:
-        salt = F.xxhash64("invoice_id", "invoice_line_number", F.lit(seed))
-        dealt = sequential_ids(df.select(salt.alias("_h"), "invoice_id", "invoice_line_number", F.col(f).alias("_v")),
-                               ["_h", "invoice_id", "invoice_line_number"], "_n").select("_n", "_v")
-        rows.append((f, base - evaluator.evaluate(model.transform(here.join(dealt, "_n").withColumn(f, F.col("_v"))))))
-    return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
-
-
 def score_batch(model: PipelineModel, t, invoice_ids: DataFrame | None = None, features: list[str] = FEATURES) -> DataFrame:
     """Predicted class, probability, variance probability and confidence of invoice lines.
 
@@ -209,12 +195,13 @@ def score_one(model: PipelineModel, t, invoice_id: str, features: list[str] = FE
     return score_batch(model, t, ids, features)
 
 
-def text_classifier(materials: DataFrame, label: str = "category_id", text: str = "description") -> PipelineModel:
+def text_classifier(materials: DataFrame, label: str = "category_id", text: str = "description", features: int = 1 << 18,
+                    rounds: int = 100) -> PipelineModel:
     """Words, TF-IDF and multinomial logistic regression from a description to its class."""
     index = StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip")
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 12)
+    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features)
     return Pipeline(stages=[index, Tokenizer(inputCol=text, outputCol="words"), tf, IDF(inputCol="tf", outputCol="tfidf"),
-                            LogisticRegression(featuresCol="tfidf", labelCol="label", maxIter=20)]).fit(materials)
+                            LogisticRegression(featuresCol="tfidf", labelCol="label", maxIter=rounds)]).fit(materials)
 
 
 def top_classes(model: PipelineModel, materials: DataFrame, k: int = 3, key: str = "material_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from buylens.functions.columns import flag, ratio, share
 from buylens.operators.contracts import in_force
 from buylens.operators.hierarchy import category_closure
+from buylens.session import splittable
 
 Tables = Mapping[str, DataFrame]
 
@@ -45,15 +46,18 @@ def spend_by_category(t: Tables, top_n: int | None = 10, level: int | None = Non
 
 
 def spend_rollup(t: Tables) -> DataFrame:
-    """Spend by the three category levels with subtotals and a grand total."""
-    cat = t["category_hierarchy"].select("category_id", "parent_category_id")
-    levels = cat.select(F.col("category_id").alias("level_3"), F.col("parent_category_id").alias("level_2")).join(
-        cat.select(F.col("category_id").alias("level_2"), F.col("parent_category_id").alias("level_1")), "level_2")
-    leaf = t["po_line_item"].select("material_id", "net_value").join(
-        t["material_master"].select("material_id", F.col("category_id").alias("level_3")), "material_id").groupBy(
-        "level_3").agg(F.sum("net_value").alias("v"))
-    return leaf.join(levels, "level_3").rollup("level_1", "level_2", "level_3").agg(
-        F.sum("v").cast("decimal(20,2)").alias("total_spend"))
+    """Spend by the upper three category levels with subtotals and a grand total.
+
+    Spend on a node of level 1 or 2 stands under that node's own name on the levels below; deeper nodes count
+    with their ancestor of level 3.
+    """
+    up = category_closure(t["category_hierarchy"]).withColumn("from_top", F.max("depth").over(W.partitionBy("descendant")) - F.col("depth") + 1)
+    at = lambda k: F.max(F.when(F.col("from_top") == k, F.col("ancestor")))
+    path = up.groupBy(F.col("descendant").alias("category_id")).agg(*[at(k).alias(f"_{k}") for k in (1, 2, 3)]).select(
+        "category_id", F.col("_1").alias("level_1"), F.coalesce("_2", "_1").alias("level_2"), F.coalesce("_3", "_2", "_1").alias("level_3"))
+    spend = t["po_line_item"].select("material_id", "net_value").join(
+        t["material_master"].select("material_id", "category_id"), "material_id").groupBy("category_id").agg(F.sum("net_value").alias("v"))
+    return spend.join(path, "category_id").rollup("level_1", "level_2", "level_3").agg(F.sum("v").cast("decimal(20,2)").alias("total_spend"))
 
 
 def po_filter(t: Tables, status: str | None = None, maverick: bool | None = None, low=None, high=None,
@@ -137,4 +141,4 @@ def blocked_by_vendor(t: Tables, vendor: str | None = None) -> DataFrame:
     history = inv.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("invoice_count"),
                                            share(F.col("match_status") == "FULL_MATCH").alias("match_rate"))
     return (inv.filter("payment_block").select("invoice_id", "vendor_id", "block_reason", "total_net_amount")
-            .join(history, "vendor_id").join(t["vendor_master"].select("vendor_id", "quality_score"), "vendor_id"))
+            .join(splittable(history), "vendor_id").join(t["vendor_master"].select("vendor_id", "quality_score"), "vendor_id"))

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from buylens.session import cut_lineage
+from buylens.session import cut_lineage, splittable
+
+
+def ranks_within(df: DataFrame, by: str, order: list[Column | str], name: str) -> DataFrame:
+    """Rank of each row inside its group, from 1, however large the group is."""
+    placed = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), [by, *order], {"_at": "_one"})
+    first = placed.groupBy(by).agg((F.min("_at") - 1).alias("_before"))
+    return placed.join(splittable(first), by).withColumn(name, (F.col("_at") - F.col("_before")).cast("int")).drop("_one", "_at", "_before")
 
 
 def running_totals(df: DataFrame, order: list[Column | str], values: dict[str, str]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 from buylens.functions.columns import flag, mean, ratio, share
 from buylens.graph.views import sequential_ids
+from buylens.operators.ranking import running_totals
+from buylens.session import splittable
 
 
 def _domain(df: DataFrame, column: str, domain: list) -> DataFrame:
@@ -55,30 +57,16 @@ def rate_by(df: DataFrame, key: str, condition: Column, min_n: int = 1) -> DataF
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), share(condition).alias("rate")).filter(F.col("n") >= min_n)
 
 
-LARGE_GROUP = 100_000  # distinct values that one task may well sort
-
-
-def group_quantiles(df: DataFrame, by: list[str], x: str, probabilities: dict[str, float], pieces: int = 64) -> DataFrame:
+def group_quantiles(df: DataFrame, by: list[str], x: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation, and the group's row count ``n``.
 
-    Equal values are merged first. A group with very many values is split into pieces at
-    approximate cut points, so many tasks rank it; ranks are exact whatever the cuts.
+    Equal values are merged first. All groups' values are then put in one global order by range partitions, so a group of any
+    size is ranked by as many tasks as it fills.
     """
     values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    total = values.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("_values"))
-    large = total.filter(F.col("_values") > LARGE_GROUP).select(*by)
-    steps = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = values.join(large, by, "left_semi").groupBy(*by).agg(F.percentile_approx(F.col("x"), steps, 2000).alias("cuts"))
-    total = total.drop("_values")
-    placed = values.join(cuts, by, "left").withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(
-        F.size(F.filter("cuts", lambda cut: cut < F.col("x"))))).drop("cuts")
-    sizes = placed.groupBy(*by, "piece").agg(F.sum("c").alias("s"))
-    before = W.partitionBy(*by).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # at most `pieces` rows
-    offsets = sizes.select(*by, "piece", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy(*by, "piece").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (placed.withColumn("upto", F.sum("c").over(inside)).join(offsets, [*by, "piece"])
-              .withColumn("hi", F.col("offset") + F.col("upto")).withColumn("lo", F.col("hi") - F.col("c"))
-              .join(total, by))
+    ranked = running_totals(values, [*by, "x"], {"upto": "c"})
+    groups = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("_before"))
+    ranked = ranked.join(splittable(groups), by).withColumn("hi", F.col("upto") - F.col("_before")).withColumn("lo", F.col("hi") - F.col("c"))
     outs, lows, highs = [], [], []
     for name, p in probabilities.items():
         pos = F.lit(p) * (F.col("n") - 1)

@@ -43,6 +43,7 @@ QUERIES |= {
     "gq13_category_tree": g.category_tree,
     "gq14_vendor_plant_contracts": g.vendor_plant_contracts,
     "gq15_search": lambda t: g.search(t, "Ring"),
+    "gq15_search_all": lambda t: g.search(t, "Ring", limit=None),
     "gq16_summary": g.summary,
     "gq17_neighbors": g.neighbors,
     "gq18_ego_vertices": lambda t: g.ego_vertices(views.all_edges(t), blocked(t), 2),

@@ -63,6 +63,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _scratch[0].name
 
 
+def splittable(aggregate):
+    """An aggregate as the side of a join on its own key.
+
+    AQE splits a hot key only between bare shuffles, not where an aggregation stands on top of one. Written out, the
+    aggregate is read back as a plain side. Where there is no folder to write to, it stays as it is.
+    """
+    spark = aggregate.sparkSession
+    return cut_lineage(aggregate) if spark.sparkContext.getCheckpointDir() or shared_folder(spark) else aggregate
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder, used between iterations."""
     spark = df.sparkSession

@@ -52,10 +52,17 @@ class PurchasingTables:
         self.spark, self.source_dir = spark, source_dir.rstrip("/")
         folder = shared_folder(spark) if materialize else None
         tag = hashlib.sha1(f"{spark.sparkContext.applicationId}{self.source_dir}".encode()).hexdigest()[:12]
-        self.folder = f"{folder}/purchasing-{tag}" if folder else None
+        self._folder = f"{folder}/purchasing-{tag}" if folder else None
         self._frames: dict[str, DataFrame] = {}
         self.kept: set[str] = set()  # derived tables written beside the others
 
+    @property
+    def folder(self) -> str:
+        """Where derived tables and outputs go; an error on a cluster without a shared folder."""
+        if self._folder is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        return self._folder
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.source_dir}/{name}.parquet")
 
@@ -64,8 +71,8 @@ class PurchasingTables:
             df = getattr(self, f"_{name}")()
             if name in SCHEMAS:
                 df = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
-            if self.folder:
-                path = f"{self.folder}/{name}"
+            if self._folder:
+                path = f"{self._folder}/{name}"
                 df.write.mode("overwrite").parquet(path)
                 df = self.spark.read.schema(df.schema).parquet(path)
             self._frames[name] = df

@@ -90,16 +90,21 @@ def read_links(spark: SparkSession, store: str) -> DataFrame:
     return best.select("x.first_invoice_id", "invoice_id", "x.date_gap_days")
 
 
-def stream_overdue_receipts(orders: DataFrame, receipts: DataFrame, tolerance_days: int = 3, delay: str = "1 day") -> DataFrame:
+def stream_overdue_receipts(orders: DataFrame, receipts: DataFrame, tolerance_days: int = 3, delay: str = "1 day",
+                           earliest_days: int | None = None) -> DataFrame:
     """Orders without a receipt by their requested date plus the tolerance.
 
     ``orders`` has po_id and due_ts, ``receipts`` po_id and gr_ts. The outer join gives an
-    order up once the watermark has passed its deadline.
+    order up once the watermark has passed its deadline. A receipt counts however long before the
+    requested date it comes, so receipts stay in the state; ``earliest_days`` lets go of those that
+    are older than that before any date still open.
     """
     # Spark rejects a change of columns between the watermark and the outer join's key.
     o = orders.select("po_id", "due_ts").withWatermark("due_ts", delay).alias("o")
     r = receipts.select(F.col("po_id").alias("gr_po_id"), "gr_ts").withWatermark("gr_ts", delay).alias("r")
-    in_time = F.expr(f"gr_po_id = po_id and gr_ts <= due_ts + interval {tolerance_days} days and gr_ts >= due_ts - interval 400 days")
+    in_time = F.expr(f"gr_po_id = po_id and gr_ts <= due_ts + interval {tolerance_days} days")
+    if earliest_days is not None:
+        in_time = in_time & F.expr(f"gr_ts >= due_ts - interval {earliest_days} days")
     return o.join(r, in_time, "leftOuter").filter("gr_po_id is null").select("po_id", "due_ts")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from buylens.features import invoice, price, vendor
 from buylens.functions.columns import CONFIDENTIALITY, CRITICALITY, MATCH_CLASS, flag, lookup, ordinal, ratio, to_usd
 from buylens.operators.windows import sequence
+from buylens.session import splittable
 
 Tables = Mapping[str, DataFrame]
 
@@ -135,7 +136,7 @@ def uc02_table(t: Tables, leave_one_out: bool = True, invoice_ids: DataFrame | N
         behavior = invoice.invoice_behavior(t["invoice_header"], t["invoice_line_item"]).select(
             "vendor_id", *[F.col(r).alias(f"{r}_loo") for r in invoice.RATES])
         per_vendor = per_vendor.join(behavior, "vendor_id", "left")
-    return df.join(per_line, ["invoice_id", "invoice_line_number"]).join(per_vendor, "vendor_id", "left")
+    return df.join(per_line, ["invoice_id", "invoice_line_number"]).join(splittable(per_vendor), "vendor_id", "left")
 
 
 def feature_columns(df: DataFrame, target: str = "target_binary", features: list[str] = FEATURES) -> DataFrame:

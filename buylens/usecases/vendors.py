@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from buylens.features import invoice, vendor
 from buylens.functions.columns import CRITICALITY, flag, lookup, ordinal, ratio, share
 from buylens.operators.contracts import in_force
+from buylens.operators.ranking import ranks_within
 from buylens.operators.statistics import group_quantiles
 from buylens.operators.windows import last_date_before, sequence
 
@@ -98,8 +99,8 @@ def what_if_loss(t: Tables, vendors: list[str] | None = None, entities: list[str
         "material_id", F.coalesce("s", F.lit(0)).cast("decimal(18,2)").alias("lost_spend"), F.col("still").isNull().alias("left_without_source"))
 
 
-def alternative_vendors(t: Tables, category: str | None = None, exclude_entity: str | None = None, top: int = 5) -> DataFrame:
-    """Best active vendors of each category by quality and delivery, one per legal entity."""
+def alternative_vendors(t: Tables, category: str | None = None, exclude_entity: str | None = None, top: int | None = None) -> DataFrame:
+    """Active vendors of each category by quality and delivery, one per legal entity; all of them or the first ``top``."""
     v = t["vendor_master"].filter("status = 'ACTIVE'")
     if exclude_entity is not None:
         v = v.filter(F.col("legal_entity_id") != exclude_entity)
@@ -107,9 +108,8 @@ def alternative_vendors(t: Tables, category: str | None = None, exclude_entity:
     value = F.struct((-F.col("quality_score")).alias("q"), (-F.col("on_time_delivery_rate")).alias("o"), "vendor_id")
     best = links.join(v.select("vendor_id", "legal_entity_id", "quality_score", "on_time_delivery_rate"), "vendor_id").groupBy(
         "category_id", "legal_entity_id").agg(F.min(value).alias("b"))
-    # The limit is applied per task before the rows of a category meet.
-    rank = F.row_number().over(W.partitionBy("category_id").orderBy("b.q", "b.o", "b.vendor_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= top).select(
+    ranked = ranks_within(best, "category_id", ["b.q", "b.o", "b.vendor_id"], "rank")
+    return (ranked if top is None else ranked.filter(F.col("rank") <= top)).select(
         "category_id", "rank", "b.vendor_id", "legal_entity_id", (-F.col("b.q")).alias("quality_score"), (-F.col("b.o")).alias("on_time_delivery_rate"))
 
 

@@ -122,6 +122,7 @@ UNION ALL SELECT c.category_id, 'MATERIAL', material_id FROM category_hierarchy
 SQL["gq14_vendor_plant_contracts"] = """SELECT plant_id, vendor_id, contract_id, status, valid_to
 FROM (SELECT DISTINCT plant_id, vendor_id FROM source_list) LEFT JOIN contract_header USING (vendor_id)"""
 SQL["gq15_search"] = f"SELECT * FROM ({ALL_V}) WHERE vertex_id ILIKE '%ring%' OR label ILIKE '%ring%' ORDER BY vertex_id LIMIT 20"
+SQL["gq15_search_all"] = f"SELECT * FROM ({ALL_V}) WHERE vertex_id ILIKE '%ring%' OR label ILIKE '%ring%'"
 SQL["gq16_summary"] = f"""SELECT vertex_type AS kind, count(*) AS n, 'VERTEX' AS element FROM ({ALL_V}) GROUP BY 1
 UNION ALL SELECT edge_type, count(*), 'EDGE' FROM ({edges()}) GROUP BY 1"""
 SQL["gq17_neighbors"] = f"""WITH e AS ({edges()})

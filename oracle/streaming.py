@@ -31,8 +31,7 @@ FROM invoice_header GROUP BY 1""",
     "st04_stream_counts_sliding": windows("[date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 12 HOUR, date_trunc('day', ts) - INTERVAL 12 HOUR]"),
     "st05_stream_duplicates": lag_links("invoice_header", "vendor_id, total_gross_amount", 7),
     "st06_stream_overdue_receipts": """SELECT po_id, CAST(requested_delivery_date AS TIMESTAMP) AS due_ts FROM po_line_item p
-WHERE NOT EXISTS (SELECT 1 FROM gr_header g WHERE g.po_id = p.po_id AND g.gr_date <= p.requested_delivery_date + 20
-  AND g.gr_date >= p.requested_delivery_date - 400)
+WHERE NOT EXISTS (SELECT 1 FROM gr_header g WHERE g.po_id = p.po_id AND g.gr_date <= p.requested_delivery_date + 20)
 AND requested_delivery_date + 20 < (SELECT least(max(requested_delivery_date), (SELECT max(gr_date) FROM gr_header)) FROM po_line_item) - 1""",
     "st07_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x)

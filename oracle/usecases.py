@@ -262,7 +262,7 @@ FROM x GROUP BY material_id HAVING bool_or(gone)""",
   JOIN vendor_master v ON v.vendor_id = c.vendor_id WHERE status = 'ACTIVE'
   QUALIFY row_number() OVER (PARTITION BY category_id, legal_entity_id ORDER BY quality_score DESC, on_time_delivery_rate DESC, v.vendor_id) = 1)
 SELECT category_id, CAST(row_number() OVER (PARTITION BY category_id ORDER BY quality_score DESC, on_time_delivery_rate DESC, vendor_id) AS INTEGER) AS rank,
-  vendor_id, legal_entity_id, quality_score, on_time_delivery_rate FROM v QUALIFY rank <= 5""",
+  vendor_id, legal_entity_id, quality_score, on_time_delivery_rate FROM v""",
     "u901_uc09_features": """WITH g AS (SELECT l.gr_id, gr_line_number, l.material_id, gh.plant_id, h.vendor_id, gr_date, quantity_rejected, p.quantity
   FROM gr_line_item l JOIN gr_header gh ON gh.gr_id = l.gr_id JOIN po_line_item p ON p.po_id = l.po_id AND p.po_line_number = l.po_line_number
   JOIN po_header h ON h.po_id = l.po_id)
@@ -284,7 +284,7 @@ LEFT JOIN material_plant_extension e ON e.material_id = g.material_id AND e.plan
     "u1001_uc10_features": f"WITH {UC10} SELECT * FROM u10",
     "u1002_pr_priority": f"WITH {UC10} SELECT * FROM p10",
     "u1002_priority_queue": f"""WITH {UC10} SELECT *, CAST(row_number() OVER (PARTITION BY rule_priority ORDER BY priority_score DESC, pr_id, pr_line_number) AS INTEGER)
-  AS queue_rank FROM p10 QUALIFY queue_rank <= 100""",
+  AS queue_rank FROM p10""",
     "u1101_duplicate_links": lag_links("invoice_header", "vendor_id, total_gross_amount", 7),
     "u1102_duplicate_counts": """SELECT invoice_id,
   count(*) OVER (PARTITION BY vendor_id, total_gross_amount ORDER BY invoice_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 30 DAY FOLLOWING) - 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from buylens.functions import columns as C
 from buylens.operators import matching, payments
 from buylens.operators.confidentiality import mask_ids, redact
+from buylens.operators import analytics
 from buylens.operators.hierarchy import category_closure, category_root, purch_group_for
 from buylens.operators.validation import orphans
 from buylens.sources.tables import read_table_csv, write_tables_csv
@@ -100,6 +101,26 @@ def test_category_walks(spark):
     assert category_closure(cat).count() == 7
 
 
+def test_deep_tree(spark):
+    names = [f"L{i}" for i in range(1, 6)]
+    cat = spark.createDataFrame([(n, names[i - 1] if i else None, "G" if i == 0 else None, i + 1) for i, n in enumerate(names)],
+                                "category_id string, parent_category_id string, owner_purch_group_id string, level int")
+    assert rows(category_root(cat), "category_id") == [(n, "L1") for n in names]
+    assert rows(purch_group_for(cat), "category_id") == [(n, "G") for n in names]
+    assert category_closure(cat).count() == 15
+    t = {"category_hierarchy": cat, "material_master": spark.createDataFrame([(f"M{i}", n) for i, n in enumerate(names)], "material_id string, category_id string"),
+         "po_line_item": spark.createDataFrame([(f"M{i}", 10 ** i) for i in range(5)], "material_id string, net_value int")}
+    got = {(r.level_1, r.level_2, r.level_3): int(r.total_spend) for r in analytics.spend_rollup(t).collect()}
+    assert got == {(None, None, None): 11111, ("L1", None, None): 11111, ("L1", "L1", None): 1, ("L1", "L2", None): 11110, ("L1", "L1", "L1"): 1,
+                   ("L1", "L2", "L2"): 10, ("L1", "L2", "L3"): 11100}
+
+
+def test_cycle_is_an_error(spark):
+    cat = spark.createDataFrame([("A", "B"), ("B", "A")], "category_id string, parent_category_id string")
+    with pytest.raises(Exception, match="RECURSION"):
+        category_closure(cat).collect()
+
+
 def test_orphans_let_null_keys_pass(spark):
     child = spark.createDataFrame([("1", "a"), ("2", None), ("3", "z")], "id string, k string")
     parent = spark.createDataFrame([("a",)], "p string")

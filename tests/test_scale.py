@@ -13,7 +13,6 @@ from buylens.ml.metrics import binary_metrics
 from buylens.operators import windows
 from buylens.operators.ranking import running_totals
 from buylens.operators.statistics import group_quantiles
-from buylens.operators import statistics
 from buylens.plans.registry import plans
 from buylens.usecases import finance
 
@@ -46,10 +45,8 @@ def test_nearby_and_last(hot):
     assert same(windows.last_date_before(hot, ["k"], "d", F.col("v") > 6, "l").select("id", "l"), hot.select("id", hit))
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
-def test_quantiles_exact_either_way(hot, monkeypatch, limit):
-    monkeypatch.setattr(statistics, "LARGE_GROUP", limit)
-    got = {r.k: (r.n, r.a, r.b) for r in group_quantiles(hot, ["k"], "id", {"a": 0.25, "b": 0.5}, 8).collect()}
+def test_quantiles_exact(hot):
+    got = {r.k: (r.n, r.a, r.b) for r in group_quantiles(hot, ["k"], "id", {"a": 0.25, "b": 0.5}).collect()}
     want = {r.k: (r.n, *r.q) for r in hot.groupBy("k").agg(F.count("id").alias("n"), F.percentile("id", F.array(F.lit(.25), F.lit(.5))).alias("q")).collect()}
     assert got == want
 
@@ -115,3 +112,31 @@ def test_filters_reach_the_scan(t):
     from buylens.operators.reference import lookup_rows
     plan = lookup_rows(t, "source_list", plant_id="PL01").select("vendor_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(plant_id,PL01)" in plan and "lane_lead_time_days" not in plan
+
+
+def test_long_path(spark):
+    """No limit on the number of hops."""
+    edges = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(9)], "source_vertex string, target_vertex string")
+    steps = sorted((r.step, r.vertex_id) for r in g.shortest_path(edges, "v1", "v9").collect())
+    assert steps == [(i, f"v{i + 1}") for i in range(9)]
+    assert g.shortest_path(edges, "v1", "nowhere").count() == 0
+
+
+def test_hot_key_splits_at_an_aggregate(spark, hot):
+    """A join of facts with their own aggregate is split where one key holds a third of the rows."""
+    from buylens.session import splittable
+    wide = hot.unionByName(hot.withColumn("id", F.col("id") + 10_000)).withColumn("pad", F.sha2(F.col("id").cast("string"), 512))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        facts = splittable(wide.repartition(8))
+        joined = facts.join(splittable(facts.groupBy("k").agg(F.avg("v").alias("m"))), "k")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
