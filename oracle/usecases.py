@@ -1,5 +1,6 @@
 """DuckDB twins of the use cases."""
 
+from buylens.usecases.invoice_match import FEATURES
 from oracle.features import BEHAVIOR, LOO, PERF, PROFILE, months
 from oracle.validation import TIERS
 
@@ -185,6 +186,8 @@ FROM invoice_header JOIN po_header USING (po_id)""",
     "u207_uc02_table_serve": table(SERVE_RATES),
     "u208_feature_matrix_class": f"WITH {BASE} SELECT invoice_id, invoice_line_number, invoice_date, "
         + ", ".join(f"coalesce(({e})::DOUBLE, 0) AS {n}" for n, e in {**SPECIFIC, **TEMPORAL}.items()) + f", ({CLASS})::DOUBLE AS label FROM base",
+    "u208_feature_vector": f"WITH {BASE} SELECT invoice_id, invoice_line_number, ["
+        + ", ".join(f"coalesce(({e})::DOUBLE, 0)" for e in {**SPECIFIC, **TEMPORAL}.values()) + f"] AS features, ({CLASS})::DOUBLE AS label FROM base",
     "u209_missing_flag": f"WITH {BASE} SELECT invoice_id, invoice_line_number, (contract_agreed_price IS NOT NULL)::INT AS has_contract_agreed_price FROM base",
     "u210_leakage_report": f"""WITH {BASE}, {PROFILE}, x AS (SELECT {', '.join(f'coalesce(({e})::DOUBLE, 0) AS {n}' for n, e in SPECIFIC.items())},
   vp.* EXCLUDE (vendor_id), {', '.join(f'coalesce(v.{c}::DOUBLE, 0) AS {n}' for n, c in SCORES.items())}, (match_status <> 'FULL_MATCH')::INT::DOUBLE AS label
@@ -325,3 +328,8 @@ SELECT 'MATERIAL' AS entity, material_id AS entity_id, t AS stored_tier, r AS ru
 UNION ALL SELECT 'SOURCE', vendor_id || '@' || material_id || '@' || plant_id, (['PUBLIC', 'INTERNAL', 'RESTRICTED'])[own], (['PUBLIC', 'INTERNAL', 'RESTRICTED'])[need]
 FROM ({TIERS}) WHERE own < need""",
 }
+
+
+SQL["u210_leakage_report_all"] = f"WITH x AS ({SQL['u207_uc02_table_train']}) " + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, round(abs(CASE WHEN min({n}) < max({n}) THEN corr({n}::DOUBLE, label) END), 4) AS abs_corr, "
+    f"coalesce(abs(CASE WHEN min({n}) < max({n}) THEN corr({n}::DOUBLE, label) END) > 0.9, false) AS leaks FROM x" for n in FEATURES)
