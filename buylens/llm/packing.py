@@ -209,11 +209,13 @@ def packed(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
         for batch in batches:
             rank = batch.column("rank").to_numpy() + batch.column("base").to_numpy()
             at = np.searchsorted(keys, (batch.column("length").to_numpy().astype(np.int64) << 44) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])],
-                                             names=[*names[:5], "sequence_id", "offset"])
+            own = {c: batch.column(c) for c in names[:5]}
+            own["length"] = own["length"].cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*own.values(), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])],
+                                             names=[*own, "sequence_id", "offset"])
 
     return cut.join(bases, ["part", "length"]).select(*names).mapInArrow(
-        place, "doc_id bigint, piece int, start bigint, length int, ids binary, sequence_id bigint, offset bigint")
+        place, "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
