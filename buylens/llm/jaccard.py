@@ -37,7 +37,7 @@ FAMILY = 50
 #: Entries at most of the table of frequent tokens that is broadcast; tokens beyond it are taken as rare, which costs time only.
 ORDER_LIMIT = 1_000_000
 #: Hashes that a task gathers before it counts them.
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 #: Members of a group in one block.
 BLOCK = 256
 #: Bits of the broadcast filter of wanted document ids; beyond its size it lets more documents through, none is lost.
@@ -219,8 +219,8 @@ def group_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
 
         for batch in batches:
             found = []
-            for k, key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "key0", "node", "tokens")), strict=True):
-                own = _tokens(raw)
+            for k, key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "key0", "node")), batch.column("tokens"), strict=True):
+                own = _tokens(raw.as_py())
                 if (k, key) != bucket:
                     found += ends()
                     bucket, first, links, families = (k, key), (node, own), Groups(), Groups()
@@ -336,9 +336,9 @@ def opened_links(docs: DataFrame, grouped: DataFrame, pairs: DataFrame, width: i
         block, asks, links = None, [], Groups()
         for batch in batches:
             found = []
-            columns = (batch.column(c).to_pylist() for c in (*order, "root", "tokens"))
-            for target, row, column, side, root, raw in zip(*columns, strict=True):
-                own = _tokens(raw)
+            columns = (batch.column(c).to_pylist() for c in (*order, "root"))
+            for *at, side, root, raw in zip(*columns, batch.column("tokens"), strict=True):
+                (target, row, column), own = at, _tokens(raw.as_py())
                 if (target, row, column) != block:
                     found += links.stars()
                     block, asks, links = (target, row, column), [], Groups()

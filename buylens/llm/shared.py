@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def folder(spark: SparkSession, what: str) -> str:

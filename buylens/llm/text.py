@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+PIECE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = b" \t\n\v\f\r"
 
