@@ -114,18 +114,20 @@ def duplicate_counts(invoices: DataFrame, days: int = 30) -> DataFrame:
 
 
 def number_variants(invoices: DataFrame) -> DataFrame:
-    """Vendor invoice numbers with one character left out at each place.
+    """Vendor invoice numbers as they are, with one character left out, and with one character masked.
 
-    Numbers of equal length one character apart share exactly such a variant.
+    Numbers one replaced character apart share a masked variant; one with a character more than the other
+    shares its shortened variant with the other number itself.
     """
     number = F.col("vendor_invoice_number")
     places = F.sequence(F.lit(1), F.length(number))
-    cut = F.transform(places, lambda i: F.concat(F.substring(number, F.lit(1), i - 1), F.lit("_"), F.substring(number, i + 1, F.length(number))))
-    return invoices.select("invoice_id", "invoice_date", "vendor_id", F.explode(cut).alias("variant"))
+    cut = lambda mark: F.transform(places, lambda i: F.concat(F.substring(number, F.lit(1), i - 1), F.lit(mark), F.substring(number, i + 1, F.length(number))))
+    variants = F.array_distinct(F.concat(F.array(number), cut("_"), cut("")))
+    return invoices.select("invoice_id", "invoice_date", "vendor_id", F.explode(variants).alias("variant"))
 
 
 def number_links(invoices: DataFrame, days: int = 30) -> DataFrame:
-    """Links between invoices of a vendor whose numbers differ in one character."""
+    """Links between invoices of a vendor whose numbers are equal or one replaced, added or dropped character apart."""
     variants = number_variants(invoices).withColumn("h", F.xxhash64("vendor_id", "variant"))
     # Almost every variant occurs once. A count per hash sets those aside cheaply; the links
     # are made on the variants themselves, so a chance collision does no harm.
@@ -133,9 +135,21 @@ def number_links(invoices: DataFrame, days: int = 30) -> DataFrame:
     return duplicate_links(variants.join(repeated, "h", "left_semi"), days, ("vendor_id", "variant"))
 
 
+def amount_links(invoices: DataFrame, days: int = 30, step: float = 100.0) -> DataFrame:
+    """Links between invoices of a vendor with near amounts.
+
+    Amounts fall into cells of width ``step`` on two grids, half a cell apart, so amounts up to half a step apart always share a cell.
+    """
+    amount = F.col("total_gross_amount").cast("double")
+    cells = F.array(*[F.concat(F.lit(f"{k}:"), F.floor((amount + k * step / 2) / step).cast("string")) for k in (0, 1)])
+    placed = invoices.select("invoice_id", "invoice_date", "vendor_id", F.explode(cells).alias("cell"))
+    return duplicate_links(placed, days, ("vendor_id", "cell"))
+
+
 def candidate_links(invoices: DataFrame, days: int = 30) -> DataFrame:
-    """Invoices linked by amount, order or a number one character apart, each to its predecessor."""
-    links = [duplicate_links(invoices, days), duplicate_links(invoices, days, ("vendor_id", "po_id")), number_links(invoices, days)]
+    """Invoices linked by equal or near amount, order or a number one character apart, each to its predecessor."""
+    links = [duplicate_links(invoices, days), duplicate_links(invoices, days, ("vendor_id", "po_id")), number_links(invoices, days),
+             amount_links(invoices, days)]
     return reduce(DataFrame.unionByName, [x.select("first_invoice_id", "invoice_id") for x in links]).distinct()
 
 

@@ -295,11 +295,16 @@ LEFT JOIN material_plant_extension e ON e.material_id = g.material_id AND e.plan
   count(*) OVER (PARTITION BY po_id ORDER BY invoice_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 30 DAY FOLLOWING) - 1 AS uc11_same_po_reference
 FROM invoice_header""",
     "u1103_fuzzy_pairs": f"""WITH nv AS (SELECT invoice_id, invoice_date, vendor_id,
-    unnest(list_transform(range(1, length(vendor_invoice_number) + 1), lambda i: substr(vendor_invoice_number, 1, i - 1) || '_' || substr(vendor_invoice_number, i + 1))) AS variant
+    unnest(list_distinct([vendor_invoice_number] ||
+      list_transform(range(1, length(vendor_invoice_number) + 1), lambda i: substr(vendor_invoice_number, 1, i - 1) || '_' || substr(vendor_invoice_number, i + 1)) ||
+      list_transform(range(1, length(vendor_invoice_number) + 1), lambda i: substr(vendor_invoice_number, 1, i - 1) || substr(vendor_invoice_number, i + 1)))) AS variant
   FROM invoice_header),
+ac AS (SELECT invoice_id, invoice_date, vendor_id, unnest(['0:' || CAST(floor(total_gross_amount::DOUBLE / 100) AS BIGINT),
+  '1:' || CAST(floor((total_gross_amount::DOUBLE + 50) / 100) AS BIGINT)]) AS cell FROM invoice_header),
 p AS (SELECT first_invoice_id, invoice_id FROM ({lag_links('invoice_header', 'vendor_id, total_gross_amount', 30)})
   UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('invoice_header', 'vendor_id, po_id', 30)})
-  UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('nv', 'vendor_id, variant', 30)})),
+  UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('nv', 'vendor_id, variant', 30)})
+  UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('ac', 'vendor_id, cell', 30)})),
 s AS (SELECT invoice_id, list(DISTINCT material_id || '/' || quantity_invoiced) AS s FROM invoice_line_item GROUP BY 1)
 SELECT first_invoice_id, p.invoice_id, CAST(levenshtein(a.vendor_invoice_number, b.vendor_invoice_number) AS INTEGER) AS uc11_invoice_number_distance,
   abs(a.total_gross_amount - b.total_gross_amount)::DOUBLE / a.total_gross_amount::DOUBLE AS uc11_amount_deviation,

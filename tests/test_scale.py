@@ -92,9 +92,30 @@ def test_duplicate_links_cover_all_duplicates(spark):
 
 def test_number_variants_find_one_character(spark):
     data = [("a", "V", "AB-0012", dt.date(2024, 1, 1)), ("b", "V", "AB-0019", dt.date(2024, 1, 3)), ("c", "V", "AB-0777", dt.date(2024, 1, 4)),
-            ("d", "W", "AB-0012", dt.date(2024, 1, 2))]
+            ("d", "W", "AB-0012", dt.date(2024, 1, 2)), ("e", "V", "AB-00129", dt.date(2024, 1, 5))]
     inv = spark.createDataFrame(data, "invoice_id string, vendor_id string, vendor_invoice_number string, invoice_date date")
-    assert {(r.first_invoice_id, r.invoice_id) for r in finance.number_links(inv).collect()} == {("a", "b")}
+    assert {(r.first_invoice_id, r.invoice_id) for r in finance.number_links(inv).collect()} == {("a", "b"), ("a", "e"), ("b", "e")}
+
+
+def test_planted_copies_are_candidates(spark):
+    """A copy with one character replaced, added or dropped, or with a near amount, is linked with its original or with what lies between."""
+    rnd, data = random.Random(11), []
+    for n in range(150):
+        number, amount, day = f"{rnd.randrange(10**7):07d}", rnd.randrange(10**6) / 100 + 1000 * n, dt.date(2024, 1, 1) + dt.timedelta(rnd.randrange(20))
+        k = rnd.randrange(7)
+        kind = n % 4
+        other = (number[:k] + "x" + number[k + 1:], number[:k] + "x" + number[k:], number[:k] + number[k + 1:], f"z{n}")[kind]
+        data += [(f"o{n}", "V", number, amount, day, f"po{n}"), (f"c{n}", "V", other, amount + (40 if kind == 3 else 500_000), day + dt.timedelta(rnd.randrange(9)), f"pc{n}")]
+    inv = spark.createDataFrame(data, "invoice_id string, vendor_id string, vendor_invoice_number string, total_gross_amount double, invoice_date date, po_id string")
+    parent = {i: i for i, *_ in data}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for r in finance.candidate_links(inv).collect():
+        parent[root(r.invoice_id)] = root(r.first_invoice_id)
+    assert all(root(f"o{n}") == root(f"c{n}") for n in range(150))
 
 
 def test_plans_have_no_cross_joins_or_python(t):
