@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from buylens.features.price import price_stats
 from buylens.functions.columns import flag, ratio
 from buylens.operators.matching import three_way_match_lines
+from buylens.session import splittable
 from buylens.streaming.runs import run_batches
 from buylens.usecases.finance import duplicate_links
 
@@ -29,7 +30,8 @@ def stream_match(lines: DataFrame, t: Tables) -> DataFrame:
 
 def stream_po_check(lines: DataFrame, t: Tables, ratio_limit: float = 1.15, z_limit: float = 2.0) -> DataFrame:
     """Maverick and price check of new order lines against a snapshot of prices and sources."""
-    prices = price_stats(t["po_line_item"], ["material_id"]).select("material_id", "p_avg_unit_price", "p_std_unit_price")
+    # Written once before the stream starts, or every batch would read the whole history.
+    prices = splittable(price_stats(t["po_line_item"], ["material_id"]).select("material_id", "p_avg_unit_price", "p_std_unit_price"))
     heads = t["po_header"].select("po_id", "vendor_id", "plant_id")
     lanes = t["source_list"].select("material_id", "plant_id", "vendor_id", "approval_status")
     price = F.col("unit_price").cast("double")
