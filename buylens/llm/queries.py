@@ -27,10 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled good and not toxic; background: all."""
+    """Target: documents labelled good and not toxic; background: all. Every word of the corpus is a token of its own."""
     good = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
     losses = ("target_loss", "background_loss", "score")
-    return scoring.scored(_table(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in losses])
+    return scoring.scored(_table(spark, sf_dir, "documents"), good, scoring.Model(size=None)).select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in losses])
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,12 @@
 Two bigram models, of the target documents and of the whole corpus, share one vocabulary, order and smoothing. Each document's score is the mean over its tokens of
 the target's loss minus the background's: the lower, the more it is like the target.
 
-The vocabulary is the ``size`` most frequent words of the corpus; every other word is one further token, which is counted and scored like any. A model is then a table of
-(size + 2)**2 counts at most, whatever the corpus, so the scoring tasks hold it whole. Counts cover all documents, gathered per task before they meet.
+Without a ``size`` every word of the corpus is a token of its own: words and bigrams, by 64-bit hash, are counted in tables that grow with the corpus, and each document's
+bigrams are joined to the table of losses. Only bigrams of at least one in HELD of all tokens, so at most HELD of them, are held by the scoring tasks: none of
+these reaches the join, and no other has a larger share of it.
+
+With a ``size`` the vocabulary is the most frequent words; every other word is one further token, which is counted and scored like any. A model is then a table of
+(size + 2)**2 counts at most, so the scoring tasks hold it whole. Counts cover all documents, gathered per task before they meet.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -24,9 +28,9 @@ from .shared import stored
 
 @dataclass(frozen=True)
 class Model:
-    """Words in the vocabulary; weight of the bigram against the unigram estimate; count added to each unigram."""
+    """Words in the vocabulary, None for all; weight of the bigram against the unigram estimate; count added to each unigram."""
 
-    size: int = 1534
+    size: int | None = 1534
     bigram_weight: float = 0.7
     added: float = 0.5
 
@@ -38,6 +42,8 @@ class Model:
 
 #: Distinct words a task holds before it passes their counts on.
 FLUSH = 400_000
+#: Bigrams of at least one in so many tokens are scored where the document lies.
+HELD = 1 << 20
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -162,6 +168,8 @@ def scored(docs: DataFrame, target: DataFrame, model: Model = Model()) -> DataFr
     Losses are bits per token; score is target minus background. Null or empty texts have no tokens and null losses. Without target documents the target model is uniform.
     Repeated rows are counted and scored each; repeated ids in ``target`` count once and a null one never. Extra columns are not read.
     """
+    if model.size is None:
+        return _scored_by_all_words(docs, target, model)
     if model.tokens > 1 << 16:
         raise ValueError("token numbers have 16 bits")
     ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
@@ -184,3 +192,122 @@ def scored(docs: DataFrame, target: DataFrame, model: Model = Model()) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *columns], schema=schema)
 
     return tokens.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+
+
+def _hashed_bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's words begin, the words' hashes, those before them (0 at a text's beginning) and the bigrams' hashes."""
+    words = tx.Words(texts, tx.SPACED)
+    first, own = words.first, words.hash
+    before = np.zeros_like(own)
+    before[1:] = own[:-1]
+    before[first[:-1][first[:-1] < len(own)]] = 0
+    return first, own, before, tx.mix(tx.mix(before + np.uint64(1)) + own)
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(pair, before, token, n, target_n) with each pair once."""
+    pair, before, token, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(pair)
+    pair = pair[order]
+    starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    sums = [np.add.reduceat(c[order], starts) if len(pair) else c for c in counts]
+    return pair[starts], before[order][starts], token[order][starts], *sums
+
+
+def all_pair_counts(texts: DataFrame) -> DataFrame:
+    """(pair, before, token, n, target_n) of ``texts`` (text, target): bigrams of words by their hashes."""
+    names = ["pair", "before", "token", "n", "target_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = _summed(parts)
+            for at in range(0, len(found[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 17)].view(np.int64)) for x in found], names=names)
+            parts.clear()
+
+        for batch in tx.small_batches(batches):
+            first, own, before, pair = _hashed_bigrams(batch.column("text"))
+            of_target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
+            parts.append(_summed([(pair, before, own, np.ones(len(own), np.int64), of_target)]))
+            if sum(len(x[0]) for x in parts) > 2 * FLUSH:
+                parts[:] = [_summed(parts)]
+                if len(parts[0][0]) > FLUSH:
+                    yield from flush()
+        if parts:
+            yield from flush()
+
+    counted = texts.select("text", "target").mapInArrow(run, "pair bigint, before bigint, token bigint, n bigint, target_n bigint")
+    return counted.groupBy("pair", "before", "token").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
+
+
+def all_losses(pairs: DataFrame, model: Model) -> tuple[DataFrame, int]:
+    """(pair, n, target_loss, background_loss) in bits, and the number of tokens; estimates as in ``losses``, where a word that never occurs is one further token."""
+    sums = lambda key: stored(pairs.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("target_n").alias(f"{key}_target")), key)
+    words, befores = sums("token"), sums("before")
+    total = words.agg(F.count(F.lit(1)).alias("words"), F.sum("token_n").alias("n"), F.sum("token_target").alias("target")).first()
+    mass = model.added * (total["words"] + 1)
+
+    def loss(n: str, single: str, row: str, tokens: int | None) -> Column:
+        estimate = (F.col(single) + model.added) / F.lit(float((tokens or 0) + mass))
+        mixed = model.bigram_weight * F.try_divide(n, row) + (1 - model.bigram_weight) * estimate
+        return -F.log2(F.when(F.col(row) > 0, mixed).otherwise(estimate))
+
+    # Words' and pairs' tables both grow with the corpus; written first, so that a frequent word's pairs are split.
+    joined = pairs.join(words.hint("merge"), "token").join(befores.hint("merge"), "before")
+    return joined.select("pair", "n", loss("target_n", "token_target", "before_target", total["target"]).alias("target_loss"),
+                         loss("n", "token_n", "before_n", total["n"]).alias("background_loss")), total["n"] or 0
+
+
+def _scored_by_all_words(docs: DataFrame, target: DataFrame, model: Model) -> DataFrame:
+    ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = source.join(ids.hint("merge"), source["doc_id"] == ids["_target"], "left")
+    texts = stored(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.col("_target").isNotNull().alias("target")), "texts")
+    found, total = all_losses(stored(all_pair_counts(texts), "pairs"), model)
+    found = stored(found, "losses")
+    least = max(2, -(-total // HELD))
+    table = found.where(F.col("n") >= least).drop("n").toArrow()
+    order = np.argsort(table["pair"].to_numpy())
+    held = docs.sparkSession.sparkContext.broadcast([table[c].to_numpy()[order] for c in ("pair", "target_loss", "background_loss")])
+
+    def places(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a bigram is in the held table, and whether it is there."""
+        known = held.value[0]
+        if not len(known):
+            return np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
+        at = np.searchsorted(known, pair).clip(max=len(known) - 1)
+        return at, known[at] == pair
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches):
+            first, _, _, pair = _hashed_bigrams(batch.column("text"))
+            at, there = places(pair.view(np.int64))
+            size = np.diff(first)
+            sums = [np.bincount(np.repeat(np.arange(len(size)), size)[there], x[at[there]], len(size)).astype(float) for x in held.value[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, sums)],
+                                             names=["row", "doc_id", "n_tokens", "target_sum", "background_sum"])
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches):
+            first, _, _, pair = _hashed_bigrams(batch.column("text"))
+            pair = pair.view(np.int64)
+            rest = ~places(pair)[1]
+            doc, pair = np.repeat(np.arange(len(first) - 1), np.diff(first))[rest], pair[rest]
+            order = np.lexsort((pair, doc))
+            doc, pair = doc[order], pair[order]
+            starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(doc))).astype(np.int32)
+            rows = batch.column("row").to_numpy()[doc[starts]]
+            for lo in range(0, len(starts), 1 << 17):
+                part = slice(lo, lo + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[part]), pa.array(pair[starts][part]), pa.array(times[part])], names=["row", "pair", "times"])
+
+    rare = texts.select("row", "text").mapInArrow(far, "row bigint, pair bigint, times int")
+    rare = rare.join(found.where(F.col("n") < least).drop("n").hint("merge"), "pair").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("target_loss")).alias("target_rest"), F.sum(F.col("times") * F.col("background_loss")).alias("background_rest"))
+    known = texts.select("row", "doc_id", "text").mapInArrow(near, "row bigint, doc_id bigint, n_tokens bigint, target_sum double, background_sum double")
+    mean = lambda k: F.try_divide(F.col(f"{k}_sum") + F.coalesce(f"{k}_rest", F.lit(0.0)), F.col("n_tokens")).alias(f"{k}_loss")
+    return known.join(rare.hint("merge"), "row", "left").select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn(
+        "score", F.col("target_loss") - F.col("background_loss"))
