@@ -1,7 +1,7 @@
 """Secret scan with structural confirmation.
 
-Patterns find candidates; what they cannot tell is decided by decoding: base64 or hex is decoded and parsed as a private key (nested DER lengths or
-length-prefixed OpenSSH fields), and dotted base64url is a signed token only if its header and claims are JSON with an algorithm.
+Patterns find candidates; what they cannot tell is decided by decoding: base64 or hex is decoded, also over line breaks and from every place inside a run where a key can
+begin, and parsed as a private key (nested DER lengths, length-prefixed OpenSSH fields, or encoded armor), and dotted base64url is a signed token only if its header and claims are JSON with an algorithm.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +28,22 @@ ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-ENCODED = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_ENCODED = re.compile(rb"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-#: Texts without any of these have nothing to report.
-HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_.=-]{40}|-----BEGIN "
+ARMOR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
+#: Header lines of an armored key and the empty line after them.
+HEADERS = re.compile(rb"\s*((?:[A-Za-z0-9-]+:[^\n]*\n)+)")
+CIPHER = re.compile(rb"DEK-Info:\s*[A-Z0-9-]+,((?:[0-9A-Fa-f]{2}){8,})\s")
+_BREAK = rb"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*"
+RUN = re.compile(rb"[A-Za-z0-9+/_-]+(?:" + _BREAK + rb"[A-Za-z0-9+/_-]+)*")
+HEX_RUN = re.compile(rb"[0-9A-Fa-f]+(?:" + _BREAK + rb"[0-9A-Fa-f]+)*")
+BREAK = re.compile(_BREAK)
+#: Shortest run, without its breaks, that is tried as base64 and as hex.
+LEAST, HEX_LEAST = 40, 64
+BEGIN = b"-----BEGIN "
+_core = lambda k: base64.b64encode(bytes(k) + BEGIN + bytes(3))[(0, 2, 3)[k]:(k + len(BEGIN)) * 8 // 6]
+#: Where a key can begin in base64: a DER sequence, OpenSSH's magic, or armor at each of the three places in a group; and how far before it the group begins.
+STARTS = re.compile(b"(?=(?:(M[A-I])|(b3BlbnNzaC1rZXktdj)|(%s)|(%s)|(%s)))" % tuple(re.escape(_core(k)) for k in range(3)))
+BACK = (0, 0, 0, 2, 3)
+HEX_STARTS = re.compile(b"(?=(30)|(6f70656e7373682d6b65792d7631)|(%s))" % BEGIN.hex().encode())
 
 
 def der(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -53,6 +65,17 @@ def der(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def der_end(data: bytes) -> int:
+    """Where the element that ``data`` begins with ends by its length; -1 unless it begins as a private key does."""
+    if len(data) < 5 or data[0] != 0x30:
+        return -1
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80 or len(data) < 5 + n:
+        return -1
+    size = int.from_bytes(data[2:2 + n], "big") if n else data[1]
+    return 2 + n + size if data[2 + n] == 0x30 or data[2 + n:4 + n] == b"\2\1" else -1
+
+
 def is_der_key(data: bytes) -> bool:
     """A private key: RSA or DSA integers, an EC scalar, a wrapped key, or an encrypted wrapped key."""
     outer = der(data)
@@ -70,26 +93,28 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x04] and algorithm(inner[0][1]) and len(inner[1][1]) >= 16
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Magic, then cipher, derivation, options, a count, public keys and the private part, each with its length."""
+def openssh_end(data: bytes) -> int:
+    """Where an OpenSSH key ends: magic, then cipher, derivation, options, a count, public keys and the private part, each with its length; -1 if it is none."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
-    at, count = len(magic), 1
-    for field in range(3 + 1):
-        if field == 3:
-            count, at = int.from_bytes(data[at:at + 4], "big"), at + 4
-            break
+        return -1
+    at = len(magic)
+    for _ in range(3):
         at = _skip(data, at)
         if at < 0:
-            return False
+            return -1
+    count, at = int.from_bytes(data[at:at + 4], "big"), at + 4
     if not 1 <= count <= 16:
-        return False
+        return -1
     for _ in range(count + 1):
         at = _skip(data, at)
         if at < 0:
-            return False
-    return at == len(data)
+            return -1
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_end(data) == len(data)
 
 
 def _skip(data: bytes, at: int) -> int:
@@ -112,6 +137,74 @@ def is_key(data: bytes) -> bool:
     return is_der_key(data) or is_openssh_key(data)
 
 
+def is_armored(match: re.Match[bytes]) -> bool:
+    """A key, or by its headers an encrypted one: whole blocks of a named cipher."""
+    body = re.sub(rb"\\r\\n|\\n|\\r|\r", b"\n", match[2])
+    headers = HEADERS.match(body)
+    data = decoded(re.sub(rb"[\s\\]", b"", body[headers.end():] if headers else body))
+    if is_key(data):
+        return True
+    cipher = headers and b"ENCRYPTED" in headers[1] and CIPHER.search(headers[1])
+    return bool(cipher and len(data) >= 16 and len(data) % (len(cipher[1]) // 2) == 0)
+
+
+def joined(span: bytes, start: int) -> tuple[bytes, list[int], list[int]]:
+    """A run without its line breaks, and for each of its lines where it begins there and in the text."""
+    parts, there, here, at, total = [], [], [], 0, 0
+    for m in [*BREAK.finditer(span), None]:
+        part = span[at:m.start() if m else len(span)]
+        parts.append(part)
+        there.append(total)
+        here.append(start + at)
+        total += len(part)
+        at = m.end() if m else at
+    return b"".join(parts), there, here
+
+
+def key_spans(raw: bytes) -> list[tuple[int, int]]:
+    """Keys in base64 and hex, from every place inside a run where one can begin."""
+    out = []
+    for pattern, least, starts, per, width in ((RUN, LEAST, STARTS, 6, 4), (HEX_RUN, HEX_LEAST, HEX_STARTS, 4, 2)):
+        for run in pattern.finditer(raw):
+            if run.end() - run.start() < least:
+                continue
+            body, there, here = joined(run[0], run.start())
+            if len(body) < least:
+                continue
+            body = body.lower() if width == 2 else body.replace(b"-", b"+").replace(b"_", b"/")
+
+            def decode(a: int, b: int) -> bytes:
+                part = body[a:b]
+                if width == 2:
+                    return bytes.fromhex(part[:len(part) // 2 * 2].decode())
+                part = part[:-1] if len(part) % 4 == 1 else part
+                return base64.b64decode(part + b"=" * (-len(part) % 4))
+
+            for m in starts.finditer(body):
+                kind = m.lastindex - 1
+                a, ends = m.start(), []
+                if kind == 0:
+                    n = der_end(decode(a, a + 16))
+                    if n > 0 and a + -(-n * 8 // per) <= len(body) and is_der_key(decode(a, a + -(-n * 8 // per))):
+                        ends.append(n)
+                elif kind == 1:
+                    n = openssh_end(decode(a, len(body)))
+                    if n > 0:
+                        ends.append(n)
+                else:
+                    a -= BACK[kind] if width == 4 else 0
+                    ends += [x.end() for x in ARMOR.finditer(decode(max(a, 0), len(body))) if is_armored(x)] if a >= 0 else []
+                for n in ends:
+                    last = a + -(-n * 8 // per) - 1
+                    place = lambda x: here[k := bisect_right(there, x) - 1] + x - there[k]
+                    end = place(last) + 1
+                    pad = -(last + 1 - a) % 4 if width == 4 else 0
+                    while pad and raw[end:end + 1] == b"=":
+                        end, pad = end + 1, pad - 1
+                    out.append((place(a), end))
+    return out
+
+
 def is_signed(raw: bytes) -> bool:
     header, claims, signature = raw.split(b".")
     try:
@@ -129,11 +222,7 @@ def found(raw: bytes) -> list[tuple[str, int, int]]:
     out += [("access", *m.span()) for m in ACCESS.finditer(raw) if len(m[0]) >= 20]
     out += [("hex", *m.span()) for m in HEX.finditer(raw) if len(m[0]) >= 24]
     out += [("token", *m.span()) for m in SIGNED.finditer(raw) if is_signed(m[0])]
-    keys = [m.span() for m in ARMOR.finditer(raw) if is_key(decoded(re.sub(rb"\s|\\n|\\r", b"", m[2])))]
-    for pattern, decode in ((ENCODED, decoded), (HEX_ENCODED, lambda x: bytes.fromhex(x.decode()))):
-        # DER of a key begins with a sequence, OpenSSH's with its magic
-        hits = (m for m in pattern.finditer(raw) if m[0].startswith((b"M", b"b3Blb", b"30")))
-        keys += [m.span() for m in hits if is_key(decode(m[0]))]
+    keys = [m.span() for m in ARMOR.finditer(raw) if is_armored(m)] + key_spans(raw)
     whole: list[tuple[int, int]] = []
     for a, b in sorted(set(keys), key=lambda s: (s[0], -s[1])):  # an armored key contains its base64
         if not whole or b > whole[-1][1]:
@@ -155,9 +244,11 @@ def in_points(raw: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[str,
 def spans_of(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
     texts = pc.fill_null(texts.cast(pa.string()), "")
     out: list[list[tuple[str, int, int]]] = [[] for _ in range(len(texts))]
-    for i in pc.indices_nonzero(pc.match_substring_regex(texts, HINT)).to_pylist():
-        raw = texts[i].as_py().encode()
-        out[i] = in_points(raw, found(raw))
+    for i, text in enumerate(texts.to_pylist()):
+        raw = text.encode()
+        spans = found(raw)
+        if spans:
+            out[i] = in_points(raw, spans)
     return out
 
 
