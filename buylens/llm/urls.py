@@ -8,6 +8,7 @@ so a URL looks up its own tokens and checks the rest of the few rules it meets.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,12 @@ BAD = "label:bad"
 
 @dataclass(frozen=True)
 class Mining:
-    """Share of labelled URLs that an itemset needs, with a count below which no rule is made; share of bad ones; longest combination."""
+    """Share of labelled URLs that an itemset needs, with a count below which no rule is made; share of bad ones; longest combination, None for any."""
 
     min_support: float = 0.002
     min_count: int = 20
     min_confidence: float = 0.8
-    max_tokens: int = 4
+    max_tokens: int | None = None
 
 
 def host_of(url: Column) -> Column:
@@ -62,15 +63,20 @@ def mined(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     # Whatever is frequent together with the label is frequent without it, so every rule finds its own support among the itemsets.
     frequent = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(items).freqItemsets
     sets = stored(frequent.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "itemsets")
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.size("items") <= how.max_tokens + 1)).select(
+    fits = F.lit(True) if how.max_tokens is None else F.size("items") <= how.max_tokens + 1
+    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & fits).select(
         F.array_remove("items", BAD).alias("tokens"), F.col("n").alias("bad_n"))
-    sure = bad.join(sets.withColumnRenamed("items", "tokens"), "tokens").withColumn("confidence", F.col("bad_n") / F.col("n")).where(
-        F.col("confidence") >= how.min_confidence)
-    # Drop a rule if leaving out one or more tokens gives another rule at least as sure.
-    parts = sure.withColumn("part", F.explode(_subsets("tokens"))).select("tokens", "confidence", "part")
-    known = sure.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
-    redundant = parts.join(known, "part").where("part_confidence >= confidence").select("tokens").distinct()
-    rules = sure.join(redundant, "tokens", "left_anti")
+    rated = bad.join(sets.withColumnRenamed("items", "tokens"), "tokens").withColumn("confidence", F.col("bad_n") / F.col("n"))
+    rated = stored(rated.withColumn("sure", F.when(F.col("confidence") >= how.min_confidence, F.col("confidence"))), "rated")
+    # Drop a rule if leaving out one or more tokens gives another rule at least as sure: by size, each combination learns the surest rule among its parts.
+    level = rated.where(F.size("tokens") == 1).withColumn("below", F.lit(None).cast("double"))
+    levels = [level]
+    for size in range(2, (rated.agg(F.max(F.size("tokens"))).first()[0] or 0) + 1):
+        best = level.select(F.col("tokens").alias("part"), F.greatest("sure", "below").alias("best"))
+        parts = rated.where(F.size("tokens") == size).withColumn("part", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))))
+        level = stored(parts.join(best, "part").groupBy(*rated.columns).agg(F.max("best").alias("below")), "level")
+        levels.append(level)
+    rules = reduce(DataFrame.unionByName, levels).where("sure is not null and (below is null or below < sure)")
     single = sets.where((F.size("items") == 1)).select(F.col("items")[0].alias("token"), F.col("n").alias("token_n"))
     rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(
         F.min(F.struct("token_n", "token"))["token"].alias("rarest"))
@@ -78,12 +84,6 @@ def mined(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
                                                       F.col("n").cast("bigint").alias("support"), "confidence"), "rules")
 
 
-def _subsets(name: str) -> Column:
-    """Proper non-empty subsets of a short array, in its order."""
-    numbers = F.sequence(F.lit(1), F.expr(f"cast(shiftleft(1, size({name})) - 2 as int)"))
-    return F.when(F.size(name) > 1, F.transform(numbers, lambda n: F.filter(name, lambda x, i: F.getbit(n, i) == 1))).otherwise(F.array().cast("array<array<string>>"))
-
-
 def matched(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """(key, rule_tokens, confidence): the surest rule of each page that meets one; ties go to the longer, then the first one."""
     index = rules.select("rarest", "tokens", "confidence")
