@@ -74,5 +74,19 @@ select d.doc_id, coalesce(n_tokens, 0) as n_tokens, round(lt, 6) as target_loss,
 from doc d left join mean using (doc_id)"""
 
 
+NEGATIVES = """
+with valid as (select vec_id, cast(label as bigint) as label, embedding from embeddings
+               where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+vec as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from valid),
+pair as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+         from vec a join vec b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positive as (select * from pair where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+win as (select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+               row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as rank
+        from positive p join pair n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from win where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op2_lm_scoring": SCORING, "op3_ngram_jaccard": JACCARD, "op4_chat_rotation": CHAT}
+    return {"op1_decontamination": DECONTAMINATION, "op2_lm_scoring": SCORING, "op3_ngram_jaccard": JACCARD, "op4_chat_rotation": CHAT,
+            "op13_hard_negatives": NEGATIVES}

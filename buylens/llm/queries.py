@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, jaccard, packing, quality, rans, scoring, secrets, urls
+from . import chat, decontamination, html, jaccard, negatives, packing, quality, rans, scoring, secrets, urls
 from .shared import prepared
 
 
@@ -80,7 +80,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("secrets")).alias("spans"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_lm_scoring, op3_ngram_jaccard, op4_chat_rotation, op5_quality_rules, op6_html_extraction, op7_rans, op8_packing,
-        op9_url_rules, op10_secrets)}
+        op9_url_rules, op10_secrets, op13_hard_negatives)}

@@ -13,15 +13,29 @@ ARROW_BYTES = 8 << 20
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/llm/{what}-{uuid.uuid4().hex}"
+    """A new folder below the shared one; an error where a cluster session names none."""
+    shared = shared_folder(spark)
+    if shared is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{shared}/llm/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Write a table and read it back: its lineage ends and a lost executor costs nothing."""
+def stored(df: DataFrame, what: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write a table, in folders by the column ``by`` if given, and read it back: its lineage ends and a lost executor costs nothing."""
     path = folder(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def prepared(spark: SparkSession) -> SparkSession:
