@@ -57,13 +57,10 @@ _MODEL = scoring.Model()
 SCORING = f"""
 with doc as (select doc_id, {_SPACED} as w, doc_id in (select doc_id from labels where quality = 1 and coalesce(toxic, 0) = 0) as target from documents),
 word as (select doc_id, target, i, w[i] as word from doc, unnest(generate_series(1, len(w))) as g(i) where len(w) > 0),
-vocabulary as (select word from word group by word order by count(*) desc, encode(word) limit {_MODEL.size}),
-token as (select doc_id, target, i, coalesce(v.word, ' ') as t from word left join vocabulary v using (word)),
-pair as (select doc_id, target, t, coalesce(lag(t) over (partition by doc_id order by i), '') as b from token),
+pair as (select doc_id, target, word as t, coalesce(lag(word) over (partition by doc_id order by i), '') as b from word),
 n2 as (select b, t, count(*) as n, count(*) filter (target) as m from pair group by all),
-types as (select word as t from vocabulary union all select ' ' from (select count(*) as k from vocabulary)),
-alltypes as (select t from types union all select '#' || k from unnest(generate_series(1, {_MODEL.size} - (select count(*) from vocabulary))) as g(k)),
-n1 as (select a.t, coalesce(sum(n), 0) + {_MODEL.added} as n, coalesce(sum(m), 0) + {_MODEL.added} as m from alltypes a left join n2 using (t) group by a.t),
+types as (select distinct t from n2 union all select ' '),
+n1 as (select a.t, coalesce(sum(n), 0) + {_MODEL.added} as n, coalesce(sum(m), 0) + {_MODEL.added} as m from types a left join n2 using (t) group by a.t),
 p1 as (select t, n / sum(n) over () as p, m / sum(m) over () as q from n1),
 n0 as (select b, sum(n) as n, sum(m) as m from n2 group by b),
 loss as (select b, t, -log2(case when n0.n > 0 then {_MODEL.bigram_weight} * n2.n / n0.n + {1 - _MODEL.bigram_weight:.12g} * p else p end) as lb,
@@ -87,6 +84,18 @@ win as (select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as
 select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from win where rank <= 5"""
 
 
+LEXICAL = f"""
+with doc as (select doc_id, row_number() over () as row, {_ALNUM} as w from documents),
+tf as (select row, any_value(doc_id) as doc_id, any_value(len(w)) as n, t, count(*) as tf from (select row, doc_id, w, unnest(w) as t from doc) group by row, t),
+total as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from (select row, any_value(n) as n from tf group by row)),
+weight as (select t, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, total group by t),
+item as (select item_id, row, t, count(*) as times from (select item_id, row_number() over () as row, unnest({_ALNUM}) as t from benchmark) group by all),
+impact as (select tf.row, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) as impact from tf join weight using (t), total),
+score as (select item.row, item_id, doc_id, cast(sum(times * impact) as bigint) as score from item join impact using (t) group by item.row, item_id, impact.row, doc_id),
+placed as (select *, row_number() over (partition by row order by score desc, doc_id nulls last) as rank from score where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from placed where rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": DECONTAMINATION, "op2_lm_scoring": SCORING, "op3_ngram_jaccard": JACCARD, "op4_chat_rotation": CHAT,
-            "op13_hard_negatives": NEGATIVES}
+            "op11_lexical_search": LEXICAL, "op13_hard_negatives": NEGATIVES}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, jaccard, negatives, packing, quality, rans, scoring, secrets, urls
+from . import chat, decontamination, html, jaccard, lexical, negatives, packing, pii, quality, rans, scoring, secrets, urls
 from .shared import prepared
 
 
@@ -30,7 +30,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic; background: all. Every word of the corpus is a token of its own."""
     good = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
     losses = ("target_loss", "background_loss", "score")
-    return scoring.scored(_table(spark, sf_dir, "documents"), good, scoring.Model(size=None)).select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in losses])
+    return scoring.scored(_table(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in losses])
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("secrets")).alias("spans"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: ~s["added"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(_table(spark, sf_dir, "embeddings"))
 
@@ -87,4 +99,4 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_lm_scoring, op3_ngram_jaccard, op4_chat_rotation, op5_quality_rules, op6_html_extraction, op7_rans, op8_packing,
-        op9_url_rules, op10_secrets, op13_hard_negatives)}
+        op9_url_rules, op10_secrets, op11_lexical_search, op12_pii, op13_hard_negatives)}

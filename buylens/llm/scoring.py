@@ -1,313 +1,239 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of the target documents and of the whole corpus, share one vocabulary, order and smoothing. Each document's score is the mean over its tokens of
-the target's loss minus the background's: the lower, the more it is like the target.
+Two bigram models, of the target documents and of the whole corpus, share one vocabulary (every word of the corpus, by 64-bit hash), order and smoothing. Each
+document's score is the mean over its tokens of the target's loss minus the background's: the lower, the more it is like the target.
 
-Without a ``size`` every word of the corpus is a token of its own: words and bigrams, by 64-bit hash, are counted in tables that grow with the corpus, and each document's
-bigrams are joined to the table of losses. Only bigrams of at least one in HELD of all tokens, so at most HELD of them, are held by the scoring tasks: none of
-these reaches the join, and no other has a larger share of it.
-
-With a ``size`` the vocabulary is the most frequent words; every other word is one further token, which is counted and scored like any. A model is then a table of
-(size + 2)**2 counts at most, so the scoring tasks hold it whole. Counts cover all documents, gathered per task before they meet.
+Texts are read twice, to count words and to number them; after that only batches of token numbers are kept. The most frequent words have small numbers, which all tasks hold
+(at most ``Model.held``); a rarer word is known by its hash. Each batch sends its different words and bigrams, sorted and packed, to the buckets that count them over
+the corpus, and gets their counts back in the same order. So no count table has to be joined to single occurrences, and what is counted grows with the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import stored
+from .shared import discard, stored
 
 
 @dataclass(frozen=True)
 class Model:
-    """Words in the vocabulary, None for all; weight of the bigram against the unigram estimate; count added to each unigram."""
+    """Weight of the bigram against the unigram estimate; count added to each word; and the sizes of the work, which change no result."""
 
-    size: int | None = 1534
     bigram_weight: float = 0.7
     added: float = 0.5
-
-    @property
-    def tokens(self) -> int:
-        """0 begins a document, 1 is any other word."""
-        return self.size + 2
+    #: The most frequent words, which tasks hold by hash: 2**20 at most, as bigrams of them have 42 bits.
+    held: int = 1 << 20
+    #: Tokens of the corpus per bucket of counted keys.
+    bucket: int = 1 << 20
 
 
-#: Distinct words a task holds before it passes their counts on.
+#: Different words a task holds before it passes their counts on.
 FLUSH = 400_000
-#: Bigrams of at least one in so many tokens are scored where the document lies.
-HELD = 1 << 20
+# Kinds of keys, in their highest two bits: bigrams of held words, other bigrams by hash, words as tokens, words with a token after them.
+_SHIFT = np.uint64(62)
+_MASK = np.uint64((1 << 62) - 1)
+_RARE = np.uint64(1 << 61)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+def packed(values: np.ndarray) -> bytes:
+    """Integers, byte by byte of equal weight, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
-        def flush() -> pa.RecordBatch:
-            words, n = pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
 
-        for batch in tx.small_batches(batches):
-            for raw in tx.binary(batch.column("text")).to_pylist():
-                counts.update(tx.SPACED[np.frombuffer(raw, dtype=np.uint8)].tobytes().split())
-                if len(counts) > FLUSH:
-                    yield flush()
-        yield flush()
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all documents, words by hash."""
+    names = ["word", "n"]
 
-def vocabulary(docs: DataFrame, model: Model) -> np.ndarray:
-    """Sorted hashes of the most frequent words; ties go to the word that sorts first."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(model.size).collect()
-    hashes = tx.Words(pa.array([bytes(r["word"]).decode() for r in top], pa.string()), tx.SPACED).hash
-    return np.unique(hashes)
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found, at = np.unique(words, return_inverse=True)
+        return found, np.bincount(at, n, len(found)).astype(np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-class _Numbers:
-    """Token numbers of words, by hash, with a bitmap in front of the search."""
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, n = summed(parts)
+            for at in range(0, len(words), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at:at + (1 << 17)].view(np.int64)), pa.array(n[at:at + (1 << 17)])], names=names)
+            parts.clear()
+
+        for batch in tx.small_batches(batches):
+            parts.append(np.unique(tx.Words(batch.column("text"), tx.SPACED).hash, return_counts=True))
+            if sum(len(p[0]) for p in parts) > 2 * FLUSH:
+                parts[:] = [summed(parts)]
+                if len(parts[0][0]) > FLUSH:
+                    yield from flush()
+        if parts:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = hashes
-        self.seen = np.zeros(1 << 16, dtype=bool)
-        self.seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        out = np.ones(len(words), dtype=np.int32)
-        maybe = np.flatnonzero(self.seen[(words >> np.uint64(48)).astype(np.int64)])
-        if len(maybe):
-            at = np.searchsorted(self.hashes, words[maybe]).clip(max=len(self.hashes) - 1)
-            out[maybe] = np.where(self.hashes[at] == words[maybe], at + 2, 1)
-        return out
+_BATCH = "batch bigint, ids array<bigint>, sizes array<int>, tokens binary, rare binary"
 
 
-def numbered(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(doc_id, tokens): each text as token numbers of 16 bits, all that the models need of it."""
-    held = docs.sparkSession.sparkContext.broadcast(hashes)
+def numbered(docs: DataFrame, words_held, held: int) -> DataFrame:
+    """Batches of documents: their ids and sizes, token numbers from 1 on (0 stands before a text), and the hashes of words that are not held.
+
+    The held words have the numbers 1 to ``held``; the ones after those are places in the batch's own list of rarer words.
+    """
+    schema = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("rare", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(held.value)
-        for batch in tx.small_batches(batches):
+        from pyspark import TaskContext
+        known, rank = words_held.value
+        base = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(tx.small_batches(batches)):
             words = tx.Words(batch.column("text"), tx.SPACED)
-            own = numbers.of(words.hash).astype("<u2")
-            rows = [own[a:b].tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "tokens"])
+            own, at = np.unique(words.hash, return_inverse=True)
+            place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            there = known[place] == own if len(known) else np.zeros(len(own), bool)
+            number = np.where(there, rank[place] if len(known) else 0, 0).astype(np.uint32)
+            number[~there] = held + 1 + np.arange((~there).sum(), dtype=np.uint32)
+            yield tx.rows_to_batch([(base + k, batch.column("doc_id").to_pylist(), np.diff(words.first).tolist(), packed(number[at]), packed(own[~there]))], schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, tokens binary")
+    return docs.mapInArrow(run, _BATCH)
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each batch with where its texts' tokens begin, the tokens and those before them (0 at a text's beginning)."""
-    for batch in batches:
-        bounds, data = tx.buffers(batch.column("tokens").cast(pa.large_binary()))
-        first, own = bounds // 2, np.frombuffer(data.tobytes(), dtype="<u2").astype(np.int64)
+class Keys:
+    """A batch's tokens as keys to be counted: bigrams, words, and words with a token after them, each sorted; and where each token finds its own."""
+
+    def __init__(self, sizes: list[int], tokens: bytes, rare: bytes, held: int) -> None:
+        self.sizes = np.array(sizes, np.int64)
+        own, hashes = unpacked(tokens, np.uint32).astype(np.uint64), unpacked(rare, np.uint64)
         before = np.zeros_like(own)
         before[1:] = own[:-1]
-        before[first[:-1][first[:-1] < len(own)]] = 0
-        yield batch, first, own, before
-
-
-def pair_counts(tokens: DataFrame, model: Model) -> DataFrame:
-    """(before, token, n, target_n): bigrams of all documents and of those with ``target``."""
-    width = model.tokens
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, width * width), dtype=np.int64)
-        for batch, first, own, before in _bigrams(batches):
-            pairs = before * width + own
-            of_target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            for k, some in ((0, pairs), (1, pairs[of_target])):
-                found, n = np.unique(some, return_counts=True)
-                total[k, found] += n
-        found = np.flatnonzero(total[0])
-        for at in range(0, len(found), 1 << 18):
-            some = found[at:at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array((some // width).astype(np.int32)), pa.array((some % width).astype(np.int32)),
-                                              pa.array(total[0, some]), pa.array(total[1, some])], names=["before", "token", "n", "target_n"])
-
-    counted = tokens.select("tokens", "target").mapInArrow(run, "before int, token int, n bigint, target_n bigint")
-    return counted.groupBy("before", "token").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
-
-
-def losses(pairs: pa.Table, model: Model) -> np.ndarray:
-    """(2, tokens, tokens) losses in bits: target, background; bigram and smoothed unigram estimates mixed with fixed weights.
-
-    After a token that a model has never seen, its unigram estimate stands alone, so every row sums to one.
-    """
-    width = model.tokens
-    out = np.empty((2, width, width))
-    before, token = pairs["before"].to_numpy(), pairs["token"].to_numpy()
-    for k, name in ((0, "target_n"), (1, "n")):
-        counts = np.zeros((width, width))
-        counts[before, token] = pairs[name].to_numpy()
-        single = counts.sum(axis=0) + model.added
-        single[0] = 0  # nothing is followed by the beginning
-        single /= single.sum()
-        rows = counts.sum(axis=1)
-        for i in range(width):
-            weight = model.bigram_weight if rows[i] else 0.0
-            mixed = weight * counts[i] / max(rows[i], 1.0) + (1 - weight) * single
-            with np.errstate(divide="ignore"):
-                out[k, i] = -np.log2(mixed)
-    out[:, :, 0] = 0
-    return out
+        first = np.cumsum(self.sizes) - self.sizes
+        before[first[self.sizes > 0]] = 0
+        words = np.concatenate([np.arange(held + 1, dtype=np.uint64), _RARE | (tx.mix(hashes) & (_RARE - np.uint64(1)))])
+        both = (own <= held) & (before <= held)
+        pair = before << np.uint64(21) | own
+        wide = tx.mix(tx.mix(words[before[~both].astype(np.int64)] + np.uint64(1)) + words[own[~both].astype(np.int64)])
+        pair[~both] = np.uint64(1) << _SHIFT | wide & _MASK
+        parts = [np.unique(x, return_inverse=True, return_counts=True) for x in (pair, own, before)]
+        #: For each token the place of its bigram, its word, and the word before it among the keys.
+        self.places, at = [], 0
+        for _, place, n in parts:
+            self.places.append(place + at)
+            at += len(n)
+        self.keys = np.concatenate([parts[0][0], *(np.uint64(k) << _SHIFT | words[parts[k - 1][0].astype(np.int64)] for k in (2, 3))])
+        self.pairs, self.words = len(parts[0][0]), len(parts[1][0])
+
+    def counts(self, marked: np.ndarray) -> np.ndarray:
+        """Occurrences of each key in all documents and in the ``marked`` ones."""
+        token = np.repeat(marked, self.sizes)
+        return np.stack([np.bincount(np.concatenate([p[some] for p in self.places]), minlength=len(self.keys)) for some in (slice(None), token)]).astype(np.uint32)
+
+    def routes(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' order by bucket and value, and where each bucket begins in it."""
+        bucket = (tx.mix(self.keys) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.keys, bucket))
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def sent(batches: DataFrame, buckets: int, held: int) -> DataFrame:
+    """(bucket, batch, keys, n, target_n): what each batch asks of each bucket; ``marked`` has the places of its target documents."""
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("target_n", pa.binary())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for number, sizes, tokens, rare, marked in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                own = Keys(sizes, tokens, rare, held)
+                flags = np.zeros(len(sizes), bool)
+                flags[np.array(marked or [], np.int64)] = True
+                n = own.counts(flags)
+                order, cuts = own.routes(buckets)
+                rows = []
+                for k in np.flatnonzero(np.diff(cuts)):
+                    at = order[cuts[k]:cuts[k + 1]]
+                    rows.append((int(k), number, packed(np.diff(own.keys[at], prepend=np.uint64(0))), packed(n[0, at]), packed(n[1, at])))
+                yield tx.rows_to_batch(rows, schema)
+
+    return batches.select("batch", "sizes", "tokens", "rare", "marked").mapInArrow(run, "bucket int, batch bigint, keys binary, n binary, target_n binary")
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """(batch, bucket, n, target_n): the corpus's counts of the keys that a batch sent, in the order it sent them."""
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("target_n", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in table["keys"].to_pylist()]
+        keys = np.concatenate(parts)
+        _, at = np.unique(keys, return_inverse=True)
+        totals = []
+        for name in ("n", "target_n"):
+            n = np.concatenate([unpacked(x, np.uint32) for x in table[name].to_pylist()])
+            totals.append(np.bincount(at, n).astype(np.uint64)[at])
+        cuts = np.cumsum([0, *map(len, parts)])
+        rows = [[packed(t[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for t in totals]
+        return pa.table([table["batch"], table["bucket"], pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], schema=schema)
+
+    return asked.groupBy("bucket").applyInArrow(run, "batch bigint, bucket int, n binary, target_n binary")
 
 
 def scored(docs: DataFrame, target: DataFrame, model: Model = Model()) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``; ``target`` has the doc_ids of the target documents.
 
-    Losses are bits per token; score is target minus background. Null or empty texts have no tokens and null losses. Without target documents the target model is uniform.
-    Repeated rows are counted and scored each; repeated ids in ``target`` count once and a null one never. Extra columns are not read.
+    Losses are bits per token; score is target minus background. A loss mixes the bigram's share among what follows the word before it with the word's smoothed share;
+    after a word that a model has never seen (or has seen only at the end of texts) the latter stands alone. One further word, which never occurs, has its share, too.
+    Null or empty texts have no tokens and null losses. Without target documents the target model is uniform. Repeated rows are counted and scored each; repeated
+    ids in ``target`` count once and a null one never. Extra columns are not read.
     """
-    if model.size is None:
-        return _scored_by_all_words(docs, target, model)
-    if model.tokens > 1 << 16:
-        raise ValueError("token numbers have 16 bits")
-    ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = stored(numbered(source, vocabulary(source, model)), "tokens")
-    # Both sides grow with the corpus: always a sorted join, and of numbers instead of texts.
-    marked = tokens.join(ids.hint("merge"), tokens["doc_id"] == ids["_target"], "left").withColumn("target", F.col("_target").isNotNull())
-    held = docs.sparkSession.sparkContext.broadcast(losses(pair_counts(marked, model).toArrow(), model))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        for batch, first, own, before in _bigrams(batches):
-            size = np.diff(first)
-            sums = [np.concatenate([[0.0], np.cumsum(table[k][before, own])])[first] for k in (0, 1)]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                a, b = (np.diff(s) / size for s in sums)
-            none = size == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *columns], schema=schema)
-
-    return tokens.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
-
-
-def _hashed_bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where each text's words begin, the words' hashes, those before them (0 at a text's beginning) and the bigrams' hashes."""
-    words = tx.Words(texts, tx.SPACED)
-    first, own = words.first, words.hash
-    before = np.zeros_like(own)
-    before[1:] = own[:-1]
-    before[first[:-1][first[:-1] < len(own)]] = 0
-    return first, own, before, tx.mix(tx.mix(before + np.uint64(1)) + own)
-
-
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(pair, before, token, n, target_n) with each pair once."""
-    pair, before, token, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(pair)
-    pair = pair[order]
-    starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(c[order], starts) if len(pair) else c for c in counts]
-    return pair[starts], before[order][starts], token[order][starts], *sums
-
-
-def all_pair_counts(texts: DataFrame) -> DataFrame:
-    """(pair, before, token, n, target_n) of ``texts`` (text, target): bigrams of words by their hashes."""
-    names = ["pair", "before", "token", "n", "target_n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = _summed(parts)
-            for at in range(0, len(found[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 17)].view(np.int64)) for x in found], names=names)
-            parts.clear()
-
-        for batch in tx.small_batches(batches):
-            first, own, before, pair = _hashed_bigrams(batch.column("text"))
-            of_target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
-            parts.append(_summed([(pair, before, own, np.ones(len(own), np.int64), of_target)]))
-            if sum(len(x[0]) for x in parts) > 2 * FLUSH:
-                parts[:] = [_summed(parts)]
-                if len(parts[0][0]) > FLUSH:
-                    yield from flush()
-        if parts:
-            yield from flush()
-
-    counted = texts.select("text", "target").mapInArrow(run, "pair bigint, before bigint, token bigint, n bigint, target_n bigint")
-    return counted.groupBy("pair", "before", "token").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
-
-
-def all_losses(pairs: DataFrame, model: Model) -> tuple[DataFrame, int]:
-    """(pair, n, target_loss, background_loss) in bits, and the number of tokens; estimates as in ``losses``, where a word that never occurs is one further token."""
-    sums = lambda key: stored(pairs.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("target_n").alias(f"{key}_target")), key)
-    words, befores = sums("token"), sums("before")
-    total = words.agg(F.count(F.lit(1)).alias("words"), F.sum("token_n").alias("n"), F.sum("token_target").alias("target")).first()
+    words = stored(word_counts(source), "words")
+    total = words.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).first()
+    top = words.orderBy(F.desc("n"), "word").limit(model.held).select("word").toArrow()["word"].to_numpy().view(np.uint64)
+    order = np.argsort(top)
+    words_held = spark.sparkContext.broadcast((top[order], (order + 1).astype(np.uint32)))
+    discard(words)
+    batches = stored(numbered(source, words_held, model.held), "batches")
+    # Only ids meet the target's ids, and only places in a batch come back.
+    ids = target.select(F.col("doc_id").cast("bigint").alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    each = batches.select("batch", F.posexplode(F.arrays_zip("ids", "sizes")).alias("place", "doc"))
+    hits = each.join(ids, F.col("doc.ids") == F.col("_target")).select("batch", "place", F.col("doc.sizes").alias("size"))
+    marks = stored(hits.groupBy("batch").agg(F.collect_list("place").alias("marked"), F.sum("size").alias("size")), "marks")
+    tokens = (total["n"] or 0, marks.agg(F.sum("size")).first()[0] or 0)
+    buckets = max(1, -(-tokens[0] // model.bucket))
+    counted = stored(answered(sent(batches.join(marks.select("batch", "marked"), "batch", "left"), buckets, model.held)), "counts")
+    discard(marks)
+    back = counted.groupBy("batch").agg(F.collect_list(F.struct("bucket", "n", "target_n")).alias("counts"))
     mass = model.added * (total["words"] + 1)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
-    def loss(n: str, single: str, row: str, tokens: int | None) -> Column:
-        estimate = (F.col(single) + model.added) / F.lit(float((tokens or 0) + mass))
-        mixed = model.bigram_weight * F.try_divide(n, row) + (1 - model.bigram_weight) * estimate
-        return -F.log2(F.when(F.col(row) > 0, mixed).otherwise(estimate))
-
-    # Words' and pairs' tables both grow with the corpus; written first, so that a frequent word's pairs are split.
-    joined = pairs.join(words.hint("merge"), "token").join(befores.hint("merge"), "before")
-    return joined.select("pair", "n", loss("target_n", "token_target", "before_target", total["target"]).alias("target_loss"),
-                         loss("n", "token_n", "before_n", total["n"]).alias("background_loss")), total["n"] or 0
-
-
-def _scored_by_all_words(docs: DataFrame, target: DataFrame, model: Model) -> DataFrame:
-    ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = source.join(ids.hint("merge"), source["doc_id"] == ids["_target"], "left")
-    texts = stored(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.col("_target").isNotNull().alias("target")), "texts")
-    found, total = all_losses(stored(all_pair_counts(texts), "pairs"), model)
-    found = stored(found, "losses")
-    least = max(2, -(-total // HELD))
-    table = found.where(F.col("n") >= least).drop("n").toArrow()
-    order = np.argsort(table["pair"].to_numpy())
-    held = docs.sparkSession.sparkContext.broadcast([table[c].to_numpy()[order] for c in ("pair", "target_loss", "background_loss")])
-
-    def places(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a bigram is in the held table, and whether it is there."""
-        known = held.value[0]
-        if not len(known):
-            return np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
-        at = np.searchsorted(known, pair).clip(max=len(known) - 1)
-        return at, known[at] == pair
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.small_batches(batches):
-            first, _, _, pair = _hashed_bigrams(batch.column("text"))
-            at, there = places(pair.view(np.int64))
-            size = np.diff(first)
-            sums = [np.bincount(np.repeat(np.arange(len(size)), size)[there], x[at[there]], len(size)).astype(float) for x in held.value[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, sums)],
-                                             names=["row", "doc_id", "n_tokens", "target_sum", "background_sum"])
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.small_batches(batches):
-            first, _, _, pair = _hashed_bigrams(batch.column("text"))
-            pair = pair.view(np.int64)
-            rest = ~places(pair)[1]
-            doc, pair = np.repeat(np.arange(len(first) - 1), np.diff(first))[rest], pair[rest]
-            order = np.lexsort((pair, doc))
-            doc, pair = doc[order], pair[order]
-            starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            times = np.diff(np.append(starts, len(doc))).astype(np.int32)
-            rows = batch.column("row").to_numpy()[doc[starts]]
-            for lo in range(0, len(starts), 1 << 17):
-                part = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[part]), pa.array(pair[starts][part]), pa.array(times[part])], names=["row", "pair", "times"])
-
-    rare = texts.select("row", "text").mapInArrow(far, "row bigint, pair bigint, times int")
-    rare = rare.join(found.where(F.col("n") < least).drop("n").hint("merge"), "pair").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("target_loss")).alias("target_rest"), F.sum(F.col("times") * F.col("background_loss")).alias("background_rest"))
-    known = texts.select("row", "doc_id", "text").mapInArrow(near, "row bigint, doc_id bigint, n_tokens bigint, target_sum double, background_sum double")
-    mean = lambda k: F.try_divide(F.col(f"{k}_sum") + F.coalesce(f"{k}_rest", F.lit(0.0)), F.col("n_tokens")).alias(f"{k}_loss")
-    return known.join(rare.hint("merge"), "row", "left").select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn(
-        "score", F.col("target_loss") - F.col("background_loss"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for doc_ids, sizes, numbers, rare, counts in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                own = Keys(sizes, numbers, rare, model.held)
+                route, cuts = own.routes(buckets)
+                n = np.zeros((2, len(own.keys)))
+                for row in counts or []:
+                    at = route[cuts[row["bucket"]]:cuts[row["bucket"] + 1]]
+                    n[0, at], n[1, at] = unpacked(row["target_n"], np.uint64), unpacked(row["n"], np.uint64)
+                first = np.cumsum([0, *own.sizes])
+                means = []
+                for k, count in ((0, tokens[1]), (1, tokens[0])):
+                    pair, word, before = (n[k][p] for p in own.places)
+                    single = (word + model.added) / (count + mass)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        loss = -np.log2(np.where(before > 0, model.bigram_weight * pair / before + (1 - model.bigram_weight) * single, single))
+                        means.append(np.diff(np.concatenate([[0.0], np.cumsum(loss)])[first]) / own.sizes)
+                none = own.sizes == 0
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(own.sizes), *(pa.array(x, pa.float64(), mask=none) for x in (*means, means[0] - means[1]))], schema=schema)
+
+    return batches.join(back, "batch", "left").select("ids", "sizes", "tokens", "rare", "counts").mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")

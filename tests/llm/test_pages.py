@@ -143,19 +143,17 @@ def test_chat(llm):
 
 def brute_scores(rows, good, model):
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
-    counts = Counter(w for _, t in rows for w in split(t))
-    known = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:model.size]}
     pairs, single, first = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
     texts = []
     for doc, t in rows:
-        own = [w if w in known else None for w in split(t)]
+        own = split(t)
         texts.append((doc, list(zip(["", *own], own))))
         for k in (0, 1) if doc in good else (1,):
             for b, w in texts[-1][1]:
                 pairs[k][b, w] += 1
                 single[k][w] += 1
                 first[k][b] += 1
-    total = [sum(single[k].values()) + model.added * (model.size + 1) for k in (0, 1)]
+    total = [sum(single[k].values()) + model.added * (len(single[1]) + 1) for k in (0, 1)]
 
     def loss(k, b, w):
         p = (single[k][w] + model.added) / total[k]
@@ -165,11 +163,12 @@ def brute_scores(rows, good, model):
         yield doc, len(own), a[0], b[0], None if a[0] is None else a[0] - b[0]
 
 
-@pytest.mark.parametrize("size", [3, 60])
-def test_scores(llm, odd, docs, size):
+@pytest.mark.parametrize("held", [1 << 20, 20, 1])
+@pytest.mark.parametrize("bucket", [1 << 20, 500])
+def test_scores(llm, odd, docs, held, bucket):
     rows = [(r.doc_id, r.text) for r in odd.collect()] + [(r.doc_id + 1000, r.text) for r in docs.limit(30).collect()]
-    good, model = {4, 6, 1003, 1008, 1010}, scoring.Model(size=size)
-    df = llm.createDataFrame(rows, "doc_id bigint, text string").withColumns({"target": F.lit("x"), "score": F.lit(0)})
+    good, model = {4, 6, 1003, 1008, 1010}, scoring.Model(held=held, bucket=bucket)
+    df = llm.createDataFrame(rows, "doc_id bigint, text string").withColumns({"target": F.lit("x"), "score": F.lit(0), "batch": F.lit("clash"), "Marked": F.lit(1)})
     target = llm.createDataFrame([(x,) for x in [*good, 4, None]], "doc_id bigint")
     form = lambda xs: Counter(tuple(x if x is None or isinstance(x, int) else round(x, 7) + 0.0 for x in r) for r in xs)
     assert form(map(tuple, scoring.scored(df, target, model).collect())) == form(brute_scores(rows, good, model))
@@ -183,6 +182,6 @@ def test_scores_tell_domains_apart(llm):
         words = [f"a{r.randrange(50)}" if r.random() < (0.8 if k % 2 else 0.2) else f"b{r.randrange(50)}" for _ in range(60)]
         rows.append((k, " ".join(words)))
     target = llm.createDataFrame([(k,) for k in range(1, 300, 2)], "doc_id bigint")
-    got = scoring.scored(llm.createDataFrame(rows, "doc_id bigint, text string"), target, scoring.Model(size=120)).where("doc_id >= 300").collect()
+    got = scoring.scored(llm.createDataFrame(rows, "doc_id bigint, text string"), target).where("doc_id >= 300").collect()
     middle = sorted(x.score for x in got)[len(got) // 2]  # a small target costs all texts alike, so ranks count
     assert sum((x.score < middle) == (x.doc_id % 2 == 1) for x in got) >= 0.95 * len(got)
