@@ -14,11 +14,11 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 from html import unescape
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,11 +30,14 @@ from .urls import host_of
 #: A text is template if at least this share of the different pages of a host or of one of its layouts, and this many, have it at the same node. Where a host or layout
 #: has fewer pages, but two at least, a text that all of them have is template, unless such texts are more than half of the page's article: those are copies.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.5, 5
-#: Products of child counts beyond which a node's children are aligned by equal runs first.
-PRODUCT = 40_000
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+#: Children's lists shorter than this are aligned in plain Python, longer ones row by row with numpy: the same match.
+SHORT = 24
+
+# A quote opens a quoted value only right after the equals sign, as in HTML; anywhere else it is a character of a name or value.
+_VALUE = r"(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+"
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+" + _VALUE + r")*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+", re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of HTML: elements without content, with raw text, that end others, that break lines.
@@ -55,27 +58,42 @@ NAMES = frozenset((
     "notice notices notification alert alerts popup modal overlay interstitial paywall nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar sidebars rail widget widgets "
     "footer foot masthead topbar comment comments commentlist disqus respond reply replies discussion feedback responses share sharing social follow related recommended recommendations "
     "recommendation newsletter subscribe subscription signup login signin search pagination pager toolbar skip copyright legal disclaimer teaser teasers trending popular outbrain taboola").split())
+#: Words that say nothing on their own beside one of those names: a class or id is such a name only if all of its words are among both.
+NEUTRAL = frozenset((
+    "box slot list area block section container wrapper wrap inner outer top bottom left right center bar link links button buttons item items unit panel group holder zone space "
+    "module post posts page pages site user users reader readers form article articles story stories news global primary secondary sticky inline mobile desktop small large row col "
+    "column columns header heading title head icon icons js id main content entry a the on for to us your my by and more").split())
+#: Names that a part of the article may have as well; in an article they count only if the element is no plain prose.
+AMBIGUOUS = frozenset("discussion responses feedback legal promotion search follow respond".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure br hr b strong i em u s sub sup code q cite span a img small mark abbr time".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion responses".split())
 MAIN_NAMES = frozenset("article content post entry story main body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "attributes", "children", "parent", "number", "shape", "dropped")
+    __slots__ = ("tag", "names", "tokens", "attributes", "children", "parent", "number", "shape", "dropped", "kind")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
-        words = _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))
-        self.names = frozenset(w.lower() for w in words)
+        named = attributes.get("class", "") + " " + attributes.get("id", "") if attributes else ""
+        #: Words of each class and of the id, without numbers; and all of them.
+        self.tokens = [t for token in named.split() if (t := frozenset(w.lower() for w in _WORD.findall(token) if not w.isdigit()))]
+        self.names = frozenset().union(*self.tokens)
         self.shape = (tag, attributes.get("class", ""))
-        self.number = -1
+        self.number = self.kind = -1
         self.dropped = False
 
     @property
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
+    @property
+    def placed(self) -> list[Node]:
+        """Elements that are nodes of their page; a line break is none."""
+        return [c for c in self.elements if c.number >= 0]
+
 
 def parse(source: str) -> Node:
     """A tree of elements and decoded texts; unclosed and misnested elements are closed as browsers mostly do."""
@@ -157,7 +175,17 @@ def is_dropped(node: Node) -> bool:
         return bool(node.names & COMMENTS)
     if node.tag == "header" or "header" in node.names:
         return not _inside(node, "article")
-    return bool(node.names & NAMES) and not (node.names & MAIN_NAMES and len(node.names & NAMES) == 1 and node.tag in ("section", "div") and "article" in node.names)
+    said = [t & NAMES for t in node.tokens if t & NAMES and t <= NAMES | NEUTRAL]
+    if not said or node.tag in ("section", "div") and frozenset(["article"]) in node.tokens and len(said) == 1:
+        return False
+    if all(t <= AMBIGUOUS for t in said) and _inside(node, "article"):
+        return not is_prose(node)
+    return True
+
+
+def is_prose(node: Node) -> bool:
+    """Whether an element's children are paragraphs, headings and the like, with a paragraph among them."""
+    return all(c.tag in PROSE for c in node.elements) and any(c.tag == "p" for c in node.elements)
 
 
 def _inside(node: Node, tag: str) -> bool:
@@ -179,14 +207,15 @@ class Page:
     def _walk(self) -> None:
         parts: list[str] = []
         linked: list[int] = [0]
+        seen = [False]  # something but white space in the parts
         owner: list[Node] = [self.root]
 
         def flush() -> None:
-            text = " ".join("".join(parts).split())
+            text = " ".join("".join(parts).split()) if seen[0] else ""
             if text:
                 self.blocks.append((owner[0].number, text, min(1.0, linked[0] / len(text))))
             parts.clear()
-            linked[0] = 0
+            linked[0], seen[0] = 0, False
 
         def enter(node: Node, dropped: bool, link: bool, block: Node) -> None:
             node.number = len(self.nodes)
@@ -204,11 +233,12 @@ class Page:
             node, children, link, block = open_[-1]
             for child in children:
                 if isinstance(child, str):
-                    if not "".join(parts).strip():
+                    if not seen[0]:
                         owner[0] = block if not node.dropped or block.dropped else node
                     if node.dropped and not block.dropped:  # an inline advert
                         continue
                     parts.append(child)
+                    seen[0] = seen[0] or not child.isspace()
                     linked[0] += len(child) * link
                 elif child.tag == "br":
                     parts.append(" ")
@@ -221,8 +251,8 @@ class Page:
                 open_.pop()
         flush()
 
-    def main(self) -> Node:
-        """The element that holds the article: the article, main part or well named box with the most text, or the whole page."""
+    def main(self) -> list[Node]:
+        """The elements that hold the article: the article, main part or well named box with the most text, or the whole page; an article may go on in those beside it."""
         sizes = [0] * len(self.nodes)
         for number, text, share in self.blocks:
             node = self.nodes[number]
@@ -234,18 +264,20 @@ class Page:
                      lambda n: n.tag in ("div", "section", "td") and n.names & MAIN_NAMES):
             found = [n for n in self.nodes if not n.dropped and fits(n) and sizes[n.number]]
             if found:
-                return max(found, key=lambda n: (sizes[n.number], n.number))
-        return self.root
+                best = max(found, key=lambda n: (sizes[n.number], n.number))
+                return [n for n in found if n is best or n.tag == best.tag == "article" and n.parent is best.parent]
+        return [self.root]
 
     def kept(self) -> list[tuple[int, str]]:
         """(owner's number, text) of the article's blocks, in page order."""
         main = self.main()
-        bare = main is self.root
+        bare = main[0] is self.root
+        tops = {node.number for node in main}
         inside, head, heading = ([False] * len(self.nodes) for _ in range(3))
         for k, node in enumerate(self.nodes):  # parents come before their children
             up = node.parent.number if node.parent else 0
-            inside[k] = node is main or inside[up]
-            head[k] = node is not main and (head[up] or node.tag == "header" or "header" in node.names) and inside[up]
+            inside[k] = k in tops or inside[up]
+            head[k] = k not in tops and (head[up] or node.tag == "header" or "header" in node.names) and inside[up]
             heading[k] = heading[up] or node.tag in HEADINGS
         return [(number, text) for number, text, share in self.blocks
                 if not self.nodes[number].dropped and not (bare and share > 0.5) and inside[number] and not (head[number] and not heading[number])]
@@ -253,75 +285,157 @@ class Page:
 
     def layout(self) -> int:
         """The elements around the article: those from the root to it, and their children's kinds."""
-        node, around = self.main(), []
+        node, around = self.main()[0], []
         while node.parent is not None:
             node = node.parent
             around.append([node.shape, sorted({c.shape for c in node.elements})])
         return _hash(repr(around))
 
 
-def match_trees(a: Node, b: Node) -> dict[int, int]:
-    """Simple tree matching: numbers of ``b``'s nodes to those of ``a``'s, the largest order-keeping match of equal roots and children, level by level."""
-    memo: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+class Matcher:
+    """Simple tree matching: the largest order-keeping match of equal roots and children, level by level.
 
-    def weigh(x: Node, y: Node) -> int:
-        return 0 if x.shape != y.shape else memo[x.number, y.number][0] + 1
+    What two subtrees weigh depends on their kinds only, so equal subtrees are weighed once however often they stand on a page, and a list of
+    children is aligned by dynamic programming over kinds. Only pairs that belong to the match are traced, in linear memory.
+    """
 
-    if a.shape != b.shape:
-        return {}
-    # Children's pairs are weighed before their parents', from a list of what is to do instead of by recursion.
-    todo: list[tuple[Node, Node, list[tuple[Node, Node]] | None]] = [(a, b, None)]
-    while todo:
-        x, y, needed = todo.pop()
-        if (x.number, y.number) in memo:
-            continue
-        if needed is None:
-            needed = _candidates(x.elements, y.elements)
-            missing = [(u, v, None) for u, v in needed if (u.number, v.number) not in memo]
+    def __init__(self) -> None:
+        self.kinds: dict[tuple, int] = {}
+        self.parts: list[tuple] = []  # of each kind: its shape's number and its children's kinds
+        self.shapes: dict[tuple, int] = {}
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def name(self, page: Page) -> None:
+        """Give every element its kind: elements with equal shapes and equal children have the same."""
+        for node in reversed(page.nodes):  # children come after their parents
+            key = (self.shapes.setdefault(node.shape, len(self.shapes)), tuple(c.kind for c in node.placed))
+            if key not in self.kinds:
+                self.kinds[key] = len(self.parts)
+                self.parts.append(key)
+            node.kind = self.kinds[key]
+
+    def weigh(self, x: int, y: int) -> int:
+        """Pairs in the match of two kinds, the roots' own included; 0 if their shapes differ. Pairs are weighed before their parents, from a list of what is to do."""
+        if self.parts[x][0] != self.parts[y][0]:
+            return 0
+        todo: list[tuple[int, int, bool]] = [(x, y, False)]
+        while todo:
+            a, b, ready = todo.pop()
+            if (a, b) in self.weights:
+                continue
+            if a == b:
+                self.weights[a, b] = self.size(a)
+                continue
+            xs, ys = self.parts[a][1], self.parts[b][1]
+            if not ready:
+                by_shape: dict[int, list[int]] = {}
+                for v in set(ys):
+                    by_shape.setdefault(self.parts[v][0], []).append(v)
+                needed = [(u, v, False) for u in set(xs) for v in by_shape.get(self.parts[u][0], ()) if (u, v) not in self.weights]
+                if needed:
+                    todo += [(a, b, True), *needed]
+                    continue
+            self.weights[a, b] = 1 + self.best(xs, ys)
+        return self.weights[x, y]
+
+    def size(self, kind: int) -> int:
+        """Elements of a kind: what it weighs with itself."""
+        todo = [kind]
+        while todo:
+            k = todo[-1]
+            missing = [c for c in self.parts[k][1] if (c, c) not in self.weights]
             if missing:
-                todo += [(x, y, needed), *missing]
+                todo += missing
+            else:
+                self.weights[k, k] = 1 + sum(self.weights[c, c] for c in self.parts[k][1])
+                todo.pop()
+        return self.weights[kind, kind]
+
+    def row(self, x: int, ys: tuple[int, ...]) -> list[int]:
+        """Weights of one child against all; those of other shapes weigh nothing."""
+        shape, known = self.parts[x][0], self.weights
+        return [known[x, y] if self.parts[y][0] == shape else 0 for y in ys]
+
+    def best(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+        if not xs or not ys:
+            return 0
+        return int(self.last_row(xs, ys)[-1])
+
+    def last_row(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[int] | np.ndarray:
+        """Weights of the best matches of all of ``xs`` with each beginning of ``ys``."""
+        if len(ys) < SHORT:
+            above = [0] * (len(ys) + 1)
+            for x in xs:
+                left, out = 0, [0]
+                for j, w in enumerate(self.row(x, ys)):
+                    left = max(above[j + 1], left, above[j] + w)
+                    out.append(left)
+                above = out
+            return above
+        rows: dict[int, np.ndarray] = {}
+        line = np.zeros(len(ys) + 1, np.int64)
+        for x in xs:
+            if x not in rows:
+                rows[x] = np.array(self.row(x, ys), np.int64)
+            # The best of above, above and left with this pair, and, by the running maximum, left.
+            line[1:] = np.maximum.accumulate(np.maximum(line[1:], line[:-1] + rows[x]))
+        return line
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the children that a best match pairs, in order. Long lists are halved where the best matches of both halves meet."""
+        out: list[tuple[int, int]] = []
+        todo = [(0, len(xs), 0, len(ys))]
+        while todo:
+            a, b, c, d = todo.pop()
+            if a == b or c == d:
+                continue
+            if b - a == 1 or (b - a) * (d - c) <= SHORT * SHORT:
+                out += [(a + i, c + j) for i, j in self.traced(xs[a:b], ys[c:d])]
                 continue
-        memo[x.number, y.number] = _pairs(x.elements, y.elements, needed, weigh)
+            half = (a + b) // 2
+            fore, back = np.asarray(self.last_row(xs[a:half], ys[c:d])), np.asarray(self.last_row(xs[half:b][::-1], ys[c:d][::-1]))[::-1]
+            cut = c + int(np.argmax(fore + back))
+            todo += [(a, half, c, cut), (half, b, cut, d)]
+        return sorted(out)
+
+    def traced(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        table = [[0] * (len(ys) + 1)]
+        for x in xs:
+            above, line = table[-1], [0]
+            for j, w in enumerate(self.row(x, ys)):
+                line.append(max(above[j + 1], line[j], above[j] + w))
+            table.append(line)
+        i, j, out = len(xs), len(ys), []
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out
+
+
+def match_trees(a: Page, b: Page, matcher: Matcher | None = None) -> dict[int, int]:
+    """Numbers of ``b``'s elements to those of ``a``'s that a simple tree matching pairs; ``a`` is known to ``matcher`` if one is given."""
+    if matcher is None:
+        matcher = Matcher()
+        matcher.name(a)
+    matcher.name(b)
     out: dict[int, int] = {}
-    traced = [(a, b)]
-    while traced:
-        x, y = traced.pop()
+    todo = [(a.root, b.root)] if matcher.weigh(a.root.kind, b.root.kind) else []
+    while todo:
+        x, y = todo.pop()
         out[y.number] = x.number
-        traced += memo[x.number, y.number][1]
+        xs, ys = x.placed, y.placed
+        if x.kind == y.kind:
+            todo += zip(xs, ys)
+        elif xs and ys:
+            todo += [(xs[i], ys[j]) for i, j in matcher.pairs(matcher.parts[x.kind][1], matcher.parts[y.kind][1])]
     return out
 
 
-def _candidates(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of children that may match."""
-    if len(xs) * len(ys) > PRODUCT:
-        runs = SequenceMatcher(None, [x.shape for x in xs], [y.shape for y in ys], autojunk=False).get_matching_blocks()
-        return [(xs[r.a + k], ys[r.b + k]) for r in runs for k in range(r.size)]
-    return [(x, y) for x in xs for y in ys if x.shape == y.shape]
-
-
-def _pairs(xs: list[Node], ys: list[Node], candidates: list[tuple[Node, Node]], weigh) -> tuple[int, list[tuple[Node, Node]]]:
-    if not candidates:
-        return 0, []
-    if len(xs) * len(ys) > PRODUCT:
-        return sum(weigh(x, y) for x, y in candidates), candidates
-    table = [[0] * (len(ys) + 1)]
-    for x in xs:
-        above, row = table[-1], [0]
-        for j, y in enumerate(ys):
-            row.append(max(above[j + 1], row[j], above[j] + weigh(x, y)))
-        table.append(row)
-    i, j, pairs = len(xs), len(ys), []
-    while i and j:
-        if table[i][j] == table[i - 1][j]:
-            i -= 1
-        elif table[i][j] == table[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((xs[i], ys[j]))
-    return table[-1][-1], pairs[::-1]
-
-
 def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
@@ -347,7 +461,7 @@ def aligned(pages: DataFrame) -> DataFrame:
     names = ["page_id", "url", "host", "layout", "content", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[str, Page] = OrderedDict()
+        known: OrderedDict[str, tuple[Page, Matcher]] = OrderedDict()
         for batch in batches:
             layouts, contents, blocks = [], [], []
             for source, reference in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True):
@@ -355,11 +469,13 @@ def aligned(pages: DataFrame) -> DataFrame:
                 kept = page.kept()
                 matched: dict[int, int] = {}
                 if kept and reference:
-                    if reference not in known:
-                        known[reference] = Page(reference)
+                    if reference not in known or max(map(len, (known[reference][1].weights, known[reference][1].parts))) > 1 << 18:
+                        first = Page(reference)
+                        known[reference] = first, Matcher()
+                        known[reference][1].name(first)
                         if len(known) > 8:
                             known.popitem(last=False)
-                    matched = match_trees(known[reference].root, page.root)
+                    matched = match_trees(known[reference][0], page, known[reference][1])
                 seen: dict[str, int] = {}
                 for number, text in kept:
                     slot = slot_of(page.nodes[number], matched)

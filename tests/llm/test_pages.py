@@ -39,10 +39,10 @@ def test_what_is_no_article():
 
 def test_trees_align():
     a, b = html.Page("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>"), html.Page("<div><p>x</p><h2>new</h2><p>z</p></div>")
-    found = {b.nodes[k].tag: a.nodes[v].tag for k, v in html.match_trees(a.root, b.root).items()}
-    assert found == {"#root": "#root", "div": "div", "p": "p"} and len(html.match_trees(a.root, b.root)) == 4
+    found = {b.nodes[k].tag: a.nodes[v].tag for k, v in html.match_trees(a, b).items()}
+    assert found == {"#root": "#root", "div": "div", "p": "p"} and len(html.match_trees(a, b)) == 4
     many = html.Page("<div>" + "<p>x</p>" * 300 + "</div>")
-    assert len(html.match_trees(many.root, many.root)) == 302
+    assert len(html.match_trees(many, many)) == 302
 
 
 def test_template_texts_go(llm):
