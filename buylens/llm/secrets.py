@@ -27,7 +27,13 @@ KINDS = (*BASE_KINDS, "token", "key")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
-SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: The claims of a signed token: between two dots, and encoded JSON, whose first byte is ``{``. Places in a run where its header can begin as well.
+CLAIMS = re.compile(rb"\.(?=(e[w-z0-9_-][A-Za-z0-9_-]*)\.)")
+BRACE = re.compile(rb"(?=e[w-z0-9_-])")
+URL_SAFE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+SIGNATURE = re.compile(rb"[A-Za-z0-9_-]*")
+#: Characters of a signature whose algorithm has one length only.
+SIGNED_BY = {"hs256": 43, "hs384": 64, "hs512": 86, "es256": 86, "es256k": 86, "es384": 128, "es512": 176, "eddsa": 86, "none": 0}
 ARMOR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
 #: Header lines of an armored key and the empty line after them.
 HEADERS = re.compile(rb"\s*((?:[A-Za-z0-9-]+:[^\n]*\n)+)")
@@ -36,8 +42,10 @@ _BREAK = rb"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*"
 RUN = re.compile(rb"[A-Za-z0-9+/_-]+(?:" + _BREAK + rb"[A-Za-z0-9+/_-]+)*")
 HEX_RUN = re.compile(rb"[0-9A-Fa-f]+(?:" + _BREAK + rb"[0-9A-Fa-f]+)*")
 BREAK = re.compile(_BREAK)
-#: Shortest run, without its breaks, that is tried as base64 and as hex.
-LEAST, HEX_LEAST = 40, 64
+#: Bytes of the shortest key that ``is_der_key`` takes, an EC scalar of 16 bytes: sequence, version, octets.
+SHORTEST = 2 + 3 + 2 + 16
+#: Shortest run, without its breaks and padding, that is tried as base64 and as hex.
+LEAST, HEX_LEAST = -(-SHORTEST * 8 // 6), 2 * SHORTEST
 BEGIN = b"-----BEGIN "
 _core = lambda k: base64.b64encode(bytes(k) + BEGIN + bytes(3))[(0, 2, 3)[k]:(k + len(BEGIN)) * 8 // 6]
 #: Where a key can begin in base64: a DER sequence, OpenSSH's magic, or armor at each of the three places in a group; and how far before it the group begins.
@@ -93,12 +101,13 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x04] and algorithm(inner[0][1]) and len(inner[1][1]) >= 16
 
 
-def openssh_end(data: bytes) -> int:
-    """Where an OpenSSH key ends: magic, then cipher, derivation, options, a count, public keys and the private part, each with its length; -1 if it is none."""
+def openssh_end(data: bytes, start: int = 0) -> int:
+    """Where an OpenSSH key that begins at ``start`` ends: magic, then cipher, derivation, options, a count, public keys and the private part, each with its
+    length; -1 if it is none."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(magic, start):
         return -1
-    at = len(magic)
+    at = start + len(magic)
     for _ in range(3):
         at = _skip(data, at)
         if at < 0:
@@ -173,28 +182,36 @@ def key_spans(raw: bytes) -> list[tuple[int, int]]:
                 continue
             body = body.lower() if width == 2 else body.replace(b"-", b"+").replace(b"_", b"/")
 
-            def decode(a: int, b: int) -> bytes:
-                part = body[a:b]
-                if width == 2:
-                    return bytes.fromhex(part[:len(part) // 2 * 2].decode())
-                part = part[:-1] if len(part) % 4 == 1 else part
-                return base64.b64decode(part + b"=" * (-len(part) % 4))
+            aligned: dict[int, bytes] = {}  # the run decoded once for each place in a group where something begins
+
+            def decode(a: int) -> tuple[bytes, int]:
+                """What the run holds from ``a`` on: decoded bytes and where in them ``a`` is."""
+                if a % width not in aligned:
+                    part = body[a % width:]
+                    if width == 2:
+                        aligned[a % width] = bytes.fromhex(part[:len(part) // 2 * 2].decode())
+                    else:
+                        part = part[:-1] if len(part) % 4 == 1 else part
+                        aligned[a % width] = base64.b64decode(part + b"=" * (-len(part) % 4))
+                return aligned[a % width], (a - a % width) * per // 8
 
             for m in starts.finditer(body):
                 kind = m.lastindex - 1
-                a, ends = m.start(), []
+                a, n = m.start(), -1
                 if kind == 0:
-                    n = der_end(decode(a, a + 16))
-                    if n > 0 and a + -(-n * 8 // per) <= len(body) and is_der_key(decode(a, a + -(-n * 8 // per))):
-                        ends.append(n)
+                    data, at = decode(a)
+                    n = der_end(data[at:at + 12])
+                    n = n if n > 0 and at + n <= len(data) and is_der_key(data[at:at + n]) else -1
                 elif kind == 1:
-                    n = openssh_end(decode(a, len(body)))
-                    if n > 0:
-                        ends.append(n)
-                else:
+                    data, at = decode(a)
+                    n = openssh_end(data, at) - at
+                elif width == 2 or a >= BACK[kind]:
                     a -= BACK[kind] if width == 4 else 0
-                    ends += [x.end() for x in ARMOR.finditer(decode(max(a, 0), len(body))) if is_armored(x)] if a >= 0 else []
-                for n in ends:
+                    data, at = decode(a)
+                    begin = data.find(BEGIN, at, at + len(BEGIN) + 3)
+                    armor = ARMOR.match(data, begin) if begin >= 0 else None
+                    n = armor.end() - at if armor and is_armored(armor) else -1
+                if n > 0:
                     last = a + -(-n * 8 // per) - 1
                     place = lambda x: here[k := bisect_right(there, x) - 1] + x - there[k]
                     end = place(last) + 1
@@ -205,15 +222,44 @@ def key_spans(raw: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def is_signed(raw: bytes) -> bool:
-    header, claims, signature = raw.split(b".")
+def _json(data: bytes) -> dict | None:
     try:
-        head, body = json.loads(decoded(header)), json.loads(decoded(claims))
+        value = json.loads(data)
     except (ValueError, RecursionError):
-        return False
-    if not isinstance(head, dict) or not isinstance(body, dict) or not isinstance(head.get("alg"), str):
-        return False
-    return head["alg"].lower() == "none" or len(decoded(signature)) >= 16
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def token_spans(raw: bytes) -> list[tuple[int, int]]:
+    """Signed tokens: a header and claims that are JSON objects, the header with an algorithm, and a signature as long as that needs.
+
+    The header may begin anywhere in its run of characters; the first place at which it is one counts. A signature of a known length ends there, whatever follows.
+    """
+    out: list[tuple[int, int]] = []
+    for m in CLAIMS.finditer(raw):
+        dot, end = m.start(), m.end(1)
+        first = dot
+        while first and raw[first - 1] in URL_SAFE:
+            first -= 1
+        run, places = raw[first:dot], {}
+        for place in BRACE.finditer(run):
+            # From here to the dot must be whole: one decoding for each place in a group tells all others of it.
+            a = place.start()
+            if a % 4 not in places:
+                data = decoded(run[a:])
+                places[a % 4] = (a, data if data.rstrip().endswith(b"}") else b"")
+            base, data = places[a % 4]
+            head = _json(data[(a - base) // 4 * 3:]) if data else None
+            if head is None or not isinstance(head.get("alg"), str):
+                continue
+            if _json(decoded(m[1])) is None:
+                break
+            found = SIGNATURE.match(raw, end + 1).end() - end - 1
+            size = SIGNED_BY.get(head["alg"].lower(), found)
+            if found >= min(size, 22) and (size or head["alg"].lower() == "none"):  # 16 bytes, where the algorithm asks for any
+                out.append((first + a, end + 1 + min(found, size)))
+                break
+    return out
 
 
 def found(raw: bytes) -> list[tuple[str, int, int]]:
@@ -221,7 +267,7 @@ def found(raw: bytes) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in ASSIGN.finditer(raw) if len(m[1]) >= 6]
     out += [("access", *m.span()) for m in ACCESS.finditer(raw) if len(m[0]) >= 20]
     out += [("hex", *m.span()) for m in HEX.finditer(raw) if len(m[0]) >= 24]
-    out += [("token", *m.span()) for m in SIGNED.finditer(raw) if is_signed(m[0])]
+    out += [("token", *s) for s in token_spans(raw)]
     keys = [m.span() for m in ARMOR.finditer(raw) if is_armored(m)] + key_spans(raw)
     whole: list[tuple[int, int]] = []
     for a, b in sorted(set(keys), key=lambda s: (s[0], -s[1])):  # an armored key contains its base64
