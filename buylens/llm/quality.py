@@ -76,7 +76,9 @@ def verdict(raw: bytes, press: zstandard.ZstdCompressor, bands: Bands) -> tuple[
     low, high = next((lo, hi) for most, lo, hi in bands.whole if len(raw) <= most)
     size, chunks = bands.chunk_bytes, []
     if len(raw) > size:  # a single chunk is the whole text
-        chunks = [len(part) / len(press.compress(part)) for part in (raw[i:i + size] for i in range(0, len(raw), size)) if len(part) * 2 >= size]
+        # The last chunk ends where the text ends, so that every byte is in one.
+        starts = [*range(0, len(raw) - size + 1, size), *([len(raw) - size] if len(raw) % size else [])]
+        chunks = [len(part) / len(press.compress(part)) for part in (raw[i:i + size] for i in starts)]
     fine = low <= ratio <= high and all(bands.chunk[0] <= x <= bands.chunk[1] for x in chunks)
     return ratio, min(chunks, default=None), max(chunks, default=None), fine
 
