@@ -27,11 +27,12 @@ def _clean(text: Column) -> Column:
 def rotated(turns: DataFrame) -> DataFrame:
     """(conv_id, perspective, position, turn, role, name, segment, start, mask_start, mask_end), offsets in code points of the rendered dialogue.
 
-    ``mask_start`` .. ``mask_end`` are the participant's own text and its closing mark, null on other turns. A null or blank role speaks as ``unknown``;
+    ``mask_start`` .. ``mask_end`` are the participant's own text and its closing mark, null on other turns. A null or blank role speaks as ``unknown``, line ends in a role are spaces;
     ``system`` is no participant, and dialogues of it alone give no rows. Null texts are empty. Turns are ordered by turn (null first), speaker and text; repeated
     rows count once. A null conv_id is a dialogue like any other. Extra columns are not read; an empty table gives no rows.
     """
-    speaker = F.coalesce(F.nullif(F.trim(F.col("role")), F.lit("")), F.lit(UNNAMED))
+    # A name stands in the head of a turn: like a text it can hold no mark, and no line end.
+    speaker = F.coalesce(F.nullif(F.trim(F.regexp_replace(_clean(F.col("role")), "[\\r\\n]+", " ")), F.lit("")), F.lit(UNNAMED))
     rows = turns.select("conv_id", "turn", speaker.alias("speaker"), _clean(F.col("text")).alias("text")).distinct()
     people = stored(rows.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct(), "people")
     rows = rows.alias("r").join(people.alias("p"), F.col("r.conv_id").eqNullSafe(F.col("p.conv_id"))).select("r.*", "perspective")

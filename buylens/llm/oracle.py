@@ -38,7 +38,7 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id
 from doc d left join size using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)"""
 
 CHAT = """
-with turns as (select distinct conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') as speaker, replace(coalesce(text, ''), '<|', '< |') as text
+with turns as (select distinct conv_id, turn, coalesce(nullif(trim(regexp_replace(replace(role, '<|', '< |'), '[\r\n]+', ' ', 'g')), ''), 'unknown') as speaker, replace(coalesce(text, ''), '<|', '< |') as text
                from conversations),
 people as (select distinct conv_id, speaker as perspective from turns where speaker <> 'system'),
 formed as (select t.*, perspective, case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user' end as role
