@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,18 +111,28 @@ def scanned(docs: DataFrame, items: DataFrame, n: int = N, block_grams: int = BL
     # More test windows than one broadcast takes: number the rows once, scan them for each block, merge what was found.
     key = tx.free_name(docs, "_row")
     source = stored(docs.select(*[f"`{c}`" for c in keep], F.expr("uuid()").alias(key)), "documents")
-    parts = [_scan(source.select(key, "text"), numbered.where(F.col("block") == b)).select(
-        key, "spans", "items", "n_words") for b in range(blocks)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    found = every.where(F.size("spans") > 0).groupBy(key).agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Block by block: the driver holds the windows of one, and its hits are written before the next one's windows come.
+    parts = [stored(_scan(source.select(key, "text"), numbered.where(F.col("block") == b)).where(F.size("spans") > 0).select(key, "spans", "items"), "hits")
+             for b in range(blocks)]
+    found = _joined(reduce(DataFrame.unionByName, parts), key)
     whole = _scan(source, numbered.where(F.lit(False))).drop("spans", "items").join(found, key, "left").drop(key)
     return whole.select(*[f"`{c}`" for c in keep], F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"),
                         F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), "n_words")
 
 
+def _joined(hits: DataFrame, key: str) -> DataFrame:
+    """One row per document, with the spans of all blocks merged as those of one are."""
+    gathered = hits.groupBy(key).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in own])] for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, spans_type), batch.column(2)], names=[key, "spans", "items"])
+
+    return gathered.mapInArrow(run, gathered.schema)
+
+
 def _scan(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """One pass with the windows of one block, which the driver turns into a broadcast."""
     rows = [(r.item_id, bytes(r.gram)) for r in grams.select("item_id", "gram").collect()]
