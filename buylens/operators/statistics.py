@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from buylens.functions.columns import flag, mean, ratio, share
+from buylens.functions.distributions import chi_square_p, correlation_p
 from buylens.graph.views import sequential_ids
 from buylens.operators.ranking import running_totals
 from buylens.session import splittable
@@ -53,17 +54,19 @@ def crosstab_margins(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.cube(a, b).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 
 
-def rate_by(df: DataFrame, key: str, condition: Column, min_n: int = 1) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), share(condition).alias("rate")).filter(F.col("n") >= min_n)
+def rate_by(df: DataFrame, key: str, condition: Column, min_n: int = 1, attributes: DataFrame | None = None) -> DataFrame:
+    """Rows and rate per key with at least ``min_n`` rows; ``attributes`` has one row per key, whose columns are added after counting."""
+    rates = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), share(condition).alias("rate")).filter(F.col("n") >= min_n)
+    return rates if attributes is None else rates.join(attributes, key, "left")
 
 
-def group_quantiles(df: DataFrame, by: list[str], x: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group with linear interpolation, and the group's row count ``n``.
+def group_quantiles(df: DataFrame, by: list[str], x: str, probabilities: dict[str, float], count: str | None = None) -> DataFrame:
+    """Exact quantiles per group with linear interpolation, and the group's row count ``n``; a row stands for ``count`` rows if given.
 
     Equal values are merged first. All groups' values are then put in one global order by range partitions, so a group of any
     size is ranked by as many tasks as it fills.
     """
-    values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("c"))
     ranked = running_totals(values, [*by, "x"], {"upto": "c"})
     groups = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("_before"))
     ranked = ranked.join(splittable(groups), by).withColumn("hi", F.col("upto") - F.col("_before")).withColumn("lo", F.col("hi") - F.col("c"))
@@ -86,25 +89,15 @@ def five_number(df: DataFrame, by: str, x: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation and its t statistic; p from the normal approximation to t.
-
-    The approximation is off by less than 0.01 from about 30 rows on.
-    """
+    """Correlation, its t statistic and the two-sided p-value; t is null for a perfect correlation, whose p is 0."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = both.agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
     t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("r") * F.col("r")))
-    return r.withColumn("t_statistic", t).withColumn("p_value", 2 * (1 - normal_cdf(F.abs("t_statistic"))))
-
-
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution for z >= 0 by the rational approximation of error 7.5e-8."""
-    k = 1 / (1 + 0.2316419 * z)
-    poly = k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    return 1 - F.exp(-z * z / 2) * 0.3989422804014327 * poly
+    return r.withColumn("t_statistic", t).withColumn("p_value", correlation_p(F.col("r"), F.col("n")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Test of independence on the contingency table: statistic, degrees of freedom, Wilson-Hilferty p."""
+    """Test of independence on the contingency table: statistic, degrees of freedom, p-value."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     rows = cells.groupBy("a").agg(F.sum("o").alias("ra"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("cb"))
@@ -115,9 +108,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     stat = joined.agg(
         (F.sum(F.pow(F.col("o") - expected, 2) / expected) + F.first(n) - F.sum(expected)).alias("chi2"),
         ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).cast("bigint").alias("dof"))
-    k = F.col("dof").cast("double")
-    z = (F.pow(F.col("chi2") / k, 1 / 3) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
-    return stat.withColumn("p_value", F.when(z >= 0, 1 - normal_cdf(z)).otherwise(normal_cdf(-z)))
+    return stat.withColumn("p_value", chi_square_p(F.col("chi2"), F.col("dof")))
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -49,11 +49,15 @@ QUERIES = {
                                          "match_status", STATUSES),
     "e04_crosstab_pct": lambda t: s.crosstab_pct(invoices(t), "vendor_type", "match_status", STATUSES),
     "e05_crosstab_margins": lambda t: s.crosstab_margins(invoices(t), "vendor_type", "match_status"),
-    "e06_match_rate_by_vendor": lambda t: s.rate_by(t["invoice_header"], "vendor_id", full(), 3),
+    "e06_match_rate_by_vendor": lambda t: s.rate_by(t["invoice_header"], "vendor_id", full(), 3, t["vendor_master"].select(
+        "vendor_id", "quality_score", "risk_score")),
     "e07_five_number": lambda t: s.five_number(invoices(t), "match_status", "quality_score"),
     "e07_five_number_amounts": lambda t: s.five_number(t["invoice_header"], "match_status", "total_net_amount"),
-    "e08_pearson": lambda t: rounded(s.pearson(t["vendor_master"], "quality_score", "risk_score"), "r", "t_statistic").drop("p_value"),
-    "e09_chi_square": lambda t: rounded(s.chi_square(invoices(t), "vendor_type", "match_status"), "chi2").drop("p_value"),
+    "e08_pearson": lambda t: rounded(s.pearson(t["vendor_master"], "quality_score", "risk_score"), "r", "t_statistic", "p_value"),
+    "e08_pearson_small": lambda t: rounded(s.pearson(t["vendor_master"].filter("quality_score > 75"), "quality_score", "on_time_delivery_rate"), "r", "t_statistic", "p_value"),
+    "e09_chi_square": lambda t: rounded(s.chi_square(invoices(t), "vendor_type", "match_status"), "chi2", "p_value"),
+    "e09_chi_square_contract": lambda t: rounded(s.chi_square(t["invoice_header"].join(t["po_line_item"].groupBy("po_id").agg(
+        F.max(F.col("contract_id").isNotNull()).alias("has_contract")), "po_id"), "has_contract", "match_status"), "chi2", "p_value"),
     "e10_corr_matrix": lambda t: rounded(s.corr_matrix(
         invoices(t), ["quality_score", "risk_score", "on_time_delivery_rate", "esg_score", "total_net_amount"]), "r"),
     "e11_histogram": lambda t: s.histogram(t["invoice_header"], "total_net_amount", 20, "match_status"),

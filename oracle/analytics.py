@@ -16,6 +16,27 @@ PO_LINE = ["po_id", "po_line_number", "material_id", "quantity", "uom", "unit_pr
            "actual_delivery_date", "contract_id", "contract_item_number", "pr_id", "pr_line_number", "over_delivery_tolerance",
            "under_delivery_tolerance", "gr_status", "invoice_status"]
 
+def pearson(x: str, y: str, table: str) -> str:
+    """The p-value is the t density integrated by Simpson's rule, as an integral of cos(theta) ** (n - 3)."""
+    return f"""WITH c AS (SELECT corr({x}, {y}) AS r, count(*) AS n FROM {table}),
+g AS (SELECT *, asin(abs(r)) AS lo, (pi() / 2 - asin(abs(r))) / 20000 AS h FROM c),
+p AS (SELECT any_value(r) AS r, any_value(n) AS n, sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(lo + k * h), 0), n - 3)) * any_value(h) / 3
+  * 2 * exp(lgamma((any_value(n) - 1) / 2) - lgamma((any_value(n) - 2) / 2)) / sqrt(pi()) AS p FROM g, generate_series(0, 20000) AS s(k))
+SELECT round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t_statistic, round(p, 6) AS p_value FROM p"""
+
+
+def chi_square(rows: str, a: str, b: str) -> str:
+    """The p-value is one less the gamma density integrated by Simpson's rule over the square root of its argument."""
+    return f"""WITH {rows}, o AS (SELECT a, b, (SELECT count(*) FROM i WHERE {a} = a AND {b} = b) AS o
+  FROM (SELECT DISTINCT {a} AS a FROM i), (SELECT DISTINCT {b} AS b FROM i)),
+e AS (SELECT *, sum(o) OVER (PARTITION BY a)::DOUBLE * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e FROM o),
+c AS (SELECT sum((o - e) * (o - e) / e) AS chi2, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof FROM e),
+p AS (SELECT any_value(chi2) AS chi2, any_value(dof) AS dof, 1 - sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+  * 2 * pow(u, dof - 1) * exp(-u * u - lgamma(dof / 2))) * any_value(h) / 3 AS p
+  FROM (SELECT *, sqrt(chi2 / 2) / 20000 AS h, sqrt(chi2 / 2) / 20000 * k AS u FROM c, generate_series(0, 20000) AS s(k)))
+SELECT round(chi2, 6) AS chi2, dof, round(p, 6) AS p_value FROM p"""
+
+
 SQL = {
     "rq01_spend_by_vendor": """SELECT vendor_id, CAST(s AS DECIMAL(18,2)) AS total_spend, po_count,
   CAST(row_number() OVER (ORDER BY s DESC, vendor_id) AS INTEGER) AS spend_rank, vendor_name
@@ -76,16 +97,15 @@ FROM d LEFT JOIN invoice_header USING (match_status) GROUP BY ALL""",
         f"100.0::DOUBLE * count(*) FILTER (match_status = '{s}') / count(*) AS {s}" for s in STATUS) + " FROM i GROUP BY 1",
     "e05_crosstab_margins": f"""WITH {INV} SELECT vendor_type, match_status, count(*) AS n,
   CAST(grouping(vendor_type, match_status) AS BIGINT) AS level FROM i GROUP BY CUBE (vendor_type, match_status)""",
-    "e06_match_rate_by_vendor": """SELECT vendor_id, count(*) AS n, avg((match_status = 'FULL_MATCH')::INT) AS rate FROM invoice_header
-GROUP BY 1 HAVING count(*) >= 3""",
+    "e06_match_rate_by_vendor": """SELECT vendor_id, count(*) AS n, avg((match_status = 'FULL_MATCH')::INT) AS rate, any_value(quality_score) AS quality_score,
+  any_value(risk_score) AS risk_score FROM invoice_header JOIN vendor_master USING (vendor_id) GROUP BY 1 HAVING count(*) >= 3""",
     "e07_five_number": f"WITH {INV} SELECT match_status, count(*) AS n, {quantiles('quality_score')} FROM i GROUP BY 1",
     "e07_five_number_amounts": f"SELECT match_status, count(*) AS n, {quantiles('total_net_amount')} FROM invoice_header GROUP BY 1",
-    "e08_pearson": """SELECT round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t_statistic
-FROM (SELECT corr(quality_score, risk_score) AS r, count(*) AS n FROM vendor_master)""",
-    "e09_chi_square": f"""WITH {INV}, o AS (SELECT a, b, (SELECT count(*) FROM i WHERE vendor_type = a AND match_status = b) AS o
-  FROM (SELECT DISTINCT vendor_type AS a FROM i), (SELECT DISTINCT match_status AS b FROM i)),
-e AS (SELECT *, sum(o) OVER (PARTITION BY a)::DOUBLE * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e FROM o)
-SELECT round(sum((o - e) * (o - e) / e), 6) AS chi2, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof FROM e""",
+    "e08_pearson": pearson("quality_score", "risk_score", "vendor_master"),
+    "e08_pearson_small": pearson("quality_score", "on_time_delivery_rate", "vendor_master WHERE quality_score > 75"),
+    "e09_chi_square": chi_square(INV, "vendor_type", "match_status"),
+    "e09_chi_square_contract": chi_square("""i AS (SELECT has_contract, match_status FROM invoice_header JOIN (SELECT po_id, bool_or(contract_id IS NOT NULL) AS has_contract
+  FROM po_line_item GROUP BY 1) USING (po_id))""", "has_contract", "match_status"),
     "e10_corr_matrix": f"WITH {INV} " + " UNION ALL ".join(
         f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}::DOUBLE, {y}::DOUBLE), 6) AS r FROM i"
         for n, x in enumerate(COLUMNS) for y in COLUMNS[n + 1:]),
