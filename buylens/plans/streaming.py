@@ -65,9 +65,36 @@ def linked(t):
 
 
 def overdue(t):
+    path = fresh(t, "overdue")
     due = stream(t, "po_line_item").select("po_id", F.col("requested_delivery_date").cast("timestamp").alias("due_ts"))
     got = stream(t, "gr_header").select("po_id", F.col("gr_date").cast("timestamp").alias("gr_ts"))
-    return to_end(t, checks.stream_overdue_receipts(due, got, 20), "overdue")
+    checks.stream_overdue_receipts(due, got, t.spark, path, f"{path}-state", 20)
+    return checks.read_overdue(t.spark, path)
+
+
+def refreshed_materials(t):
+    path = fresh(t, "materials")
+    partials.refresh_partials(stream(t, "po_line_item", 2), lambda b: partials.material_pairs(b, owner(t)), f"{path}/parts", f"{path}/state")
+    return partials.distinct_from_pairs(t.spark, f"{path}/parts", "vendor_id", "v_distinct_materials")
+
+
+def refreshed_medians(t):
+    path = fresh(t, "medians")
+    partials.refresh_partials(stream(t, "po_line_item", 2), partials.price_values, f"{path}/parts", f"{path}/state")
+    return partials.quantiles_from_values(t.spark, f"{path}/parts", "material_id", "unit_price", {"p_median_unit_price": 0.5, "p_q1_unit_price": 0.25, "p_q3_unit_price": 0.75})
+
+
+def refreshed_sketches(t):
+    path = fresh(t, "sketches")
+    partials.refresh_partials(stream(t, "po_line_item", 2), lambda b: partials.price_sketches(b.join(owner(t), "po_id")), f"{path}/parts", f"{path}/state")
+    found = partials.from_sketches(t.spark, f"{path}/parts")
+    lines = t["po_line_item"].join(owner(t), "po_id")
+    exact = lines.groupBy("vendor_id").agg(F.countDistinct("material_id").alias("materials"), F.count(F.lit(1)).alias("n"))
+    below = lines.join(found, "vendor_id").groupBy("vendor_id").agg(F.avg((F.col("unit_price").cast("double") <= F.col("median")).cast("double")).alias("share"),
+                                                                     F.avg((F.col("unit_price").cast("double") < F.col("median")).cast("double")).alias("under"))
+    return found.join(exact, "vendor_id").join(below, "vendor_id").select(
+        "vendor_id", (F.abs(F.col("distinct_materials") - F.col("materials")) <= F.greatest(0.07 * F.col("materials"), F.lit(1))).alias("distinct_within_bound"),
+        ((F.col("under") <= 0.53) & (F.col("share") >= 0.47)).alias("median_within_bound"))
 
 
 QUERIES = {
@@ -76,6 +103,9 @@ QUERIES = {
     "st03_refresh_performance": refreshed_performance,
     "st03_refresh_prices": lambda t: rounded(refreshed_prices(t), "p_std_unit_price", places=4),
     "st03_refresh_behavior": refreshed_behavior,
+    "st03_refresh_distinct_materials": refreshed_materials,
+    "st03_refresh_price_quantiles": refreshed_medians,
+    "st03_refresh_sketches": refreshed_sketches,
     "st04_stream_counts_day": lambda t: counted(t, "1 day"),
     "st04_stream_counts_sliding": lambda t: counted(t, "1 day", "12 hours"),
     "st05_stream_duplicates": linked,

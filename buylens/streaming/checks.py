@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from buylens.features.price import price_stats
 from buylens.functions.columns import flag, ratio
 from buylens.operators.matching import three_way_match_lines
-from buylens.session import splittable
+from buylens.session import discard, splittable
 from buylens.streaming.runs import run_batches
 from buylens.usecases.finance import duplicate_links
 
@@ -60,25 +60,29 @@ def drop_replays(invoices: DataFrame, ts: str, delay: str) -> DataFrame:
 def stream_duplicates(invoices: DataFrame, spark: SparkSession, store: str, checkpoint: str, days: int = 7) -> None:
     """Link arriving invoices to the closest earlier one of the same vendor and amount.
 
-    The seen invoices lie in folders by month. A batch reads only the months it can touch,
-    links as the batch operator does, and writes the links that involve a new invoice. A
-    repeated batch writes the same folders again.
+    The seen invoices lie in folders by month, then by batch. A batch opens only the folders of the months it can touch, however many
+    batches there were before, links as the batch operator does, and writes the links that involve a new invoice. A repeated batch
+    writes the same folders again and reads none of a later number.
     """
     columns = ["invoice_id", "invoice_date", "vendor_id", "total_gross_amount"]
 
     def handle(batch: DataFrame, number: int) -> None:
-        new = batch.select(*columns).withColumn("month", F.date_format("invoice_date", "yyyy-MM"))
-        new.write.mode("overwrite").partitionBy("month").parquet(f"{store}/seen/batch={number}")
-        seen = spark.read.parquet(f"{store}/seen").filter(F.col("batch") <= number)
-        reach = batch.agg(F.date_sub(F.min("invoice_date"), days).alias("lo"), F.date_add(F.max("invoice_date"), days).alias("hi")).first()
-        if reach["lo"] is None:
+        new = batch.select(*columns).withColumns({"month": F.date_format("invoice_date", "yyyy-MM"), "batch": F.lit(number)})
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(f"{store}/seen")
+        near_months = F.sequence(F.trunc(F.date_sub("invoice_date", days), "month"), F.trunc(F.date_add("invoice_date", days), "month"), F.expr("interval 1 month"))
+        # One row per calendar month.
+        months = sorted(r["m"] for r in batch.filter("invoice_date is not null").select(F.explode(near_months).alias("m")).distinct().select(
+            F.date_format("m", "yyyy-MM").alias("m")).collect())
+        if not months:
             return
-        near = seen.filter((F.col("month") >= f"{reach['lo']:%Y-%m}") & (F.col("month") <= f"{reach['hi']:%Y-%m}")
-                           & F.col("invoice_date").between(reach["lo"], reach["hi"]))
-        fresh = near.filter(F.col("batch") == number).select("invoice_id")
+        seen = spark.read.option("basePath", f"{store}/seen").schema(new.schema).parquet(f"{store}/seen/month={{{','.join(months)}}}").filter(F.col("batch") <= number)
+        fresh = seen.filter(F.col("batch") == number)
+        reach = fresh.agg(F.date_sub(F.min("invoice_date"), days).alias("lo"), F.date_add(F.max("invoice_date"), days).alias("hi")).first()
+        near = seen.filter(F.col("invoice_date").between(reach["lo"], reach["hi"]))
+        ids = fresh.select("invoice_id")
         links = duplicate_links(near, days)
-        touched = links.join(fresh, "invoice_id", "left_semi").unionByName(
-            links.join(fresh.withColumnRenamed("invoice_id", "first_invoice_id"), "first_invoice_id", "left_semi").select(links.columns)).distinct()
+        touched = links.join(ids, "invoice_id", "left_semi").unionByName(
+            links.join(ids.withColumnRenamed("invoice_id", "first_invoice_id"), "first_invoice_id", "left_semi").select(links.columns)).distinct()
         touched.write.mode("overwrite").parquet(f"{store}/links/batch={number}")
 
     run_batches(invoices, handle, checkpoint)
@@ -92,22 +96,56 @@ def read_links(spark: SparkSession, store: str) -> DataFrame:
     return best.select("x.first_invoice_id", "invoice_id", "x.date_gap_days")
 
 
-def stream_overdue_receipts(orders: DataFrame, receipts: DataFrame, tolerance_days: int = 3, delay: str = "1 day",
-                           earliest_days: int | None = None) -> DataFrame:
-    """Orders without a receipt by their requested date plus the tolerance.
+_STATE = "po_id string, kind string, at timestamp"
 
-    ``orders`` has po_id and due_ts, ``receipts`` po_id and gr_ts. The outer join gives an
-    order up once the watermark has passed its deadline. A receipt counts however long before the
-    requested date it comes, so receipts stay in the state; ``earliest_days`` lets go of those that
-    are older than that before any date still open.
+
+def stream_overdue_receipts(orders: DataFrame, receipts: DataFrame, spark: SparkSession, store: str, checkpoint: str, tolerance_days: int = 3,
+                            delay_days: int = 1, orphan_days: int = 400) -> None:
+    """Order lines without a receipt by their requested date plus the tolerance.
+
+    ``orders`` has po_id and due_ts, ``receipts`` po_id and gr_ts. A line is reported once both streams have passed its deadline by ``delay_days``; a receipt counts
+    however long before the requested date it comes. The state is a table, written anew by each batch from the one before: open lines, and per order that
+    has lines before their deadline the last deadline and the first receipt. A line with its receipt leaves at once, an order after its
+    last deadline; a receipt that no order line has claimed leaves after ``orphan_days``. So the state grows with open orders, not with the length of the streams.
     """
-    # Spark rejects a change of columns between the watermark and the outer join's key.
-    o = orders.select("po_id", "due_ts").withWatermark("due_ts", delay).alias("o")
-    r = receipts.select(F.col("po_id").alias("gr_po_id"), "gr_ts").withWatermark("gr_ts", delay).alias("r")
-    in_time = F.expr(f"gr_po_id = po_id and gr_ts <= due_ts + interval {tolerance_days} days")
-    if earliest_days is not None:
-        in_time = in_time & F.expr(f"gr_ts >= due_ts - interval {earliest_days} days")
-    return o.join(r, in_time, "leftOuter").filter("gr_po_id is null").select("po_id", "due_ts")
+    both = orders.select("po_id", F.lit("due").alias("kind"), F.col("due_ts").alias("at")).unionByName(
+        receipts.select("po_id", F.lit("got").alias("kind"), F.col("gr_ts").alias("at"))).filter("at is not null and po_id is not null")
+    tolerance = F.expr(f"interval {tolerance_days} days")
+
+    def version(number: int) -> str:
+        return f"{store}/state/version={number}"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = batch.select("po_id", "kind", "at")
+        if number:
+            rows = rows.unionByName(spark.read.schema(_STATE).parquet(version(number - 1)))
+        rows = splittable(rows)
+        of = lambda *kinds: rows.filter(F.col("kind").isin(*kinds))
+        clocks = rows.agg(*[F.max(F.when(F.col("kind").isin(k, f"clock_{k}"), F.col("at"))).alias(k) for k in ("due", "got")])
+        passed = F.least(*[F.coalesce(k, F.lit("0001-01-01").cast("timestamp")) for k in ("due", "got")]) - F.expr(f"interval {delay_days} days")
+        mark = F.lit(clocks.select(passed.alias("mark")).first()["mark"])
+        first = of("got").groupBy("po_id").agg(F.min("at").alias("got"))
+        last = of("due", "last").groupBy("po_id").agg(F.max("at").alias("last"))
+        lines = of("due").join(splittable(first), "po_id", "left")
+        waiting = lines.filter(F.col("got").isNull() | (F.col("got") > F.col("at") + tolerance))
+        late = F.col("at") + tolerance < mark
+        waiting.filter(late).select("po_id", F.col("at").alias("due_ts")).write.mode("overwrite").parquet(f"{store}/overdue/batch={number}")
+        order = first.join(last, "po_id", "full")
+        alive = F.when(F.col("last").isNull(), F.col("got") + F.expr(f"interval {orphan_days} days") >= mark).otherwise(F.col("last") + tolerance >= mark)
+        kept = order.filter(alive).select("po_id", F.inline(F.array(
+            F.struct(F.lit("last").alias("kind"), F.col("last").alias("at")), F.struct(F.lit("got").alias("kind"), F.col("got").alias("at"))))).filter("at is not null")
+        clock = clocks.select(F.lit(None).cast("string").alias("po_id"), F.inline(F.array(*[
+            F.struct(F.lit(f"clock_{k}").alias("kind"), F.col(k).alias("at")) for k in ("due", "got")]))).filter("at is not null")
+        state = waiting.filter(~late).select("po_id", "kind", "at").unionByName(kept).unionByName(clock)
+        state.write.mode("overwrite").parquet(version(number))
+        if number > 1:  # the one before this stays, a repeated batch starts from it
+            discard(spark, version(number - 2))
+
+    run_batches(both, handle, checkpoint)
+
+
+def read_overdue(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/overdue").select("po_id", "due_ts")
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap: str, watermark: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from buylens.features.vendor import performance_from_parts
 from buylens.functions.columns import flag, ratio
+from buylens.operators.statistics import group_quantiles
 from buylens.streaming.runs import run_batches
 
 Tables = Mapping[str, DataFrame]
@@ -81,3 +82,38 @@ def receipt_parts(gr_lines: DataFrame, owner: DataFrame) -> DataFrame:
 
 def performance_from_stores(orders: DataFrame, deliveries: DataFrame, receipts: DataFrame) -> DataFrame:
     return performance_from_parts(orders.join(deliveries, "vendor_id", "left").join(receipts, "vendor_id", "left"))
+
+
+def material_pairs(po_lines: DataFrame, owner: DataFrame) -> DataFrame:
+    """Different (vendor, material) pairs of a batch: parts of a distinct count that stay exact when batches overlap."""
+    return po_lines.select("po_id", "material_id").join(owner, "po_id").select("vendor_id", "material_id").distinct()
+
+
+def distinct_from_pairs(spark: SparkSession, store: str, key: str, name: str) -> DataFrame:
+    return spark.read.parquet(store).drop("batch").distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
+def price_values(po_lines: DataFrame) -> DataFrame:
+    """How often a material was bought at a price: parts of exact quantiles."""
+    return po_lines.groupBy("material_id", "unit_price").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles_from_values(spark: SparkSession, store: str, key: str, value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key from counted values of all batches."""
+    return group_quantiles(spark.read.parquet(store), [key], value, probabilities, "n")
+
+
+#: 2**12 registers: a standard error of 1.6 %; a KLL sketch of size 200: ranks within 1.7 % at 99 %.
+LG_K, KLL_SIZE = 12, 200
+
+
+def price_sketches(po_lines: DataFrame) -> DataFrame:
+    """Per vendor a sketch of its materials and one of its prices, where exact pairs and values would be too many to keep."""
+    return po_lines.groupBy("vendor_id").agg(F.hll_sketch_agg("material_id", LG_K).alias("materials"),
+                                             F.kll_sketch_agg_double(F.col("unit_price").cast("double"), KLL_SIZE).alias("prices"))
+
+
+def from_sketches(spark: SparkSession, store: str) -> DataFrame:
+    merged = spark.read.parquet(store).groupBy("vendor_id").agg(F.hll_union_agg("materials").alias("materials"), F.kll_merge_agg_double("prices", KLL_SIZE).alias("prices"))
+    return merged.select("vendor_id", F.hll_sketch_estimate("materials").alias("distinct_materials"),
+                         F.kll_sketch_get_quantile_double("prices", F.lit(0.5)).alias("median"))

@@ -27,6 +27,10 @@ FROM po_line_item GROUP BY 1""",
   avg((match_status IN ('PRICE_VARIANCE', 'BOTH_VARIANCE'))::INT) AS v_price_variance_rate,
   avg((match_status IN ('QUANTITY_VARIANCE', 'BOTH_VARIANCE'))::INT) AS v_qty_variance_rate, avg(payment_block::INT) AS v_payment_block_rate
 FROM invoice_header GROUP BY 1""",
+    "st03_refresh_distinct_materials": """SELECT vendor_id, count(DISTINCT material_id) AS v_distinct_materials FROM po_line_item JOIN po_header USING (po_id) GROUP BY 1""",
+    "st03_refresh_price_quantiles": """SELECT material_id, count(*) AS n, quantile_cont(unit_price::DOUBLE, 0.5) AS p_median_unit_price,
+  quantile_cont(unit_price::DOUBLE, 0.25) AS p_q1_unit_price, quantile_cont(unit_price::DOUBLE, 0.75) AS p_q3_unit_price FROM po_line_item GROUP BY 1""",
+    "st03_refresh_sketches": """SELECT DISTINCT vendor_id, true AS distinct_within_bound, true AS median_within_bound FROM po_line_item JOIN po_header USING (po_id)""",
     "st04_stream_counts_day": windows("[date_trunc('day', ts)]"),
     "st04_stream_counts_sliding": windows("[date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 12 HOUR, date_trunc('day', ts) - INTERVAL 12 HOUR]"),
     "st05_stream_duplicates": lag_links("invoice_header", "vendor_id, total_gross_amount", 7),
