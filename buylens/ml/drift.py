@@ -51,3 +51,32 @@ def multivariate_outliers(df: DataFrame, by: str, columns: list[str], limit: flo
     distance = F.sqrt(reduce(lambda a, b: a + b, z2))
     return df.join(splittable(stats), by).withColumn("distance", distance).withColumn("outlier", F.col("distance") > limit).drop(
         *[f"_{k}_{c}" for c in columns for k in "ms"])
+
+
+def mahalanobis(df: DataFrame, by: str, columns: list[str], limit: float = 3.0, least: float = 1e-9) -> DataFrame:
+    """Distance of each row from the mean of its group in the metric of the group's covariance.
+
+    A row that breaks the columns' usual relation is far away even if each of its values is common. Means and products come from two aggregates per group;
+    the covariance's Cholesky factor is worked out on one row per group, the distance by forward substitution on each row. A column that others determine
+    (a pivot below ``least`` of its variance) adds nothing. Rows with a null have a null distance.
+    """
+    k = range(len(columns))
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in x])
+    means = splittable(df.filter(whole).groupBy(by).agg(*[F.avg(v).alias(f"_m{i}") for i, v in zip(k, x)]))
+    centred = df.join(means, by, "left").withColumns({f"_d{i}": v - F.col(f"_m{i}") for i, v in zip(k, x)})
+    products = [F.covar_samp(x[i], x[j]).alias(f"_c{i}_{j}") for i in k for j in range(i + 1)]
+    factor = df.filter(whole).groupBy(by).agg(*products)
+    for i in k:
+        for j in range(i + 1):
+            rest = reduce(lambda a, b: a - b, [F.col(f"_l{i}_{m}") * F.col(f"_l{j}_{m}") for m in range(j)], F.col(f"_c{i}_{j}"))
+            if i == j:
+                factor = factor.withColumn(f"_l{i}_{i}", F.when(rest > least * F.col(f"_c{i}_{i}"), F.sqrt(rest)).otherwise(0.0))
+            else:
+                factor = factor.withColumn(f"_l{i}_{j}", F.coalesce(F.try_divide(rest, F.when(F.col(f"_l{j}_{j}") > 0, F.col(f"_l{j}_{j}"))), F.lit(0.0)))
+    out = centred.join(splittable(factor.select(by, *[f"_l{i}_{j}" for i in k for j in range(i + 1)])), by, "left")
+    for i in k:
+        rest = reduce(lambda a, b: a - b, [F.col(f"_l{i}_{m}") * F.col(f"_z{m}") for m in range(i)], F.col(f"_d{i}"))
+        out = out.withColumn(f"_z{i}", F.coalesce(F.try_divide(rest, F.when(F.col(f"_l{i}_{i}") > 0, F.col(f"_l{i}_{i}"))), F.when(rest.isNotNull(), 0.0)))
+    distance = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"_z{i}") * F.col(f"_z{i}") for i in k]))
+    return out.withColumn("distance", distance).withColumn("outlier", F.col("distance") > limit).select(*[f"`{c}`" for c in df.columns], "distance", "outlier")

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+import uuid
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, StandardScaler, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buylens.ml.encoders import align
 from buylens.ml.metrics import confidence_band
-from buylens.ml.splits import with_weights
+from buylens.ml.splits import stratified_folds, with_weights
+from buylens.session import shared_folder
 from buylens.usecases.invoice_match import FEATURES, feature_columns, uc02_table
 
 SEED = 42
@@ -27,10 +30,10 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
-def logistic(features: list[str] = FEATURES, multi: bool = False) -> Pipeline:
-    """Standardised logistic regression on the weight column."""
+def logistic(features: list[str] = FEATURES, multi: bool = False, rounds: int = 1000) -> Pipeline:
+    """Standardised logistic regression on the weight column, until it converges or ``rounds`` are over."""
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=100,
+    lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=rounds,
                             family="multinomial" if multi else "binomial")
     return Pipeline(stages=[_assembler(features), scale, lr])
 
@@ -40,19 +43,57 @@ def forest(features: list[str] = FEATURES, trees: int = 100, depth: int = 8) ->
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED)])
 
 
-def boosted(features: list[str] = FEATURES, rounds: int = 50, depth: int = 4) -> Pipeline:
+def boosted(features: list[str] = FEATURES, rounds: int = 100, depth: int = 4, step: float = 0.1, rows: float = 0.8, columns: float = 0.8) -> Pipeline:
+    """Gradient-boosted trees, each on a share of the rows and, at every split, of the columns."""
     return Pipeline(stages=[_assembler(features), GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=SEED)])
+        featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=rows,
+        featureSubsetStrategy=str(columns), seed=SEED)])
 
 
-def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
-    """Fit on balanced class weights."""
-    return pipeline.fit(with_weights(df))
+def reloaded(model: PipelineModel, path: str) -> PipelineModel:
+    """The model saved to ``path`` and read back.
 
+    A model that was just fitted holds its training summary, and with it the frames and the session it came from; the one read back holds parameters only.
+    """
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def fit(pipeline: Pipeline, df: DataFrame, path: str | None = None) -> PipelineModel:
+    """Fit on balanced class weights; the model lies at ``path``, or in the shared folder."""
+    folder = path or shared_folder(df.sparkSession)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return reloaded(pipeline.fit(with_weights(df)), path or f"{folder}/models/{uuid.uuid4().hex}")
+
+
+def fit_multiclass(df: DataFrame, features: list[str] = FEATURES, kind: str = "logistic", path: str | None = None) -> PipelineModel:
+    """Four match classes by multinomial regression, a forest, or boosted trees."""
+    if kind == "boosted":
+        return fit_boosted_classes(df, features, path)
+    return fit(logistic(features, multi=True) if kind == "logistic" else forest(features), df, path)
 
-def fit_multiclass(df: DataFrame, features: list[str] = FEATURES, kind: str = "logistic") -> PipelineModel:
-    """Four match classes; boosted trees have two classes only, so they are not offered."""
-    return fit(logistic(features, multi=True) if kind == "logistic" else forest(features), df)
+
+def fit_boosted_classes(df: DataFrame, features: list[str] = FEATURES, path: str | None = None, rounds: int = 50, depth: int = 4, parallelism: int = 4) -> PipelineModel:
+    """Boosted trees for several classes 0, 1, ...: each class against the rest, then one multinomial regression on all margins, so that the
+    probabilities are calibrated together and add up to one."""
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/models/{uuid.uuid4().hex}"
+    assembler = _assembler(features)
+    assembler.transform(with_weights(df)).select("features", "label", "weight").write.parquet(f"{folder}-rows")
+    rows = spark.read.parquet(f"{folder}-rows")
+    classes = int(rows.agg(F.max("label")).first()[0]) + 1
+
+    def one(k: int):
+        trees = GBTClassifier(featuresCol="features", labelCol="mine", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=SEED,
+                              predictionCol=f"class_{k}").setRawPredictionCol(f"margin_{k}").setProbabilityCol(f"share_{k}")
+        return trees.fit(rows.withColumn("mine", (F.col("label") == k).cast("double")))
+
+    with ThreadPool(parallelism) as pool:
+        each = PipelineModel(stages=pool.map(one, range(classes), chunksize=1))
+    each = reloaded(each, f"{folder}-trees")
+    joint = Pipeline(stages=[VectorAssembler(inputCols=[f"margin_{k}" for k in range(classes)], outputCol="margins"), LogisticRegression(
+        featuresCol="margins", labelCol="label", weightCol="weight", maxIter=100, family="multinomial")]).fit(each.transform(rows))
+    return reloaded(PipelineModel(stages=[assembler, *each.stages, *joint.stages]), path or folder)
 
 
 def predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -67,35 +108,66 @@ def weighted_f1(scored: DataFrame) -> float:
         scored.select(F.col("label").cast("double"), F.col("prediction").cast("double")))
 
 
-def random_search(pipeline: Pipeline, space: dict[str, list], n: int, df: DataFrame, fold: str = "fold", folds: int = 5,
-                  parallelism: int = 4, seed: int = SEED):
-    """Best of ``n`` random parameter draws by cross-validated F1 on the given folds."""
-    last = pipeline.getStages()[-1]
-    draw, seen = random.Random(seed), []
-    while len(seen) < min(n, _size(space)):
-        pick = {name: draw.choice(values) for name, values in sorted(space.items())}
-        if pick not in seen:
-            seen.append(pick)
-    maps = []
-    for pick in seen:
-        grid = ParamGridBuilder()
-        for name, value in pick.items():
-            grid = grid.baseOn((last.getParam(name), value))
-        maps.extend(grid.build())
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=folds, foldCol=fold, parallelism=parallelism,
-                        evaluator=MulticlassClassificationEvaluator(metricName="f1", weightCol="weight"), seed=seed)
-    model = cv.fit(with_weights(df))
-    trials = df.sparkSession.createDataFrame(
-        [(i, json.dumps(pick, sort_keys=True), float(score)) for i, (pick, score) in enumerate(zip(seen, model.avgMetrics))],
-        "trial int, params string, mean_f1 double")
-    return model.bestModel, trials
-
-
-def _size(space: dict[str, list]) -> int:
-    total = 1
-    for values in space.values():
-        total *= len(values)
-    return total
+@dataclass(frozen=True)
+class Search:
+    """``draws`` random parameters; every one is judged on the first fold, the best ``halved[0]`` on the folds of one repeat, the best
+    ``halved[1]`` of those on all repeats."""
+
+    draws: int = 50
+    folds: int = 5
+    repeats: int = 3
+    halved: tuple[int, int] = (10, 3)
+    parallelism: int = 4
+
+
+def drawn(space: dict[str, tuple], draw: random.Random) -> dict:
+    """One random point: ("float", low, high), ("log", low, high), or ("int", low, high) by parameter."""
+    out = {}
+    for name, (kind, low, high) in sorted(space.items()):
+        if kind == "int":
+            out[name] = draw.randint(low, high)
+        else:
+            out[name] = math.exp(draw.uniform(math.log(low), math.log(high))) if kind == "log" else draw.uniform(low, high)
+    return out
+
+
+def random_search(pipeline: Pipeline, space: dict[str, tuple], df: DataFrame, key: str, search: Search = Search(), seed: int = SEED):
+    """Best of random parameter draws by mean F1 over repeated stratified folds, by successive halving.
+
+    Gives the model refitted on all rows and one row per draw with its mean F1 and the number of folds it was judged on.
+    """
+    last, draw = pipeline.getStages()[-1], random.Random(seed)
+    picks = [drawn(space, draw) for _ in range(search.draws)]
+    spark = df.sparkSession
+    folded = []
+    for r in range(search.repeats):
+        path = f"{shared_folder(spark)}/models/folds-{uuid.uuid4().hex}"
+        with_weights(stratified_folds(df, "label", key, search.folds, repeat=r)).write.parquet(path)
+        folded.append(spark.read.parquet(path))
+    scores: dict[int, list[float]] = {k: [] for k in range(len(picks))}
+    evaluator = MulticlassClassificationEvaluator(metricName="f1", weightCol="weight")
+
+    def judge(job: tuple[int, int, int]) -> float:
+        k, r, fold = job
+        grid = {last.getParam(name): value for name, value in picks[k].items()}
+        rows = folded[r]
+        model = pipeline.fit(rows.filter(F.col("fold") != fold), grid)
+        return evaluator.evaluate(model.transform(rows.filter(F.col("fold") == fold)))
+
+    ranked = list(scores)
+    steps = [(len(picks), [(0, 0)]), (search.halved[0], [(0, f) for f in range(1, search.folds)]),
+             (search.halved[1], [(r, f) for r in range(1, search.repeats) for f in range(search.folds)])]
+    with ThreadPool(search.parallelism) as pool:
+        for count, places in steps:
+            jobs = [(k, *place) for k in ranked[:count] for place in places]
+            for (k, _, _), score in zip(jobs, pool.map(judge, jobs, chunksize=1)):
+                scores[k].append(score)
+            ranked = sorted(ranked[:count], key=lambda k: (-sum(scores[k]) / len(scores[k]), k))
+    mean = {k: sum(s) / len(s) for k, s in scores.items()}
+    trials = spark.createDataFrame([(k, json.dumps(pick, sort_keys=True), float(mean[k]), len(scores[k]), k == ranked[0]) for k, pick in enumerate(picks)],
+                                   "trial int, params string, mean_f1 double, folds int, best boolean")
+    best = pipeline.copy({last.getParam(name): value for name, value in picks[ranked[0]].items()})
+    return fit(best, df), trials
 
 
 def cross_validate(pipeline: Pipeline, df: DataFrame, folds: int) -> DataFrame:
@@ -132,9 +204,8 @@ def compare_and_fit(pipelines: dict[str, Pipeline], df: DataFrame, folds: int, p
     table = tables[0]
     for other in tables[1:]:
         table = table.unionByName(other)
-    model = fit(pipelines[best], df)
+    model = fit(pipelines[best], df, f"{path}/model" if path else None)
     if path:
-        model.write().overwrite().save(f"{path}/model")
         meta = {"model": best, "f1": best_f1, "features": features, "leak_suspect": best_f1 > 0.95}
         df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
     return Comparison(table, best, model)
@@ -204,6 +275,20 @@ def text_classifier(materials: DataFrame, label: str = "category_id", text: str
                             LogisticRegression(featuresCol="tfidf", labelCol="label", maxIter=rounds)]).fit(materials)
 
 
+def text_accuracy(materials: DataFrame, label: str = "category_id", k: int = 3, folds: int = 5, key: str = "material_id", **options) -> DataFrame:
+    """Share of held-out texts whose class is the most likely one, and is among the ``k`` most likely, with the share of the largest class."""
+    folded = stratified_folds(materials, label, key, folds)
+    path = f"{shared_folder(materials.sparkSession)}/models/texts-{uuid.uuid4().hex}"
+    folded.write.parquet(path)
+    folded = materials.sparkSession.read.parquet(path)
+    train, test = folded.filter("fold <> 0"), folded.filter("fold = 0")
+    ranked = top_classes(text_classifier(train, label, **options), test, k, key)
+    hit = ranked.join(test.select(key, F.col(label).alias("actual")), key).filter(F.col("class") == F.col("actual")).select(key, "rank")
+    largest = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("largest")).scalar()
+    return test.join(hit, key, "left").agg(F.count(F.lit(1)).alias("n"), F.avg((F.coalesce("rank", F.lit(0)) == 1).cast("double")).alias("top_1"),
+                                           F.avg(F.col("rank").isNotNull().cast("double")).alias(f"top_{k}"), F.first(largest).alias("largest_class"))
+
+
 def top_classes(model: PipelineModel, materials: DataFrame, k: int = 3, key: str = "material_id") -> DataFrame:
     """The k most likely classes of each text with their probabilities."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])

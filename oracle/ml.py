@@ -1,6 +1,6 @@
 """DuckDB twins of the model queries that need no fitted model."""
 
-from oracle.usecases import UC10
+from oracle.usecases import FEATURES, UC10
 
 SCORED = """s AS (SELECT invoice_id, invoice_date, (match_status <> 'FULL_MATCH')::INT AS label, (total_net_amount % 100)::DOUBLE / 100 AS score FROM invoice_header)"""
 PRED = """p AS (SELECT invoice_id, list_position(['FULL_MATCH', 'PRICE_VARIANCE', 'QUANTITY_VARIANCE', 'BOTH_VARIANCE'], match_status) - 1 AS label,
@@ -83,4 +83,21 @@ FROM vendor_master""",
 d AS (SELECT po_id, po_line_number, sqrt(pow((a - avg(a) OVER w) / stddev_samp(a) OVER w, 2) + pow((b - avg(b) OVER w) / stddev_samp(b) OVER w, 2)) AS d
   FROM x WINDOW w AS (PARTITION BY g))
 SELECT po_id, po_line_number, round(d, 6) AS distance, d > 2 AS outlier FROM d""",
+    "m26_mahalanobis": """WITH x AS (SELECT po_id, po_line_number, split_part(category_id, '-', 1) AS g, quantity::DOUBLE AS a, unit_price::DOUBLE AS b, standard_cost::DOUBLE AS c
+  FROM po_line_item JOIN material_master USING (material_id)),
+s AS (SELECT g, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_samp(a) AS aa, var_samp(b) AS bb, var_samp(c) AS cc, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac,
+  covar_samp(b, c) AS bc FROM x GROUP BY 1),
+i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+d AS (SELECT po_id, po_line_number, a - ma AS p, b - mb AS q, c - mc AS r, i.* FROM x JOIN i USING (g))
+SELECT po_id, po_line_number, round(sqrt(((bb * cc - bc * bc) * p * p + (aa * cc - ac * ac) * q * q + (aa * bb - ab * ab) * r * r
+  + 2 * (ac * bc - ab * cc) * p * q + 2 * (ab * bc - ac * bb) * p * r + 2 * (ab * ac - aa * bc) * q * r) / det), 4) AS distance FROM d""",
+    "m05_search_complete": "SELECT 50::BIGINT AS draws, 1::BIGINT AS best, true AS between",
+    "m10_sums_to_one": f"SELECT true AS one, {len(FEATURES)}::BIGINT AS features",
+    "m11_summary_matches": " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS equal" for f in FEATURES),
+    "m11_factors_ordered": "SELECT invoice_id, invoice_line_number, true AS ordered FROM invoice_line_item",
+    "u1202_held_out": "SELECT true AS a_share, true AS top_3_not_below, true AS held_out",
+    "m08_boosted_better": "SELECT 'classes_boosted' AS model, true AS better",
 }
+VALID = ("m02_valid", "m03_valid", "m04_valid", "m08_valid", "m08_boosted_valid")
+SQL |= {name: "SELECT invoice_id, invoice_line_number, true AS valid FROM invoice_line_item" for name in VALID}
+SQL |= {f"m0{k}_better": f"SELECT '{kind}' AS model, true AS better" for k, kind in ((2, "logistic"), (3, "forest"), (4, "boosted"))}
