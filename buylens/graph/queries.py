@@ -214,16 +214,52 @@ def ego_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
-    """Vertices of one shortest undirected path, numbered from the source; empty if none."""
+    """Vertices of one shortest undirected path, numbered from the source; empty if none.
+
+    The search goes out from both ends. Each round grows the smaller frontier by one hop, so a hub next to one end is not opened while the other
+    end's side is small, and stops when the frontiers meet. Among shortest paths the smallest meeting vertex and the smallest parents decide.
+    """
     spark = edges.sparkSession
-    end = spark.createDataFrame([(target,)], "vertex_id string")
-    levels = cut_lineage(bfs_levels(edges, spark.createDataFrame([(source,)], "vertex_id string"), max_hops, end))
-    here = levels.join(end, "vertex_id", "left_semi")
-    steps, far = [here], here.agg(F.max("level")).first()[0]
-    for _ in range(far or 0):
-        here = cut_lineage(levels.join(here.select(F.col("parent_id").alias("vertex_id")), "vertex_id", "left_semi"))
-        steps.append(here)
-    return _union(*steps).select(F.col("level").alias("step"), "vertex_id")
+    links = cut_lineage(undirected(edges))
+    start = lambda v: cut_lineage(spark.createDataFrame([(v, 0, None)], "vertex_id string, level int, parent_id string").join(
+        links.select(F.col("u").alias("vertex_id")).distinct(), "vertex_id", "left_semi"))
+    sides = [start(source), start(target)]
+    fronts, levels, sizes = list(sides), [0, 0], [side.count() for side in sides]
+    met = cut_lineage(fronts[0].join(fronts[1].select("vertex_id"), "vertex_id", "left_semi").select("vertex_id"))
+    while all(sizes) and met.isEmpty() and (max_hops is None or sum(levels) < max_hops):
+        k = 0 if sizes[0] <= sizes[1] else 1
+        levels[k] += 1
+        reached = links.join(fronts[k].select(F.col("vertex_id").alias("u")), "u").groupBy(F.col("v").alias("vertex_id")).agg(F.min("u").alias("parent_id"))
+        fronts[k] = cut_lineage(reached.join(sides[k].select("vertex_id"), "vertex_id", "left_anti").select(
+            "vertex_id", F.lit(levels[k]).alias("level"), "parent_id"))
+        sides[k], sizes[k] = sides[k].unionByName(fronts[k]), fronts[k].count()
+        met = cut_lineage(fronts[k].join(sides[1 - k].select("vertex_id"), "vertex_id", "left_semi").select("vertex_id"))
+    middle = met.agg(F.min("vertex_id").alias("vertex_id")).filter("vertex_id is not null")
+    steps = []
+    for k in (0, 1):
+        here = sides[k].join(middle, "vertex_id", "left_semi")
+        for hop in range(levels[k] + 1):
+            if hop or not k:  # the middle belongs to the first side
+                steps.append(here.select((F.col("level") if not k else F.lit(sum(levels)) - F.col("level")).alias("step"), "vertex_id"))
+            here = cut_lineage(sides[k].join(here.select(F.col("parent_id").alias("vertex_id")), "vertex_id", "left_semi"))
+    return _union(*steps)
+
+
+def invoice_context_by_order(t: Tables, key: str | None = None) -> DataFrame:
+    """Order lines and receipts once per order with an invoice, vendor and payments once per invoice: join on the order for the whole of an invoice's context."""
+    inv = _only(t["invoice_header"], "invoice_id", key).select("invoice_id", "po_id", "vendor_id")
+    orders = inv.select("po_id").distinct()
+    lines = orders.join(t["po_line_item"].select("po_id", "po_line_number", "material_id"), "po_id")
+    received = orders.join(t["gr_header"].select("po_id", "gr_id", "status"), "po_id")
+    vendor = inv.join(t["vendor_master"].select("vendor_id", "vendor_name"), "vendor_id")
+    paid = inv.join(t["payment_invoice_link"], "invoice_id")
+    order, invoice = F.lit("ORDER").alias("level"), F.lit("INVOICE").alias("level")
+    return _union(
+        _section(lines, "po_id", "PO_LINE", F.concat_ws(":", "po_id", F.col("po_line_number").cast("string")), F.col("material_id")).withColumnRenamed("po_id", "key_id").select("*", order),
+        _section(received, "po_id", "RECEIPT", F.col("gr_id"), F.col("status")).withColumnRenamed("po_id", "key_id").select("*", order),
+        _section(vendor, "invoice_id", "VENDOR", F.col("vendor_id"), F.col("vendor_name")).withColumnRenamed("invoice_id", "key_id").select("*", invoice),
+        _section(paid, "invoice_id", "PAYMENT", F.col("payment_id"), F.col("amount_applied").cast("string")).withColumnRenamed("invoice_id", "key_id").select("*", invoice),
+        _section(inv, "invoice_id", "ORDER", F.col("po_id"), F.lit(None).cast("string")).withColumnRenamed("invoice_id", "key_id").select("*", invoice))
 
 
 def nodes_by_type(t: Tables, kind: str) -> DataFrame:

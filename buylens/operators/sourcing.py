@@ -78,10 +78,10 @@ def best_source(source_list: DataFrame, vendors: DataFrame, headers: DataFrame,
 
 def resolve_source(pr_lines: DataFrame, pr_headers: DataFrame, source_list: DataFrame, vendors: DataFrame,
                    headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Source of every requisition line; the choice is made once per material and plant."""
+    """Source of every requisition line, null where its material has none at the plant; the choice is made once per material and plant."""
     lines = pr_lines.select("pr_id", "pr_line_number", "material_id").join(
         pr_headers.select("pr_id", "plant_id"), "pr_id")
-    return lines.join(best_source(source_list, vendors, headers, items), ["material_id", "plant_id"])
+    return lines.join(best_source(source_list, vendors, headers, items), ["material_id", "plant_id"], "left")
 
 
 def buying_price(resolved: DataFrame, items: DataFrame, materials: DataFrame, factor: str = "1.10") -> DataFrame:

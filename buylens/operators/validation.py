@@ -376,16 +376,39 @@ def suite_summary(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("checks"), F.sum("violation_count").alias("violations"), (failed == 0).alias("gate_ok"))
 
 
+def _key_text(columns: list[str]) -> Column:
+    """A key as one text, its parts with their lengths in front so that different keys differ; NULL if a part is."""
+    parts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for c in parts for x in (F.length(c).cast("string"), F.lit(":"), c)])
+
+
 def foreign_key_report(t: Tables) -> DataFrame:
-    """Orphans of every declared relationship."""
-    parts = []
-    for fk in FOREIGN_KEYS:
-        child, columns, parent = fk[:3]
-        lost = orphans(t[child].select(*columns), columns, t[parent], parent_columns(fk))
-        parts.append(lost.agg(F.count(F.lit(1)).alias("orphans")).select(
-            F.lit(child).alias("child_table"), F.lit(",".join(columns)).alias("child_columns"),
-            F.lit(parent).alias("parent_table"), "orphans"))
-    return reduce(DataFrame.unionByName, parts)
+    """Orphans of every declared relationship.
+
+    Each child table is read once: all of its keys are counted in one pass, by relationship and value, and most tables point at few parents. Each set of parent
+    keys is read once as well, and one join tells which counted keys have no parent.
+    """
+    targets = {fk: (fk[2], ",".join(parent_columns(fk))) for fk in map(_hashable, FOREIGN_KEYS)}
+    numbers = {target: k for k, target in enumerate(dict.fromkeys(targets.values()))}
+    relations = list(targets)
+    children = {}
+    for k, fk in enumerate(relations):
+        children.setdefault(fk[0], []).append(F.struct(F.lit(k).alias("relation"), F.lit(numbers[targets[fk]]).alias("target"), _key_text(list(fk[1])).alias("key")))
+    used = reduce(DataFrame.unionByName, [
+        t[child].select(F.inline(F.array(*keys))).filter(F.col("key").isNotNull()).groupBy("relation", "target", "key").agg(F.count(F.lit(1)).alias("n"))
+        for child, keys in children.items()])
+    parents = {}
+    for (parent, columns), k in numbers.items():
+        parents.setdefault(parent, []).append(F.struct(F.lit(k).alias("target"), _key_text(columns.split(",")).alias("key")))
+    known = reduce(DataFrame.unionByName, [t[parent].select(F.inline(F.array(*keys))) for parent, keys in parents.items()])
+    lost = used.join(known, ["target", "key"], "left_anti").groupBy("relation").agg(F.sum("n").alias("orphans"))
+    names = t[relations[0][0]].sparkSession.createDataFrame(
+        [(k, fk[0], ",".join(fk[1]), fk[2]) for k, fk in enumerate(relations)], "relation int, child_table string, child_columns string, parent_table string")
+    return names.join(lost, "relation", "left").select("child_table", "child_columns", "parent_table", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans"))
+
+
+def _hashable(fk: tuple) -> tuple:
+    return tuple(tuple(x) if isinstance(x, list) else x for x in fk)
 
 
 def primary_key_report(t: Tables, names: Iterable[str] | None = None) -> DataFrame:

@@ -19,6 +19,20 @@ def first_vendor(t):
 CONTRACT_EDGES = ["HAS_CONTRACT", "UNDER_CONTRACT"]
 PAY_EDGES = ["PAYS", "INVOICED_FOR", "UNDER_CONTRACT"]
 
+
+def path_checked(t):
+    """The length of a shortest path between the first and the last vendor, and whether it is a path: its steps are edges from one end to the other."""
+    edges = views.all_edges(t, CONTRACT_EDGES + ["SUPPLIES"])
+    ends = t["vendor_master"].agg(F.min("vendor_id").alias("a"), F.max("vendor_id").alias("b")).first()
+    path = g.shortest_path(edges, ends["a"], ends["b"])
+    steps = path.select("step", "vertex_id")
+    follows = steps.join(steps.select((F.col("step") - 1).alias("step"), F.col("vertex_id").alias("next")), "step")
+    linked = follows.join(g.undirected(edges), (F.col("vertex_id") == F.col("u")) & (F.col("next") == F.col("v")), "left_semi").agg(F.count(F.lit(1)).alias("linked"))
+    whole = steps.agg(F.max("step").cast("int").alias("hops"), F.min_by("vertex_id", "step").alias("first"), F.max_by("vertex_id", "step").alias("last"), F.count(F.lit(1)).alias("n"))
+    return whole.select("hops", ((F.col("first") == ends["a"]) & (F.col("last") == ends["b"]) & (F.col("n") == F.col("hops") + 1)
+                                              & (linked.scalar() == F.col("hops"))).alias("is_path"))
+
+
 QUERIES = {f"gv{n:02d}_{kind.lower()}": (lambda t, kind=kind: views.vertices_of(t, kind))
            for n, kind in enumerate(views.VERTICES, 1)}
 QUERIES["gv11_all_vertices"] = views.all_vertices
@@ -38,6 +52,7 @@ QUERIES |= {
     "gq08_vendor_contracts": g.vendor_contracts,
     "gq09_invoice_issues": g.invoice_issues,
     "gq10_invoice_context": g.invoice_context,
+    "gq10_invoice_context_by_order": g.invoice_context_by_order,
     "gq11_plant_materials": g.plant_materials,
     "gq12_vendor_pos": g.vendor_pos,
     "gq13_category_tree": g.category_tree,
@@ -51,6 +66,7 @@ QUERIES |= {
         views.all_edges(t), g.ego_vertices(views.all_edges(t), blocked(t), 1)).select(
         "source_vertex", "target_vertex", "edge_type"),
     "gq19_bfs_levels": lambda t: g.bfs_levels(views.all_edges(t, CONTRACT_EDGES + ["SUPPLIES"]), first_vendor(t), 3),
+    "gq19_shortest_path": path_checked,
     "gq20_nodes_by_type": lambda t: g.nodes_by_type(t, "CONTRACT"),
     "gq21_typed_hop": lambda t: g.typed_hop(t, "SUPPLIES"),
     "gq22_two_hop": g.two_hop,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from buylens.functions import columns as C
@@ -61,6 +63,14 @@ def features_and_back(t):
     return t.spark.read.parquet(to).withColumn("label_month", F.col("label_month").cast("string"))
 
 
+def bucketed_match(t):
+    """The three-way match by order line, on tables bucketed by the order line."""
+    got = {n: io.save_bucketed(t[n], f"bucketed_{n}_{zlib.crc32(t.folder.encode()):08x}", f"{t.folder}/bucketed/{n}", matching.PO_KEY, 8)
+           for n in ("invoice_line_item", "po_line_item", "gr_line_item")}
+    return matching.three_way_match_lines(got["invoice_line_item"], got["po_line_item"], got["gr_line_item"], receipts="sum").select(
+        "invoice_id", "invoice_line_number", "quantity_variance", "quantity_breach")
+
+
 def resolved(t):
     return sourcing.resolve_source(t["pr_line_item"], t["pr_header"], t["source_list"], t["vendor_master"],
                                    t["contract_header"], t["contract_item"])
@@ -70,10 +80,12 @@ QUERIES = {
     "s01_read_table_csv": lambda t: csv_round_trip(t, "vendor_master"),
     "s03_load_tables": loaded_spend,
     "s04_write_tables_csv": lambda t: csv_round_trip(t, "po_line_item"),
+    "s05_schema_report": io.schema_report,
     "s06_save_tables": saved_and_read,
     "s07_verify_counts": lambda t: io.verify_counts(t, COUNTED),
     "s08_write_features": features_and_back,
     "s09_write_fact": fact_layout,
+    "s09_bucketed_match": bucketed_match,
     "b01_three_way_match_lines": lambda t: matched_lines(t).select(
         "invoice_id", "invoice_line_number", "price_variance", "quantity_variance", "price_breach", "quantity_breach"),
     "b01_match_sum_of_receipts": lambda t: matching.three_way_match_lines(

@@ -31,6 +31,7 @@ QUERIES = {
     "u208_feature_matrix_class": lambda t: im.feature_columns(im.uc02_table(t), "target_multiclass", im.SPECIFIC + im.TEMPORAL),
     "u208_feature_vector": lambda t: im.feature_matrix(im.uc02_table(t), "target_multiclass", im.SPECIFIC + im.TEMPORAL).select(
         "invoice_id", "invoice_line_number", vector_to_array("features").alias("features"), "label"),
+    "u208_feature_matrix_all": lambda t: rounded(im.feature_columns(im.uc02_table(t), "target_multiclass"), *FLOAT_SUMS, places=4),
     "u209_missing_flag": lambda t: im.missing_flag(base(t), "contract_agreed_price").select(
         "invoice_id", "invoice_line_number", "has_contract_agreed_price"),
     "u210_leakage_report": lambda t: rounded(im.leakage_report(
@@ -51,6 +52,7 @@ QUERIES = {
     "u502_late_label": lambda t: sourcing.late_label(t["po_line_item"]),
     "u601_uc06_features": lambda t: rounded(finance.uc06_features(t, AS_OF), "c_consumption_pct", "uc06_consumption_velocity", "uc06_vendor_performance_score"),
     "u602_renewal_rule": lambda t: finance.renewal_rule(finance.uc06_features(t, AS_OF), pct=0.4),
+    "u602_renewal_rule_70": lambda t: finance.renewal_rule(finance.uc06_features(t, AS_OF)),
     "u701_uc07_features": lambda t: rounded(finance.uc07_features(t, AS_OF), "uc07_vendor_strategic_score"),
     "u702_payment_plan": finance.payment_plan,
     "u703_discount_portfolio": lambda t: rounded(finance.discount_portfolio(finance.payment_plan(t)), "annual_return"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -12,12 +13,13 @@ from buylens.features import groups, invoice, vendor
 from buylens.functions.columns import CRITICALITY, discount_days, discount_pct, flag, has_discount, ordinal, ratio, share
 from buylens.operators.contracts import in_force
 from buylens.operators.windows import nearby_count, previous
+from buylens.session import splittable
 
 Tables = Mapping[str, DataFrame]
 
 
 def uc06_features(t: Tables, as_of: str) -> DataFrame:
-    """Renewal signals per contract, from its items, materials and vendor."""
+    """Renewal signals of every contract, from its items, materials and vendor; those of the items are null for a contract without any."""
     items = groups.contract_status(t["contract_header"], t["contract_item"], as_of)
     listed = t["contract_item"].select("contract_id", "item_number", "material_id").join(
         t["contract_header"].select("contract_id", "vendor_id"), "contract_id")
@@ -28,7 +30,6 @@ def uc06_features(t: Tables, as_of: str) -> DataFrame:
         # Sources of the most exposed material, the contract's own vendor not counted.
         F.greatest(F.min(F.coalesce("vendors", F.lit(0))) - 1, F.lit(0)).alias("uc06_alternative_vendor_count"))
     used = items.groupBy("contract_id").agg(
-        F.max("c_days_to_expiry").alias("uc06_days_to_expiry"), F.max("c_is_active").alias("c_is_active"),
         F.avg("c_consumption_pct").alias("c_consumption_pct"), F.max("c_months_active").alias("c_months_active"))
     perf = vendor.performance_from_parts(vendor.performance_parts(t["po_header"], t["po_line_item"], t["gr_line_item"]))
     matched = t["invoice_header"].groupBy("vendor_id").agg(share(invoice.full_match()).alias("match_rate"))
@@ -38,8 +39,10 @@ def uc06_features(t: Tables, as_of: str) -> DataFrame:
     length = F.datediff(F.least(F.lit(as_of).cast("date"), F.col("valid_to")), "valid_from")
     # At the pace so far the contract is used up after elapsed / consumed share days.
     exhaust = F.when(F.col("c_consumption_pct") > 0, F.date_add("valid_from", F.floor(length / F.col("c_consumption_pct")).cast("int")))
-    return (t["contract_header"].select("contract_id", "vendor_id", "valid_from", "valid_to").join(used, "contract_id").join(per_material, "contract_id")
-            .join(scores, "vendor_id").select(
+    due = F.datediff("valid_to", F.lit(as_of).cast("date")).alias("uc06_days_to_expiry")
+    headers = t["contract_header"].select("contract_id", "vendor_id", "valid_from", "valid_to", due, flag(F.col("status") == "ACTIVE").alias("c_is_active"))
+    return (headers.join(used, "contract_id", "left").join(per_material, "contract_id", "left")
+            .join(scores, "vendor_id", "left").select(
         "contract_id", "vendor_id", "uc06_days_to_expiry", "c_is_active", "c_consumption_pct",
         F.try_divide(F.col("c_consumption_pct"), F.col("c_months_active")).alias("uc06_consumption_velocity"),
         exhaust.alias("uc06_estimated_exhaust_date"), "uc06_material_criticality_max", "uc06_alternative_vendor_count", "uc06_vendor_performance_score"))
@@ -135,27 +138,41 @@ def number_links(invoices: DataFrame, days: int = 30) -> DataFrame:
     return duplicate_links(variants.join(repeated, "h", "left_semi"), days, ("vendor_id", "variant"))
 
 
-def amount_links(invoices: DataFrame, days: int = 30, step: float = 100.0) -> DataFrame:
-    """Links between invoices of a vendor with near amounts.
+def amount_links(invoices: DataFrame, lines: DataFrame, days: int = 30, percent: int = 5) -> DataFrame:
+    """Links between invoices of a vendor that share an ordered good and quantity, whose amounts differ by ``percent`` of the first one's at most.
 
-    Amounts fall into cells of width ``step`` on two grids, half a cell apart, so amounts up to half a step apart always share a cell.
+    Nearness is not transitive, so every pair in the window is made. Amounts fall into cells by their logarithm, so that near ones are in the same or in
+    adjacent cells however large they are; days fall into blocks of the window's length. A pair meets once, on vendor, good, quantity, cell and block.
+    Invoices of one day with the same amount and good are one class, its least id stands for it; equal amounts are ``duplicate_links``'.
     """
-    amount = F.col("total_gross_amount").cast("double")
-    cells = F.array(*[F.concat(F.lit(f"{k}:"), F.floor((amount + k * step / 2) / step).cast("string")) for k in (0, 1)])
-    placed = invoices.select("invoice_id", "invoice_date", "vendor_id", F.explode(cells).alias("cell"))
-    return duplicate_links(placed, days, ("vendor_id", "cell"))
-
-
-def candidate_links(invoices: DataFrame, days: int = 30) -> DataFrame:
-    """Invoices linked by equal or near amount, order or a number one character apart, each to its predecessor."""
+    amount = F.col("total_gross_amount")
+    width = -math.log(1 - percent / 100)
+    goods = lines.select("invoice_id", "material_id", "quantity_invoiced").distinct()
+    keys = ["vendor_id", "material_id", "quantity_invoiced"]
+    rows = invoices.filter(amount != 0).select("invoice_id", "vendor_id", "invoice_date", "total_gross_amount").join(goods, "invoice_id")
+    classes = rows.groupBy(*keys, "invoice_date", "total_gross_amount").agg(F.min("invoice_id").alias("invoice_id"))
+    placed = splittable(classes.withColumns({
+        "above": amount > 0, "cell": F.floor(F.log(F.abs(amount.cast("double"))) / width), "block": F.floor(F.unix_date("invoice_date") / (days + 1))}))
+    first = placed.select(*keys, "above", F.col("invoice_id").alias("first_invoice_id"), F.col("invoice_date").alias("first_date"), F.col("total_gross_amount").alias("first_amount"),
+                          F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), "block")
+    first = first.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    gap = F.datediff("invoice_date", "first_date")
+    after = (gap > 0) | ((gap == 0) & (F.col("invoice_id") > F.col("first_invoice_id")))
+    off = F.abs(F.col("first_amount") - amount)
+    near = (off > 0) & (off * 100 <= F.abs("first_amount") * percent)
+    return first.join(placed, [*keys, "above", "cell", "block"]).filter(after & (gap <= days) & near).select("first_invoice_id", "invoice_id").distinct()
+
+
+def candidate_links(invoices: DataFrame, lines: DataFrame, days: int = 30) -> DataFrame:
+    """Invoices linked by equal amount, order, or a number one character apart, each to its predecessor, and by near amounts, each to all in the window."""
     links = [duplicate_links(invoices, days), duplicate_links(invoices, days, ("vendor_id", "po_id")), number_links(invoices, days),
-             amount_links(invoices, days)]
+             amount_links(invoices, lines, days)]
     return reduce(DataFrame.unionByName, [x.select("first_invoice_id", "invoice_id") for x in links]).distinct()
 
 
 def fuzzy_pairs(invoices: DataFrame, lines: DataFrame, days: int = 30) -> DataFrame:
     """Similarity of linked invoices: number, amount, date and ordered goods."""
-    pairs = candidate_links(invoices, days)
+    pairs = splittable(candidate_links(invoices, lines, days))
     info = invoices.select("invoice_id", "invoice_date", "vendor_invoice_number", "total_gross_amount")
     first = info.select(F.col("invoice_id").alias("first_invoice_id"), F.col("invoice_date").alias("first_date"),
                         F.col("vendor_invoice_number").alias("first_number"), F.col("total_gross_amount").alias("first_amount"))

@@ -357,7 +357,7 @@ def with_adapter(sql: str) -> str:
 
     for name in sorted(seen):
         place(name)
-    ctes = ",\n".join(f"{name} AS ({CTES[name]})" for name in ordered)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in ordered)
     body = sql.strip()
     if not ctes:
         return body

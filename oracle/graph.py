@@ -111,6 +111,12 @@ FROM invoice_header JOIN po_line_item USING (po_id)
 UNION ALL SELECT invoice_id, 'RECEIPT', gr_id, g.status FROM invoice_header JOIN gr_header g USING (po_id)
 UNION ALL SELECT invoice_id, 'VENDOR', vendor_id, vendor_name FROM invoice_header JOIN vendor_master USING (vendor_id)
 UNION ALL SELECT invoice_id, 'PAYMENT', payment_id, CAST(amount_applied AS VARCHAR) FROM payment_invoice_link"""
+SQL["gq10_invoice_context_by_order"] = """WITH o AS (SELECT DISTINCT po_id FROM invoice_header)
+SELECT po_id AS key_id, 'PO_LINE' AS section, po_id || ':' || po_line_number AS item_id, material_id AS detail, 'ORDER' AS level FROM o JOIN po_line_item USING (po_id)
+UNION ALL SELECT po_id, 'RECEIPT', gr_id, status, 'ORDER' FROM o JOIN gr_header USING (po_id)
+UNION ALL SELECT invoice_id, 'VENDOR', vendor_id, vendor_name, 'INVOICE' FROM invoice_header JOIN vendor_master USING (vendor_id)
+UNION ALL SELECT invoice_id, 'PAYMENT', payment_id, CAST(amount_applied AS VARCHAR), 'INVOICE' FROM payment_invoice_link
+UNION ALL SELECT invoice_id, 'ORDER', po_id, NULL, 'INVOICE' FROM invoice_header"""
 SQL["gq11_plant_materials"] = """SELECT plant_id, material_id, vendor_id, preferred_rank, description, vendor_name
 FROM source_list JOIN material_master USING (material_id) JOIN vendor_master USING (vendor_id)"""
 SQL["gq12_vendor_pos"] = "SELECT vendor_id, po_id, po_date, total_net_value, status, maverick_flag FROM po_header"
@@ -146,6 +152,9 @@ s2 AS (SELECT x FROM s1 UNION SELECT x FROM h2),
 h3 AS (SELECT w AS x, min(u) AS p FROM b JOIN h2 ON u = x WHERE w NOT IN (SELECT x FROM s2) GROUP BY w)
 SELECT x AS vertex_id, 0 AS level, CAST(NULL AS VARCHAR) AS parent_id FROM h0 UNION ALL SELECT x, 1, p FROM h1
 UNION ALL SELECT x, 2, p FROM h2 UNION ALL SELECT x, 3, p FROM h3"""
+SQL["gq19_shortest_path"] = f"""WITH RECURSIVE e AS ({edges(['has_contract', 'under_contract', 'supplies'])}), {BOTH.replace("b AS (", "b AS MATERIALIZED (", 1)},
+h(x, d) AS (SELECT min(vendor_id), 0 FROM vendor_master UNION SELECT w, d + 1 FROM h JOIN b ON u = x WHERE d < 6)
+SELECT min(d) AS hops, true AS is_path FROM h WHERE x = (SELECT max(vendor_id) FROM vendor_master)"""
 SQL["gq20_nodes_by_type"] = "SELECT contract_id AS vertex_id, 'CONTRACT' AS vertex_type, contract_id AS label FROM contract_header"
 SQL["gq21_typed_hop"] = """SELECT 'SUPPLIES:' || vendor_id || ':' || material_id || ':' || plant_id AS edge_id, vendor_id AS source_vertex,
   vendor_name AS source_label, 'SUPPLIES' AS edge_type, material_id AS target_vertex, 'MATERIAL' AS target_type,

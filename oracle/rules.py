@@ -1,5 +1,7 @@
 """DuckDB twins of the source and rule queries."""
 
+from buylens.schemas import MAX_LENGTH, SCHEMAS, TABLE_ORDER, is_required, sql_type
+
 DATE_WALK = """list_filter(list_transform(range(1, 40), lambda i: received_date {sign} CAST(i AS INTEGER)),
   lambda d: isodow(d) < 6)[{n}]"""
 
@@ -19,6 +21,12 @@ h AS (SELECT invoice_id, max(price_breach) AS p, max(quantity_breach) AS q FROM
 s AS (SELECT invoice_id, p, q, CASE WHEN p AND q THEN 'BOTH_VARIANCE' WHEN p THEN 'PRICE_VARIANCE'
     WHEN q THEN 'QUANTITY_VARIANCE' ELSE 'FULL_MATCH' END AS match_status FROM h)"""
 
+MATCH_SUM = """
+WITH g AS (SELECT po_id, po_line_number, sum(quantity_accepted) AS a FROM gr_line_item GROUP BY ALL),
+m AS (SELECT invoice_id, invoice_line_number, quantity, CAST(coalesce(quantity_invoiced - a, 0) AS DECIMAL(12,2)) AS quantity_variance
+  FROM invoice_line_item JOIN po_line_item USING (po_id, po_line_number) LEFT JOIN g USING (po_id, po_line_number))
+SELECT invoice_id, invoice_line_number, quantity_variance, abs(quantity_variance) * 20 > quantity AS quantity_breach FROM m"""
+
 RESOLVED = f"""{ACTIVE},
 r AS (
   SELECT sl.material_id, plant_id, sl.vendor_id, preferred_rank, lane_lead_time_days, contract_id, item_number,
@@ -29,7 +37,7 @@ r AS (
 x AS (SELECT pl.pr_id, pl.pr_line_number, pl.material_id, ph.plant_id, r.vendor_id, r.preferred_rank,
     r.lane_lead_time_days, r.contract_id, r.item_number AS contract_item_number
   FROM pr_line_item pl JOIN pr_header ph ON pl.pr_id = ph.pr_id
-  JOIN r ON r.material_id = pl.material_id AND r.plant_id = ph.plant_id AND r.n = 1)"""
+  LEFT JOIN r ON r.material_id = pl.material_id AND r.plant_id = ph.plant_id AND r.n = 1)"""
 
 CANDIDATES = """ok AS (SELECT * FROM vendor_master WHERE status <> 'BLOCKED'),
 stocked AS (SELECT DISTINCT c.parent_category_id AS parent_id, split_part(c.category_id, '-', 1) AS root_id
@@ -59,15 +67,17 @@ FROM po_header JOIN vendor_master v USING (vendor_id) GROUP BY v.country""",
   UNION ALL SELECT 'po_header', count(*) FROM po_header UNION ALL SELECT 'po_line_item', count(*) FROM po_line_item
   UNION ALL SELECT 'gr_header', count(*) FROM gr_header UNION ALL SELECT 'invoice_header', count(*) FROM invoice_header
   UNION ALL SELECT 'payment', count(*) FROM payment) GROUP BY ROLLUP (n)""",
+    "s05_schema_report": " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{f.name}' AS column_name, '{sql_type(f)}' AS sql_type, {is_required(f)} AS required, "
+        + (f"CAST(max(length({f.name})) AS INTEGER) AS longest, coalesce(max(length({f.name})) <= {MAX_LENGTH[f.name]}, true)"
+           if f.dataType.simpleString() == "string" else "CAST(max(NULL) AS INTEGER) AS longest, true")
+        + f" AND (count(*) = count({f.name}) OR NOT {is_required(f)}) AS fits FROM {n}" for n in TABLE_ORDER for f in SCHEMAS[n]),
+    "s09_bucketed_match": MATCH_SUM,
     "s09_write_fact": """SELECT po_id, po_date, total_net_value FROM po_header
 WHERE po_date BETWEEN DATE '1996-11-15' AND DATE '1997-02-10'""",
     "b01_three_way_match_lines": f"""WITH {MATCH} SELECT invoice_id, invoice_line_number, price_variance, quantity_variance,
   price_breach, quantity_breach FROM f""",
-    "b01_match_sum_of_receipts": """
-WITH g AS (SELECT po_id, po_line_number, sum(quantity_accepted) AS a FROM gr_line_item GROUP BY ALL),
-m AS (SELECT invoice_id, invoice_line_number, quantity, CAST(coalesce(quantity_invoiced - a, 0) AS DECIMAL(12,2)) AS quantity_variance
-  FROM invoice_line_item JOIN po_line_item USING (po_id, po_line_number) LEFT JOIN g USING (po_id, po_line_number))
-SELECT invoice_id, invoice_line_number, quantity_variance, abs(quantity_variance) * 20 > quantity AS quantity_breach FROM m""",
+    "b01_match_sum_of_receipts": MATCH_SUM,
     "b02_match_status": f"WITH {MATCH} SELECT invoice_id, match_status FROM s",
     "b03_block_reason": f"""WITH {MATCH} SELECT invoice_id, match_status, p OR q AS payment_block,
   CASE WHEN p THEN 'PRICE_MISMATCH' WHEN q THEN 'QTY_MISMATCH' END AS block_reason,

@@ -54,7 +54,7 @@ SCORES = {"uc02_vendor_quality_score": "quality_score", "uc02_vendor_risk_score"
 PRICE_NAMES = ["p_avg_unit_price", "p_std_unit_price", "p_min_unit_price", "p_max_unit_price", "p_price_to_standard_ratio", "p_contract_price"]
 
 
-def table(rates):
+def table(rates, label="(match_status <> 'FULL_MATCH')::INT::DOUBLE"):
     """The full matrix; ``rates`` is a CTE named rt with one row per invoice."""
     perf = PERF.format(delay="").strip()
     names = BASE_NUMBERS + list(TEMPORAL) + PROFILE_NAMES + PERF_NAMES + RATES + PRICE_NAMES + list(SPECIFIC) + list(SCORES) + ["uc02_vendor_invoice_seq"]
@@ -72,7 +72,7 @@ w AS (SELECT base.*, {cols(TEMPORAL)}, {cols(SPECIFIC)}, vp.* EXCLUDE (vendor_id
   row_number() OVER (PARTITION BY base.vendor_id ORDER BY invoice_date, base.invoice_id, invoice_line_number) AS uc02_vendor_invoice_seq
   FROM base LEFT JOIN vp ON vp.vendor_id = base.vendor_id LEFT JOIN vh ON vh.vendor_id = base.vendor_id LEFT JOIN rt ON rt.invoice_id = base.invoice_id
   LEFT JOIN ps ON ps.material_id = base.material_id LEFT JOIN pc ON pc.material_id = base.material_id LEFT JOIN vs ON vs.vendor_id = base.vendor_id)
-SELECT invoice_id, invoice_line_number, invoice_date, {', '.join(outs)}, (match_status <> 'FULL_MATCH')::INT::DOUBLE AS label FROM w"""
+SELECT invoice_id, invoice_line_number, invoice_date, {', '.join(outs)}, {label} AS label FROM w"""
 
 
 SERVE_RATES = """rt AS (SELECT invoice_id, v_invoice_match_rate AS v_invoice_match_rate_loo, v_price_variance_rate AS v_price_variance_rate_loo,
@@ -133,14 +133,14 @@ UC06 = f"""ci AS (SELECT contract_id, vendor_id, valid_from, valid_to, status, m
 sv AS (SELECT material_id, count(DISTINCT vendor_id) AS n FROM source_list GROUP BY 1),
 vh AS ({PERF.format(delay='').strip()}),
 mr AS (SELECT vendor_id, avg((match_status = 'FULL_MATCH')::INT) AS r FROM invoice_header GROUP BY 1),
-g AS (SELECT contract_id, ci.vendor_id, any_value(valid_from) AS vf, any_value(e) AS e, CAST(any_value(valid_to) - DATE '2001-06-30' AS INTEGER) AS uc06_days_to_expiry,
-  (any_value(status) = 'ACTIVE')::INT AS c_is_active, avg(pct) AS pct, max(list_position(['LOW', 'MEDIUM', 'HIGH'], criticality)) - 1 AS crit,
+g AS (SELECT contract_id, ci.vendor_id, any_value(valid_from) AS vf, any_value(e) AS e, avg(pct) AS pct, max(list_position(['LOW', 'MEDIUM', 'HIGH'], criticality)) - 1 AS crit,
   greatest(min(coalesce(n, 0)) - 1, 0) AS alt, any_value({months('e', 'valid_from')}) AS mo
   FROM ci JOIN material_master m ON m.material_id = ci.material_id LEFT JOIN sv ON sv.material_id = ci.material_id GROUP BY 1, 2),
-u6 AS (SELECT contract_id, g.vendor_id, uc06_days_to_expiry, c_is_active, pct AS c_consumption_pct, pct / mo AS uc06_consumption_velocity,
+u6 AS (SELECT ch.contract_id, ch.vendor_id, CAST(ch.valid_to - DATE '2001-06-30' AS INTEGER) AS uc06_days_to_expiry, (ch.status = 'ACTIVE')::INT AS c_is_active, pct AS c_consumption_pct, pct / mo AS uc06_consumption_velocity,
   vf + CAST(floor((e - vf) / pct) AS INTEGER) AS uc06_estimated_exhaust_date, crit AS uc06_material_criticality_max, alt AS uc06_alternative_vendor_count,
   (coalesce(v_on_time_delivery_actual, 0.5) * 100 + quality_score + coalesce(r, 0) * 100) / 3 AS uc06_vendor_performance_score
-  FROM g JOIN vendor_master v ON v.vendor_id = g.vendor_id LEFT JOIN vh ON vh.vendor_id = g.vendor_id LEFT JOIN mr ON mr.vendor_id = g.vendor_id)"""
+  FROM contract_header ch LEFT JOIN g ON g.contract_id = ch.contract_id LEFT JOIN vendor_master v ON v.vendor_id = ch.vendor_id
+  LEFT JOIN vh ON vh.vendor_id = ch.vendor_id LEFT JOIN mr ON mr.vendor_id = ch.vendor_id)"""
 
 PLAN = """pp AS (SELECT i.invoice_id, i.vendor_id, total_net_amount,
   CASE payment_terms WHEN '2/10NET30' THEN invoice_date + 10 ELSE payment_due_date END AS plan_date,
@@ -240,6 +240,8 @@ WHERE actual_delivery_date IS NOT NULL""",
   uc06_alternative_vendor_count, round(uc06_vendor_performance_score, 6) AS uc06_vendor_performance_score FROM u6""",
     "u602_renewal_rule": f"""WITH {UC06} SELECT contract_id, uc06_days_to_expiry <= 90 AND c_consumption_pct > 0.4 AS needs_renewal,
   uc06_days_to_expiry <= 60 AND c_consumption_pct > 0.4 AS urgent FROM u6""",
+    "u602_renewal_rule_70": f"""WITH {UC06} SELECT contract_id, uc06_days_to_expiry <= 90 AND c_consumption_pct > 0.7 AS needs_renewal,
+  uc06_days_to_expiry <= 60 AND c_consumption_pct > 0.7 AS urgent FROM u6""",
     "u701_uc07_features": """WITH c AS (SELECT vendor_id, count(*) AS n FROM contract_header WHERE status = 'ACTIVE' GROUP BY 1)
 SELECT invoice_id, (payment_terms = '2/10NET30')::INT AS uc07_has_early_discount, CASE payment_terms WHEN '2/10NET30' THEN 2 ELSE 0 END AS uc07_discount_pct,
   CAST(CASE payment_terms WHEN '2/10NET30' THEN 10 ELSE 0 END - (DATE '2001-06-30' - invoice_date) AS INTEGER) AS uc07_discount_window_remaining,
@@ -299,12 +301,14 @@ FROM invoice_header""",
       list_transform(range(1, length(vendor_invoice_number) + 1), lambda i: substr(vendor_invoice_number, 1, i - 1) || '_' || substr(vendor_invoice_number, i + 1)) ||
       list_transform(range(1, length(vendor_invoice_number) + 1), lambda i: substr(vendor_invoice_number, 1, i - 1) || substr(vendor_invoice_number, i + 1)))) AS variant
   FROM invoice_header),
-ac AS (SELECT invoice_id, invoice_date, vendor_id, unnest(['0:' || CAST(floor(total_gross_amount::DOUBLE / 100) AS BIGINT),
-  '1:' || CAST(floor((total_gross_amount::DOUBLE + 50) / 100) AS BIGINT)]) AS cell FROM invoice_header),
+ac AS MATERIALIZED (SELECT vendor_id, material_id, quantity_invoiced, invoice_date, total_gross_amount AS amount, min(invoice_id) AS invoice_id
+  FROM invoice_header JOIN invoice_line_item USING (invoice_id) GROUP BY ALL),
 p AS (SELECT first_invoice_id, invoice_id FROM ({lag_links('invoice_header', 'vendor_id, total_gross_amount', 30)})
   UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('invoice_header', 'vendor_id, po_id', 30)})
   UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('nv', 'vendor_id, variant', 30)})
-  UNION SELECT first_invoice_id, invoice_id FROM ({lag_links('ac', 'vendor_id, cell', 30)})),
+  UNION SELECT a.invoice_id, b.invoice_id FROM ac a JOIN ac b ON a.vendor_id = b.vendor_id AND a.material_id = b.material_id
+    AND a.quantity_invoiced = b.quantity_invoiced AND (a.invoice_date, a.invoice_id) < (b.invoice_date, b.invoice_id) AND b.invoice_date - a.invoice_date <= 30
+    AND a.amount <> b.amount AND abs(a.amount - b.amount) * 100 <= abs(a.amount) * 5),
 s AS (SELECT invoice_id, list(DISTINCT material_id || '/' || quantity_invoiced) AS s FROM invoice_line_item GROUP BY 1)
 SELECT first_invoice_id, p.invoice_id, CAST(levenshtein(a.vendor_invoice_number, b.vendor_invoice_number) AS INTEGER) AS uc11_invoice_number_distance,
   abs(a.total_gross_amount - b.total_gross_amount)::DOUBLE / a.total_gross_amount::DOUBLE AS uc11_amount_deviation,
@@ -335,6 +339,7 @@ FROM ({TIERS}) WHERE own < need""",
 }
 
 
+SQL["u208_feature_matrix_all"] = table(f"{LOO}, rt AS (SELECT * FROM loo)", f"({CLASS})::DOUBLE")
 SQL["u210_leakage_report_all"] = f"WITH x AS ({SQL['u207_uc02_table_train']}) " + " UNION ALL ".join(
     f"SELECT '{n}' AS feature, round(abs(CASE WHEN min({n}) < max({n}) THEN corr({n}::DOUBLE, label) END), 4) AS abs_corr, "
     f"coalesce(abs(CASE WHEN min({n}) < max({n}) THEN corr({n}::DOUBLE, label) END) > 0.9, false) AS leaks FROM x" for n in FEATURES)
