@@ -401,7 +401,8 @@ def foreign_key_report(t: Tables) -> DataFrame:
     for (parent, columns), k in numbers.items():
         parents.setdefault(parent, []).append(F.struct(F.lit(k).alias("target"), _key_text(columns.split(",")).alias("key")))
     known = reduce(DataFrame.unionByName, [t[parent].select(F.inline(F.array(*keys))) for parent, keys in parents.items()])
-    lost = used.join(known, ["target", "key"], "left_anti").groupBy("relation").agg(F.sum("n").alias("orphans"))
+    # An anti join would be pushed into every branch of the union, and the parents read for each child.
+    lost = used.join(known.withColumn("hit", F.lit(True)), ["target", "key"], "left").filter("hit is null").groupBy("relation").agg(F.sum("n").alias("orphans"))
     names = t[relations[0][0]].sparkSession.createDataFrame(
         [(k, fk[0], ",".join(fk[1]), fk[2]) for k, fk in enumerate(relations)], "relation int, child_table string, child_columns string, parent_table string")
     return names.join(lost, "relation", "left").select("child_table", "child_columns", "parent_table", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans"))
