@@ -170,12 +170,13 @@ def random_search(pipeline: Pipeline, space: dict[str, tuple], df: DataFrame, ke
     return fit(best, df), trials
 
 
-def cross_validate(pipeline: Pipeline, df: DataFrame, folds: int) -> DataFrame:
-    """Out-of-fold scores of every row, for one fold column."""
-    parts = []
-    for k in range(folds):
-        model = fit(pipeline, df.filter(F.col("fold") != k))
-        parts.append(predictions(model, df.filter(F.col("fold") == k)))
+def cross_validate(pipeline: Pipeline, df: DataFrame, folds: int, parallelism: int = 4) -> DataFrame:
+    """Out-of-fold scores of every row, for one fold column; some folds are fitted at a time."""
+    def one(k: int) -> DataFrame:
+        return predictions(fit(pipeline, df.filter(F.col("fold") != k)), df.filter(F.col("fold") == k))
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(one, range(folds), chunksize=1)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -15,6 +15,8 @@ from buylens.usecases import sourcing
 
 SPACE = {"regParam": ("log", 1e-8, 1.0), "elasticNetParam": ("float", 0.0, 1.0)}
 FOLDS = 5
+#: The registered search is smaller than the default one: 12 draws, 38 fits of 30 rounds.
+SEARCH = models.Search(draws=12, folds=FOLDS, halved=(4, 1))
 FEW = ["po_total_net_value", "po_quantity", "quantity_received", "days_po_to_invoice", "v_total_po_count", "v_rejection_rate",
        "uc02_is_contract_po", "uc02_vendor_quality_score"]
 KEYS = ["invoice_id", "invoice_line_number"]
@@ -125,7 +127,7 @@ def better(t, kind, target="target_binary", base=None):
 def searched(t):
     """The trials of the search, written once."""
     if "trials" not in t.kept:
-        trials = models.random_search(models.logistic(rounds=100), SPACE, keyed(t), "key", models.Search(folds=FOLDS))[1]
+        trials = models.random_search(models.logistic(rounds=30), SPACE, keyed(t), "key", SEARCH)[1]
         trials.write.mode("overwrite").parquet(f"{t.folder}/trials")
         t.kept.add("trials")
     return t.spark.read.parquet(f"{t.folder}/trials")
