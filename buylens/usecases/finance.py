@@ -138,8 +138,8 @@ def number_links(invoices: DataFrame, days: int = 30) -> DataFrame:
     return duplicate_links(variants.join(repeated, "h", "left_semi"), days, ("vendor_id", "variant"))
 
 
-def amount_links(invoices: DataFrame, lines: DataFrame, days: int = 30, percent: int = 5) -> DataFrame:
-    """Links between invoices of a vendor that share an ordered good and quantity, whose amounts differ by ``percent`` of the first one's at most.
+def amount_links(invoices: DataFrame, lines: DataFrame | None = None, days: int = 30, percent: int = 5) -> DataFrame:
+    """Links between invoices of a vendor that share an ordered good and quantity (any, without ``lines``), whose amounts differ by ``percent`` of the first one's at most.
 
     Nearness is not transitive, so every pair in the window is made. Amounts fall into cells by their logarithm, so that near ones are in the same or in
     adjacent cells however large they are; days fall into blocks of the window's length. A pair meets once, on vendor, good, quantity, cell and block.
@@ -147,9 +147,10 @@ def amount_links(invoices: DataFrame, lines: DataFrame, days: int = 30, percent:
     """
     amount = F.col("total_gross_amount")
     width = -math.log(1 - percent / 100)
-    goods = lines.select("invoice_id", "material_id", "quantity_invoiced").distinct()
-    keys = ["vendor_id", "material_id", "quantity_invoiced"]
-    rows = invoices.filter(amount != 0).select("invoice_id", "vendor_id", "invoice_date", "total_gross_amount").join(goods, "invoice_id")
+    rows, keys = invoices.filter(amount != 0).select("invoice_id", "vendor_id", "invoice_date", "total_gross_amount"), ["vendor_id"]
+    if lines is not None:
+        keys += ["material_id", "quantity_invoiced"]
+        rows = rows.join(lines.select("invoice_id", "material_id", "quantity_invoiced").distinct(), "invoice_id")
     classes = rows.groupBy(*keys, "invoice_date", "total_gross_amount").agg(F.min("invoice_id").alias("invoice_id"))
     placed = splittable(classes.withColumns({
         "above": amount > 0, "cell": F.floor(F.log(F.abs(amount.cast("double"))) / width), "block": F.floor(F.unix_date("invoice_date") / (days + 1))}))
@@ -163,7 +164,7 @@ def amount_links(invoices: DataFrame, lines: DataFrame, days: int = 30, percent:
     return first.join(placed, [*keys, "above", "cell", "block"]).filter(after & (gap <= days) & near).select("first_invoice_id", "invoice_id").distinct()
 
 
-def candidate_links(invoices: DataFrame, lines: DataFrame, days: int = 30) -> DataFrame:
+def candidate_links(invoices: DataFrame, lines: DataFrame | None = None, days: int = 30) -> DataFrame:
     """Invoices linked by equal amount, order, or a number one character apart, each to its predecessor, and by near amounts, each to all in the window."""
     links = [duplicate_links(invoices, days), duplicate_links(invoices, days, ("vendor_id", "po_id")), number_links(invoices, days),
              amount_links(invoices, lines, days)]
