@@ -42,8 +42,14 @@ def _money(cents: str, precision: int = 14) -> str:
     return f"cast(({cents}) / 100 as decimal({precision},2))"
 
 
+#: Tables that cost a join on rows, a window or a distinct, or hold rows of the driver. They are written once, with few and narrow columns;
+#: all others are projections and filters of them or of the given files, and take no space.
+WRITTEN = {"ordered", "requested", "stocked", "lanes", "agreements", "owners", "vendor_category", "category_hierarchy", "company_code",
+           "purchasing_org", "purchasing_group", "plant"}
+
+
 class PurchasingTables:
-    """Mapping from table name to DataFrame; a table is written once and then read back.
+    """Mapping from table name to DataFrame; what is costly to derive is written once and then read back.
 
     Without a shared folder the tables stay plain query plans over the given files.
     """
@@ -71,13 +77,22 @@ class PurchasingTables:
             df = getattr(self, f"_{name}")()
             if name in SCHEMAS:
                 df = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
-            if self._folder:
-                path = f"{self._folder}/{name}"
-                df.write.mode("overwrite").parquet(path)
-                df = self.spark.read.schema(df.schema).parquet(path)
-            self._frames[name] = df
+            self._frames[name] = self._saved(name, df) if self._folder and name in WRITTEN else df
         return self._frames[name]
 
+    def _saved(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.kept.add(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def written(self, name: str) -> DataFrame:
+        """The table from files of its own under ``folder``, for readers of files such as streams."""
+        df = self[name]
+        if name not in self.kept:
+            df = self._frames[name] = self._saved(name, df)
+        return df
+
     def __contains__(self, name: str) -> bool:
         return name in SCHEMAS
 
@@ -104,10 +119,14 @@ class PurchasingTables:
             "cast(round(p_retailprice * 100) as bigint) * 5 as standard_c",
         )
 
-    def _moves(self) -> DataFrame:
-        """One row per ordered line with keys, quantities and dates."""
+    def _ordered(self) -> DataFrame:
+        """One row per ordered line with keys, quantities and dates, and the sums of its order and of its invoice.
+
+        Everything is computed on lines dealt out by order, which move once.
+        """
         rest = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_linenumber",
                 "l_returnflag", "l_linestatus"]
+        head = ["ok", "sk", "od", "ck", "o_orderpriority"]
         lines = (
             self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumn("line", 10 * F.row_number().over(W.partitionBy("l_orderkey", "l_suppkey").orderBy(*rest)))
@@ -115,14 +134,30 @@ class PurchasingTables:
             .selectExpr(
                 "l_orderkey as ok", "l_suppkey as sk", "l_partkey as pk", "cast(l_quantity as bigint) as qty",
                 "cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint) as price_c",
-                "cast(o_orderdate as date) as od", "o_custkey as ck", "o_orderpriority", "line", "pr_line",
-                "concat(lpad(l_orderkey, 8, '0'), '-', lpad(l_suppkey, 6, '0')) as doc",
-                "concat('PR-', lpad(l_orderkey, 8, '0')) as pr_id",
-                "concat('MAT-', lpad(l_partkey, 8, '0')) as material_id",
-                "concat('VND-', lpad(l_suppkey, 6, '0')) as vendor_id", "concat('PL0', o_custkey % 5) as plant_id",
-            )
+                "cast(o_orderdate as date) as od", "o_custkey as ck", "o_orderpriority", "line", "pr_line")
         )
+        by_pair, by_order = W.partitionBy("ok", "sk"), W.partitionBy(*head)
+        return (
+            self._priced(self._derived(lines)).withColumns({
+                "first_receipt": F.min("actual").over(by_pair),
+                "gross_c": F.sum(F.expr("(inv_price_c * inv_h + 50) div 100")).over(by_pair),
+                "price_bad": F.bool_or(F.expr("abs(inv_price_c - price_c) * 100 > price_c * 2 or abs(inv_price_c - price_c) > 50")).over(by_pair),
+                "qty_bad": F.bool_or(F.expr("abs(inv_h - accepted_h) > qty * 5")).over(by_pair)})
+            .withColumns({
+                "heads_order": F.row_number().over(by_order.orderBy("line")) == 1,
+                "total_c": F.sum(F.expr("qty * price_c")).over(by_order), "any_covered": F.bool_or("covered").over(by_order)})
+            .select(*head, "pk", "qty", "price_c", "line", "pr_line", "first_receipt", "gross_c", "price_bad", "qty_bad",
+                    "heads_order", "total_c", "any_covered")
+        )
+
+    @staticmethod
+    def _derived(lines: DataFrame) -> DataFrame:
+        """Ordered lines with what follows from their own columns."""
         return lines.selectExpr(
+            "*", "concat(lpad(ok, 8, '0'), '-', lpad(sk, 6, '0')) as doc", "concat('PR-', lpad(ok, 8, '0')) as pr_id",
+            "concat('MAT-', lpad(pk, 8, '0')) as material_id", "concat('VND-', lpad(sk, 6, '0')) as vendor_id",
+            "concat('PL0', ck % 5) as plant_id",
+        ).selectExpr(
             "*", "concat('PO-', doc) as po_id", "concat('GR-', doc, '-', line) as gr_id",
             "(pk + sk) % 3 <> 0 and sk % 20 <> 3 and od between date'1995-06-01' and date'2001-05-31' as covered",
             "(ok + sk) % 12 <> 0 as received", "(ok + sk) % 12 <> 0 and (ok + sk) % 23 <> 0 as invoiced",
@@ -133,25 +168,28 @@ class PurchasingTables:
             "if((pk + sk) % 8 = 0, qty * 5, 0L) as rejected_h",
         )
 
-    def _billed(self) -> DataFrame:
-        """Invoiced lines before headers exist."""
-        return self["moves"].filter("invoiced").selectExpr(
-            "ok", "sk", "pk", "line", "doc", "po_id", "material_id", "vendor_id", "gr_id", "actual", "qty", "price_c",
+    @staticmethod
+    def _priced(moves: DataFrame) -> DataFrame:
+        """Moves with the price and quantity on their invoice."""
+        return moves.selectExpr(
+            "*",
             "case when v between 80 and 87 or v >= 97 then price_c * 105 div 100 "
             "when v between 88 and 91 then price_c * 92 div 100 else price_c end as inv_price_c",
             "received_h - rejected_h as accepted_h",
             "if(v >= 92, (received_h - rejected_h) * 108 div 100, received_h - rejected_h) as inv_h",
         )
 
+    def _moves(self) -> DataFrame:
+        return self._derived(self["ordered"])
+
+    def _billed(self) -> DataFrame:
+        """Invoiced lines before headers exist."""
+        return self._priced(self["moves"].filter("invoiced"))
+
     def _bills(self) -> DataFrame:
-        """One row per invoice, injected near-duplicates included."""
-        sums = self["billed"].groupBy("doc", "ok", "sk", "po_id", "vendor_id").agg(
-            F.min("actual").alias("first_receipt"),
-            F.expr("sum((inv_price_c * inv_h + 50) div 100) as gross_c"),
-            F.expr("bool_or(abs(inv_price_c - price_c) * 100 > price_c * 2 or abs(inv_price_c - price_c) > 50) "
-                   "as price_bad"),
-            F.expr("bool_or(abs(inv_h - accepted_h) > qty * 5) as qty_bad"),
-        )
+        """One row per invoice, injected near-duplicates included; its sums stand on each of its lines."""
+        sums = self["billed"].filter("line = 10").select(
+            "doc", "ok", "sk", "po_id", "vendor_id", "first_receipt", "gross_c", "price_bad", "qty_bad")
         terms = self["vendor_keys"].select("sk", "payment_terms", "currency")
         return (
             sums.join(terms, "sk")
@@ -238,9 +276,12 @@ class PurchasingTables:
             "case when pk % 20 = 0 then 'RESTRICTED' when l1 in ('SRVC', 'PACK', 'MRO') then 'PUBLIC' "
             "else 'INTERNAL' end as confidentiality_tier")
 
+    def _stocked(self):
+        return self["ordered"].selectExpr("pk", "ck % 5 as plant").distinct()
+
     def _material_plant_extension(self):
-        return self["moves"].select("pk", "material_id", "plant_id").distinct().selectExpr(
-            "material_id", "plant_id", "20 + pk % 80 as reorder_point", "10 + pk % 90 as lot_size",
+        return self["stocked"].selectExpr(
+            "concat('MAT-', lpad(pk, 8, '0')) as material_id", "concat('PL0', plant) as plant_id", "20 + pk % 80 as reorder_point", "10 + pk % 90 as lot_size",
             "1 + pk % 20 as min_order_qty")
 
     def _legal_entity(self):
@@ -266,8 +307,8 @@ class PurchasingTables:
             "case when sk % 10 in (0, 1) then concat('AL-', sk div 2) end as alias_group")
 
     def _vendor_category(self):
-        return (self["moves"].select("pk", "vendor_id").distinct().join(self["part_keys"].select("pk", "l1", "brand"), "pk")
-                .selectExpr("vendor_id", "concat_ws('-', l1, brand) as category_id").distinct())
+        return (self["ordered"].select("pk", "sk").distinct().join(self["part_keys"].select("pk", "l1", "brand"), "pk")
+                .selectExpr("concat('VND-', lpad(sk, 6, '0')) as vendor_id", "concat_ws('-', l1, brand) as category_id").distinct())
 
     def _vendor_address(self):
         return self["vendor_keys"].selectExpr(
@@ -293,10 +334,13 @@ class PurchasingTables:
             "if(sk % 12 >= 1, 'ACTIVE', 'EXPIRED') as status", "currency", "incoterms",
             "case sk % 9 when 0 then 'RESTRICTED' when 1 then 'PUBLIC' else 'INTERNAL' end as confidentiality_tier")
 
+    def _agreements(self):
+        pairs = self["ordered"].filter("(pk + sk) % 3 <> 0 and sk % 20 <> 3").select("sk", "pk").distinct()
+        return pairs.join(self["part_keys"].select("pk", "standard_c"), "pk").select("sk", "pk", "standard_c")
+
     def _contract_item(self):
-        pairs = self["moves"].filter("(pk + sk) % 3 <> 0 and sk % 20 <> 3").select("sk", "pk", "material_id").distinct()
-        priced = pairs.join(self["part_keys"].select("pk", "standard_c"), "pk").selectExpr(
-            "*", "standard_c * (85 + pk % 36) div 100 as agreed_c").selectExpr(
+        priced = self["agreements"].selectExpr(
+            "*", "concat('MAT-', lpad(pk, 8, '0')) as material_id", "standard_c * (85 + pk % 36) div 100 as agreed_c").selectExpr(
             "*", "agreed_c * (50 + pk % 50) as target_c")
         return priced.selectExpr(
             "concat('CTR-', lpad(sk, 6, '0')) as contract_id", "10 * (pk + 1) as item_number", "material_id",
@@ -306,11 +350,14 @@ class PurchasingTables:
             "if(sk % 2 = 0, pk * 7 % (500 + pk % 4500), null) as consumed_quantity",
             f"if(sk % 2 = 1, {_money('target_c * (pk % 100) div 100', 12)}, null) as consumed_value")
 
+    def _lanes(self):
+        lanes = self["ordered"].selectExpr("pk", "sk", "ck % 5 as plant").distinct()
+        return lanes.withColumn("preferred_rank", F.row_number().over(W.partitionBy("pk", "plant").orderBy("sk")))
+
     def _source_list(self):
-        lanes = self["moves"].select("pk", "sk", "material_id", "plant_id", "vendor_id").distinct()
-        rank = F.row_number().over(W.partitionBy("pk", "plant_id").orderBy("sk"))
-        return lanes.withColumn("preferred_rank", rank).selectExpr(
-            "material_id", "plant_id", "vendor_id", "preferred_rank",
+        return self["lanes"].selectExpr(
+            "concat('MAT-', lpad(pk, 8, '0')) as material_id", "concat('PL0', plant) as plant_id",
+            "concat('VND-', lpad(sk, 6, '0')) as vendor_id", "preferred_rank",
             "(pk + sk) % 3 <> 0 and sk % 20 <> 3 as contract_covered_flag",
             "if(sk % 20 = 3, 'CONDITIONAL', 'APPROVED') as approval_status",
             "5 + (pk + sk) % 56 as lane_lead_time_days", "concat('VM-', pk, '-', sk) as vendor_material_code",
@@ -341,23 +388,25 @@ class PurchasingTables:
             "case o_orderpriority when '1-URGENT' then 'CRITICAL' when '2-HIGH' then 'HIGH' when '3-MEDIUM' then 'MEDIUM' "
             "else 'LOW' end as priority", "cast(null as string) as notes")
 
-    def _pr_line_item(self):
-        lines = self["moves"].select("ok", "pk", "pr_id", "pr_line", "material_id", "qty", "requested")
+    def _requested(self):
+        lines = self["moves"].select("ok", "pk", "pr_line", "qty", "requested")
         parts = self["part_keys"].select("pk", "l1", "standard_c")
         owners = self["owners"].select("l1", "grp")
-        return (
-            lines.join(parts, "pk").join(owners, "l1").join(self["requests"].select("ok", "status"), "ok")
-            .selectExpr(
-                "pr_id", "pr_line as pr_line_number", "material_id", "qty as quantity", "'EA' as uom",
-                "requested as requested_delivery_date",
-                f"if(pk % 17 <> 0, {_money('standard_c', 12)}, null) as estimated_price", "'USD' as currency",
-                "case status when 'CONVERTED' then 'PO_CREATED' when 'CANCELLED' then 'CANCELLED' "
-                "when 'APPROVED' then 'ASSIGNED' else 'OPEN' end as status", "grp as assigned_purch_group_id"))
+        return lines.join(parts, "pk").join(owners, "l1").join(self["requests"].select("ok", "status"), "ok").select(
+            "ok", "pk", "pr_line", "qty", "requested", "standard_c", "status", "grp")
+
+    def _pr_line_item(self):
+        return self["requested"].selectExpr(
+            "concat('PR-', lpad(ok, 8, '0')) as pr_id", "pr_line as pr_line_number", "concat('MAT-', lpad(pk, 8, '0')) as material_id",
+            "qty as quantity", "'EA' as uom", "requested as requested_delivery_date",
+            f"if(pk % 17 <> 0, {_money('standard_c', 12)}, null) as estimated_price", "'USD' as currency",
+            "case status when 'CONVERTED' then 'PO_CREATED' when 'CANCELLED' then 'CANCELLED' "
+            "when 'APPROVED' then 'ASSIGNED' else 'OPEN' end as status", "grp as assigned_purch_group_id")
 
     def _po_header(self):
-        heads = self["moves"].groupBy("po_id", "ok", "sk", "od", "vendor_id", "ck", "plant_id", "o_orderpriority",
-                                      "received").agg(
-            F.expr("sum(qty * price_c) as total_c"), F.expr("bool_or(covered) as covered"))
+        heads = self["moves"].filter("heads_order").select(
+            "po_id", "ok", "sk", "od", "vendor_id", "ck", "plant_id", "o_orderpriority", "received", "total_c",
+            F.col("any_covered").alias("covered"))
         vendors = self["vendor_keys"].select("sk", "incoterms", "payment_terms", "currency")
         return (
             heads.join(vendors, "sk").withColumn("maverick_flag", F.expr("not covered and (ok + sk) % 11 = 0"))
