@@ -169,14 +169,20 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def neighbors(t: Tables, key: str | None = None, edge_type: str | None = None, direction: str = "both") -> DataFrame:
     """Neighbours with the number of parallel edges."""
-    edges = all_edges(t, [edge_type] if edge_type else None)
-    out = edges.select(F.col("source_vertex").alias("vertex_id"), F.col("target_vertex").alias("neighbor_id"), "edge_type",
-                       F.lit("OUT").alias("direction"))
-    back = edges.select(F.col("target_vertex").alias("vertex_id"), F.col("source_vertex").alias("neighbor_id"), "edge_type",
-                        F.lit("IN").alias("direction"))
-    both = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return _only(both, "vertex_id", key).groupBy("vertex_id", "neighbor_id", "edge_type", "direction").agg(
-        F.count(F.lit(1)).alias("edges"))
+    rows = all_edges(t, [edge_type] if edge_type else None).select("source_vertex", "target_vertex", "edge_type")
+    if key is not None:
+        ends = {"out": ["source_vertex"], "in": ["target_vertex"], "both": ["source_vertex", "target_vertex"]}[direction]
+        rows = rows.filter(reduce(Column.__or__, [F.col(c) == key for c in ends]))
+
+    # Parallel edges are counted once; a pair seen from its other end has the same count.
+    pairs = rows.groupBy("source_vertex", "target_vertex", "edge_type").agg(F.count(F.lit(1)).alias("edges"))
+
+    def seen(here: str, there: str, name: str) -> Column:
+        return F.struct(F.col(here).alias("vertex_id"), F.col(there).alias("neighbor_id"), "edge_type", F.lit(name).alias("direction"), "edges")
+
+    out, back = seen("source_vertex", "target_vertex", "OUT"), seen("target_vertex", "source_vertex", "IN")
+    sides = {"out": [out], "in": [back], "both": [out, back]}[direction]
+    return _only(pairs.select(F.inline(F.array(*sides))), "vertex_id", key)
 
 
 def bfs_levels(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, targets: DataFrame | None = None) -> DataFrame:
