@@ -16,8 +16,14 @@ def fresh(t, name):
     return f"{t.folder}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
+#: A table comes in so many batches at most: a batch that joins another table reads all of it, so the number of batches must not grow with the tables.
+BATCHES = 8
+
+
 def stream(t, table, files=None):
-    t[table]  # make sure its files are there
+    """The table's files as a stream, ``files`` a batch or more."""
+    there = len(t.written(table).inputFiles())
+    files = files and max(files, -(-there // BATCHES))
     return runs.table_stream(t.spark, t.folder, table, SCHEMAS[table], files)
 
 
@@ -32,12 +38,11 @@ def owner(t):
 
 def refreshed_performance(t):
     path = fresh(t, "performance")
-    steps = {"orders": ("po_header", partials.order_parts), "deliveries": ("po_line_item", lambda b: partials.delivery_parts(b, owner(t))),
-             "receipts": ("gr_line_item", lambda b: partials.receipt_parts(b, owner(t)))}
+    steps = {"orders": ("po_header", partials.order_parts), "deliveries": ("po_line_item", partials.delivery_parts), "receipts": ("gr_line_item", partials.receipt_parts)}
     stores = []
     for name, (table, parts) in steps.items():
         partials.refresh_partials(stream(t, table, 2), parts, f"{path}/{name}", f"{path}/{name}-state")
-        stores.append(partials.merged(t.spark, f"{path}/{name}", "vendor_id"))
+        stores.append(partials.merged(t.spark, f"{path}/{name}", "vendor_id", owner=None if name == "orders" else owner(t)))
     return partials.performance_from_stores(*stores)
 
 
@@ -74,8 +79,8 @@ def overdue(t):
 
 def refreshed_materials(t):
     path = fresh(t, "materials")
-    partials.refresh_partials(stream(t, "po_line_item", 2), lambda b: partials.material_pairs(b, owner(t)), f"{path}/parts", f"{path}/state")
-    return partials.distinct_from_pairs(t.spark, f"{path}/parts", "vendor_id", "v_distinct_materials")
+    partials.refresh_partials(stream(t, "po_line_item", 2), partials.material_pairs, f"{path}/parts", f"{path}/state")
+    return partials.distinct_from_pairs(t.spark, f"{path}/parts", "vendor_id", "v_distinct_materials", owner(t))
 
 
 def refreshed_medians(t):

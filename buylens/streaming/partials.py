@@ -15,9 +15,16 @@ from buylens.streaming.runs import run_batches
 Tables = Mapping[str, DataFrame]
 
 
-def delivery_parts(po_lines: DataFrame, owner: DataFrame) -> DataFrame:
+def _owned(rows: DataFrame, owner: DataFrame | None) -> tuple[DataFrame, str]:
+    """Rows with the vendor of their order and its name, or without ``owner`` as they are, to be keyed by the order."""
+    return (rows, "po_id") if owner is None else (rows.join(owner, "po_id"), "vendor_id")
+
+
+def delivery_parts(po_lines: DataFrame, owner: DataFrame | None = None) -> DataFrame:
+    """Per vendor, or without ``owner`` per order: a batch then reads no order but its own, and ``merged`` finds the vendors once for all batches."""
     delay = F.datediff("actual_delivery_date", "requested_delivery_date")
-    return po_lines.join(owner, "po_id").groupBy("vendor_id").agg(
+    rows, key = _owned(po_lines, owner)
+    return rows.groupBy(key).agg(
         F.count(delay).alias("deliveries"), F.sum(flag(delay <= 0)).alias("on_time"), F.count(delay).alias("delay_count"),
         F.coalesce(F.sum(delay), F.lit(0)).alias("delay_days"))
 
@@ -48,9 +55,11 @@ def refresh_partials(stream: DataFrame, parts, store: str, checkpoint: str) -> N
     run_batches(stream, handle, checkpoint)
 
 
-def merged(spark: SparkSession, store: str, key: str, smallest: tuple[str, ...] = (), largest: tuple[str, ...] = ()) -> DataFrame:
-    """Parts of all batches added up."""
+def merged(spark: SparkSession, store: str, key: str, smallest: tuple[str, ...] = (), largest: tuple[str, ...] = (), owner: DataFrame | None = None) -> DataFrame:
+    """Parts of all batches added up; parts by order are given to the vendor in ``owner``."""
     logs = spark.read.parquet(store).drop("batch")
+    if owner is not None:
+        logs = logs.join(owner, "po_id").drop("po_id")
     sums = [c for c in logs.columns if c not in (key, *smallest, *largest)]
     return logs.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in smallest], *[F.max(c).alias(c) for c in largest])
 
@@ -75,8 +84,9 @@ def order_parts(po_headers: DataFrame) -> DataFrame:
     return po_headers.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("po_count"), F.sum("total_net_value").cast("decimal(38,2)").alias("po_value"))
 
 
-def receipt_parts(gr_lines: DataFrame, owner: DataFrame) -> DataFrame:
-    return gr_lines.join(owner, "po_id").groupBy("vendor_id").agg(
+def receipt_parts(gr_lines: DataFrame, owner: DataFrame | None = None) -> DataFrame:
+    rows, key = _owned(gr_lines, owner)
+    return rows.groupBy(key).agg(
         F.sum("quantity_received").cast("decimal(38,2)").alias("received"), F.sum("quantity_rejected").cast("decimal(38,2)").alias("rejected"))
 
 
@@ -84,13 +94,17 @@ def performance_from_stores(orders: DataFrame, deliveries: DataFrame, receipts:
     return performance_from_parts(orders.join(deliveries, "vendor_id", "left").join(receipts, "vendor_id", "left"))
 
 
-def material_pairs(po_lines: DataFrame, owner: DataFrame) -> DataFrame:
-    """Different (vendor, material) pairs of a batch: parts of a distinct count that stay exact when batches overlap."""
-    return po_lines.select("po_id", "material_id").join(owner, "po_id").select("vendor_id", "material_id").distinct()
+def material_pairs(po_lines: DataFrame, owner: DataFrame | None = None) -> DataFrame:
+    """Different (vendor, material) pairs of a batch, or without ``owner`` (order, material): parts of a distinct count that stay exact when batches overlap."""
+    rows, key = _owned(po_lines.select("po_id", "material_id"), owner)
+    return rows.select(key, "material_id").distinct()
 
 
-def distinct_from_pairs(spark: SparkSession, store: str, key: str, name: str) -> DataFrame:
-    return spark.read.parquet(store).drop("batch").distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
+def distinct_from_pairs(spark: SparkSession, store: str, key: str, name: str, owner: DataFrame | None = None) -> DataFrame:
+    pairs = spark.read.parquet(store).drop("batch")
+    if owner is not None:
+        pairs = pairs.join(owner, "po_id").drop("po_id")
+    return pairs.distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
 def price_values(po_lines: DataFrame) -> DataFrame:
