@@ -38,6 +38,19 @@ def _case(mapping: dict[str, str], column: str, other: str) -> str:
     return f"case {column} {arms} else {other} end"
 
 
+def _vendor_terms(nation: str, sk: str) -> list[str]:
+    """What a vendor's number and nation decide."""
+    return [f"{_pick(COUNTRIES, f'{nation} % 10')} as country", f"{_pick(CURRENCIES, f'{nation} % 10')} as currency",
+            f"{_pick(TERMS, f'{sk} % 4')} as payment_terms", f"{_pick(['FOB', 'CIF', 'EXW'], f'{sk} % 3')} as incoterms"]
+
+
+def _with_vendor(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with columns of their vendor, as an inner join gives them: one row for each vendor row of the number, none without."""
+    names = ("country", "currency", "payment_terms", "incoterms")
+    found = rows.selectExpr("*", "inline(nations)")
+    return found.selectExpr("*", *[e for n, e in zip(names, _vendor_terms("nation", "sk")) if n in columns]).drop("nation")
+
+
 def _money(cents: str, precision: int = 14) -> str:
     return f"cast(({cents}) / 100 as decimal({precision},2))"
 
@@ -104,11 +117,7 @@ class PurchasingTables:
     def _vendor_keys(self) -> DataFrame:
         return self.raw("supplier").selectExpr(
             "s_suppkey as sk", "concat('VND-', lpad(s_suppkey, 6, '0')) as vendor_id", "s_name",
-            f"{_pick(COUNTRIES, 's_nationkey % 10')} as country",
-            f"{_pick(CURRENCIES, 's_nationkey % 10')} as currency",
-            f"{_pick(TERMS, 's_suppkey % 4')} as payment_terms",
-            f"{_pick(['FOB', 'CIF', 'EXW'], 's_suppkey % 3')} as incoterms",
-        )
+            *_vendor_terms("s_nationkey", "s_suppkey"))
 
     def _part_keys(self) -> DataFrame:
         return self.raw("part").selectExpr(
@@ -127,6 +136,8 @@ class PurchasingTables:
         rest = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_linenumber",
                 "l_returnflag", "l_linestatus"]
         head = ["ok", "sk", "od", "ck", "o_orderpriority"]
+        nations = self.raw("supplier").groupBy(F.col("s_suppkey").alias("sk")).agg(
+            F.collect_list(F.struct(F.col("s_nationkey").alias("nation"))).alias("nations"))
         lines = (
             self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumn("line", 10 * F.row_number().over(W.partitionBy("l_orderkey", "l_suppkey").orderBy(*rest)))
@@ -148,6 +159,7 @@ class PurchasingTables:
                 "total_c": F.sum(F.expr("qty * price_c")).over(by_order), "any_covered": F.bool_or("covered").over(by_order)})
             .select(*head, "pk", "qty", "price_c", "line", "pr_line", "first_receipt", "gross_c", "price_bad", "qty_bad",
                     "heads_order", "total_c", "any_covered")
+            .join(nations, "sk", "left")
         )
 
     @staticmethod
@@ -189,14 +201,13 @@ class PurchasingTables:
     def _bills(self) -> DataFrame:
         """One row per invoice, injected near-duplicates included; its sums stand on each of its lines."""
         sums = self["billed"].filter("line = 10").select(
-            "doc", "ok", "sk", "po_id", "vendor_id", "first_receipt", "gross_c", "price_bad", "qty_bad")
-        terms = self["vendor_keys"].select("sk", "payment_terms", "currency")
+            "doc", "ok", "sk", "po_id", "vendor_id", "first_receipt", "gross_c", "price_bad", "qty_bad", "nations")
         return (
-            sums.join(terms, "sk")
+            _with_vendor(sums, "payment_terms", "currency")
             .withColumn("copy", F.explode(F.expr("if(ok % 97 = 0, array('', 'D'), array(''))")))
             .selectExpr(
                 "doc", "ok", "sk", "po_id", "vendor_id", "payment_terms", "currency", "gross_c", "price_bad",
-                "qty_bad", "copy", "(gross_c * 7 + 50) div 100 as tax_c",
+                "qty_bad", "copy", "nations", "(gross_c * 7 + 50) div 100 as tax_c",
                 "gross_c + (gross_c * 7 + 50) div 100 as net_c",
                 "date_add(first_receipt, cast(1 + (ok + sk) % 5 + if(copy = 'D', 3, 0) as int)) as invoice_date",
                 "case payment_terms when 'NET60' then 60 when 'NET90' then 90 else 30 end as days",
@@ -405,11 +416,10 @@ class PurchasingTables:
 
     def _po_header(self):
         heads = self["moves"].filter("heads_order").select(
-            "po_id", "ok", "sk", "od", "vendor_id", "ck", "plant_id", "o_orderpriority", "received", "total_c",
+            "po_id", "ok", "sk", "od", "vendor_id", "ck", "plant_id", "o_orderpriority", "received", "total_c", "nations",
             F.col("any_covered").alias("covered"))
-        vendors = self["vendor_keys"].select("sk", "incoterms", "payment_terms", "currency")
         return (
-            heads.join(vendors, "sk").withColumn("maverick_flag", F.expr("not covered and (ok + sk) % 11 = 0"))
+            _with_vendor(heads, "incoterms", "payment_terms", "currency").withColumn("maverick_flag", F.expr("not covered and (ok + sk) % 11 = 0"))
             .selectExpr(
                 "po_id", "od as po_date", "vendor_id", "if(ck % 2 = 0, 'PO01', 'PO02') as purch_org_id",
                 "concat('PG0', sk % 6 + 1) as purch_group_id", "plant_id",
@@ -419,8 +429,7 @@ class PurchasingTables:
                 "if(maverick_flag, 'Maverick purchase, non-preferred vendor', null) as notes"))
 
     def _po_line_item(self):
-        vendors = self["vendor_keys"].select("sk", "currency")
-        return self["moves"].join(vendors, "sk").selectExpr(
+        return _with_vendor(self["moves"], "currency").selectExpr(
             "po_id", "line as po_line_number", "material_id", "qty as quantity", "'EA' as uom",
             f"{_money('price_c', 12)} as unit_price", f"{_money('qty * price_c')} as net_value",
             "currency as price_currency", "requested as requested_delivery_date",
@@ -471,8 +480,7 @@ class PurchasingTables:
             f"{_money('inv_h - accepted_h', 12)} as quantity_variance")
 
     def _payment(self):
-        vendors = self["vendor_keys"].select("sk", "country")
-        return self["paid"].join(vendors, "sk").selectExpr(
+        return _with_vendor(self["paid"], "country").selectExpr(
             "concat('PAY-', doc, copy) as payment_id", "date_add(invoice_date, wait) as payment_date", "vendor_id",
             "if(ok % 2 = 0, 'BANK_TRANSFER', 'WIRE') as payment_method", "currency",
             f"{_money('net_c - discount_c')} as total_amount",
