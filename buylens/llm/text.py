@@ -140,21 +140,21 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def ranges(pieces: pa.Array | np.ndarray) -> list[slice]:
-    """Runs of rows with at most BATCH_BYTES of bytes, a longer row alone."""
+def ranges(pieces: pa.Array | np.ndarray, most: int = BATCH_BYTES) -> list[slice]:
+    """Runs of rows with at most ``most`` bytes, a longer row alone."""
     out, lo = [], 0
     for i in range(1, len(pieces)):
-        if i - lo and pieces[i] - pieces[lo] > BATCH_BYTES and i - 1 > lo:
+        if i - lo and pieces[i] - pieces[lo] > most and i - 1 > lo:
             out.append(slice(lo, i - 1))
             lo = i - 1
     return [*out, slice(lo, len(pieces) - 1)] if len(pieces) > 1 else out
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds at most BATCH_BYTES of text, a longer text alone."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` holds at most ``most`` bytes of text, a longer text alone."""
     for batch in batches:
         bounds, _ = buffers(binary(batch.column(column)))
-        for part in ranges(bounds):
+        for part in ranges(bounds, most):
             yield batch.slice(part.start, part.stop - part.start)
 
 

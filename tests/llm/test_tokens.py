@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from buylens.llm import packing, queries, rans, shared, tokens
+from buylens.llm import packing, queries, rans, shared, text as tx, tokens
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -119,6 +119,15 @@ def test_packing(llm, docs, odd):
     assert all(sum(p.length for p in s.pieces) <= 4096 and [p.offset for p in s.pieces] == sorted(p.offset for p in s.pieces) for s in whole)
 
 
+def test_packing_keeps_one_worker_and_small_batches(odd):
+    placed = packing.with_crc(packing.packed(odd, PATH, 1))
+    assert placed._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    batch = pa.record_batch({"text": ["word " * 20_000] * 12 + [None, "", "long " * 400_000]})
+    parts = list(tx.small_batches(iter([batch]), most=packing.ENCODED_BYTES))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.column("text").nbytes <= packing.ENCODED_BYTES + 1000 for p in parts) and len(parts) > 3
+
+
 def check_blocks(rows, texts, groups=False):
     ids = [(doc, np.array([*library(text), 2], dtype="<u4")) for doc, text in texts]
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((doc, len(x), zlib.crc32(x.tobytes())) for doc, x in ids)
