@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import stored
-from .tokens import Encoder
+from .tokens import ENCODED_BYTES, Encoder
 
 CAPACITY = 4096
-#: Ids, places and parts of a text take some twenty times its space while a batch is encoded.
-ENCODED_BYTES = 1 << 19
 
 
 @dataclass

@@ -128,6 +128,28 @@ def test_packing_keeps_one_worker_and_small_batches(odd):
     assert all(p.num_rows == 1 or p.column("text").nbytes <= packing.ENCODED_BYTES + 1000 for p in parts) and len(parts) > 3
 
 
+def test_rans_encodes_small_batches(llm, monkeypatch):
+    sizes, real = [], rans.Encoder
+
+    class Watched(real):
+        def encode_all(self, texts):
+            sizes.append((len(texts), sum(len(x) for x in texts.to_pylist() if x)))
+            return super().encode_all(texts)
+
+    class Docs:  # gives the function that tasks run
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(rans, "Encoder", Watched)
+    texts = ["word " * 20_000] * 12 + [None, "", "long " * 400_000]
+    out = [r for b in rans.encoded(Docs(), PATH, 2, "<u2")(iter([pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})])) for r in b.to_pylist()]
+    assert all(n == 1 or size <= tokens.ENCODED_BYTES for n, size in sizes) and len(sizes) > 3
+    assert [(r["doc_id"], r["ids"]) for r in out[:-1]] == [(i, np.array([*library(x), 2], dtype="<u2").tobytes()) for i, x in enumerate(texts)]
+
+
 def check_blocks(rows, texts, groups=False):
     ids = [(doc, np.array([*library(text), 2], dtype="<u4")) for doc, text in texts]
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((doc, len(x), zlib.crc32(x.tobytes())) for doc, x in ids)
