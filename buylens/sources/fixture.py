@@ -61,6 +61,28 @@ WRITTEN = {"ordered", "requested", "stocked", "lanes", "agreements", "owners", "
            "purchasing_org", "purchasing_group", "plant"}
 
 
+#: Bytes of the order lines' files that one shuffle partition answers for, and of compressed shuffled rows that AQE puts into one task: a line
+#: grows some twenty times while it is sorted, and two sorts in a row hold it at once.
+PARTITION_BYTES, TASK_BYTES = 2 << 20, 16 << 20
+
+
+def dealt_by_size(spark: SparkSession, source_dir: str) -> None:
+    """As many shuffle partitions to begin with as the order lines need, so that a task's rows are sorted in memory; AQE puts small ones together again.
+
+    A session that asks for more partitions or smaller tasks keeps what it asks for. Small tables change nothing.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{source_dir}/lineitem.parquet")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return
+    wanted = -(-store.getContentSummary(path).getLength() // PARTITION_BYTES)
+    first, task = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if wanted > int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(first, str(wanted))
+        if spark.conf.get(task).rstrip("b") == str(64 << 20):
+            spark.conf.set(task, f"{TASK_BYTES}b")
+
+
 class PurchasingTables:
     """Mapping from table name to DataFrame; what is costly to derive is written once and then read back.
 
@@ -502,4 +524,5 @@ def purchasing_tables(spark: SparkSession, source_dir: str) -> PurchasingTables:
     key = (spark.sparkContext.applicationId, source_dir)
     if key not in _open:
         _open[key] = PurchasingTables(tune(spark), source_dir)
+        dealt_by_size(spark, source_dir)
     return _open[key]

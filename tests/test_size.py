@@ -8,6 +8,7 @@ from buylens.graph import queries as g
 from buylens.graph import views
 from buylens.ml import models, splits
 from buylens.session import cut_lineage, shared_folder
+from buylens.sources import fixture
 from buylens.sources.fixture import PurchasingTables
 from buylens.streaming import partials
 
@@ -83,3 +84,24 @@ def test_search_scores_with_models_that_were_read_back(spark, monkeypatch):
     search = models.Search(draws=2, folds=2, repeats=1, halved=(1, 1), parallelism=2)
     trials = models.random_search(models.logistic(["x"], rounds=5), {"regParam": ("log", 1e-4, 1e-2)}, rows, "key", search)[1]
     assert trials.count() == 2 and len(set(read)) == 4  # two on the first fold, one on the second, one on all rows
+
+
+def test_large_inputs_get_more_shuffle_partitions(spark, tmp_path, monkeypatch):
+    first, task = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(task)
+    spark.range(1000).selectExpr("id as l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    try:
+        fixture.purchasing_tables(spark, f"{tmp_path}/")
+        assert spark.conf.get(first, None) is None  # small files change nothing
+        monkeypatch.setattr(fixture, "PARTITION_BYTES", 100)
+        fixture.purchasing_tables(spark, str(tmp_path))
+        wanted = int(spark.conf.get(first))
+        assert wanted > 10 and spark.conf.get(task) == f"{fixture.TASK_BYTES}b"
+        counted = spark.range(1000).groupBy((F.col("id") % 300).alias("k")).count()
+        assert f", {wanted})" in plan(counted)
+        spark.conf.set(first, wanted + 5)
+        fixture.dealt_by_size(spark, str(tmp_path))
+        assert int(spark.conf.get(first)) == wanted + 5
+    finally:
+        spark.conf.unset(first)
+        spark.conf.set(task, old)
