@@ -7,6 +7,7 @@ does not depend on the order of additions.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -92,7 +93,8 @@ class PurchasingTables:
     def __init__(self, spark: SparkSession, source_dir: str, materialize: bool = True):
         self.spark, self.source_dir = spark, source_dir.rstrip("/")
         folder = shared_folder(spark) if materialize else None
-        tag = hashlib.sha1(f"{spark.sparkContext.applicationId}{self.source_dir}".encode()).hexdigest()[:12]
+        # Each mapping writes in a folder of its own: another one of the same session may still read its files.
+        tag = hashlib.sha1(f"{spark.sparkContext.applicationId}{self.source_dir}{uuid.uuid4().hex}".encode()).hexdigest()[:12]
         self._folder = f"{folder}/purchasing-{tag}" if folder else None
         self._frames: dict[str, DataFrame] = {}
         self.kept: set[str] = set()  # derived tables written beside the others
@@ -384,12 +386,12 @@ class PurchasingTables:
             f"if(sk % 2 = 1, {_money('target_c * (pk % 100) div 100', 12)}, null) as consumed_value")
 
     def _lanes(self):
-        lanes = self["ordered"].selectExpr("pk", "sk", "ck % 5 as plant").distinct()
-        return lanes.withColumn("preferred_rank", F.row_number().over(W.partitionBy("pk", "plant").orderBy("sk")))
+        lanes = self["ordered"].selectExpr("pk", "sk", "concat('PL0', ck % 5) as plant_id").distinct()
+        return lanes.withColumn("preferred_rank", F.row_number().over(W.partitionBy("pk", "plant_id").orderBy("sk")))
 
     def _source_list(self):
         return self["lanes"].selectExpr(
-            "concat('MAT-', lpad(pk, 8, '0')) as material_id", "concat('PL0', plant) as plant_id",
+            "concat('MAT-', lpad(pk, 8, '0')) as material_id", "plant_id",
             "concat('VND-', lpad(sk, 6, '0')) as vendor_id", "preferred_rank",
             "(pk + sk) % 3 <> 0 and sk % 20 <> 3 as contract_covered_flag",
             "if(sk % 20 = 3, 'CONDITIONAL', 'APPROVED') as approval_status",
