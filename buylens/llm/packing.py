@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import stored
-from .tokens import ENCODED_BYTES, Encoder
+from .tokens import ENCODED_BYTES, Encoder, shared_encoder
 
 CAPACITY = 4096
 
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
                         ("part", pa.int32()), ("rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(Encoder, path), TaskContext.get().partitionId()
         ranks, end = defaultdict(int), np.array([end_id], dtype="<u4")
         for batch in tx.small_batches(batches, most=ENCODED_BYTES):
             rows = []

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from . import text as tx
 from .shared import folder, stored
-from .tokens import ENCODED_BYTES, Encoder
+from .tokens import ENCODED_BYTES, Encoder, shared_encoder
 
 BITS = 20
 LANES = 1024
@@ -151,7 +151,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, counts = Encoder(path), np.array([end_id], dtype="<u4"), np.zeros(0, dtype=np.int64)
+        encoder, end, counts = shared_encoder(Encoder, path), np.array([end_id], dtype="<u4"), np.zeros(0, dtype=np.int64)
         for batch in tx.small_batches(batches, most=ENCODED_BYTES):
             ids = [np.concatenate([x, end]).astype(kind) for x in encoder.encode_all(batch.column("text"))]
             if ids:

@@ -196,3 +196,13 @@ def test_damage_is_noticed():
 @given(st.binary(max_size=80), st.binary(max_size=80))
 def test_checksums_combine(a, b):
     assert rans.combined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_tasks_of_a_worker_share_one_encoder(monkeypatch):
+    made, init = [], tokens.Encoder.__init__
+    monkeypatch.setattr(tokens.Encoder, "__init__", lambda self, path: made.append(path) or init(self, path))
+    tokens.shared_encoder.cache_clear()
+    first = tokens.shared_encoder(tokens.Encoder, PATH)
+    met = first.encode("Seldom seen words, twice")
+    assert tokens.shared_encoder(tokens.Encoder, PATH) is first and made == [PATH] and "seldom" in first.words
+    assert first.encode("Seldom seen words, twice") == met == tokens.Encoder(PATH).encode("Seldom seen words, twice")
