@@ -14,6 +14,7 @@ from buylens.operators.contracts import in_force
 from buylens.operators.ranking import ranks_within
 from buylens.operators.statistics import group_quantiles
 from buylens.operators.windows import last_date_before, sequence
+from buylens.session import splittable
 
 Tables = Mapping[str, DataFrame]
 
@@ -119,8 +120,10 @@ def uc09_features(t: Tables) -> DataFrame:
     lines = (t["gr_line_item"].select("gr_id", "gr_line_number", "po_id", "po_line_number", "material_id", "quantity_rejected")
              .join(t["gr_header"].select("gr_id", "gr_date", "plant_id"), "gr_id")
              .join(t["po_line_item"].select("po_id", "po_line_number", "quantity"), ["po_id", "po_line_number"])
-             .join(t["po_header"].select("po_id", "vendor_id"), "po_id"))
-    lines = sequence(lines, ["vendor_id"], "gr_date", ["gr_id", "gr_line_number"], "uc09_gr_sequence_for_vendor")
+             .join(t["po_header"].select("po_id", "vendor_id"), "po_id")
+             .select("gr_id", "gr_line_number", "gr_date", "vendor_id", "material_id", "plant_id", "quantity", "quantity_rejected"))
+    # The sequence and the last rejection read the joined lines three times, each time other columns: written out, they are joined once.
+    lines = sequence(splittable(lines), ["vendor_id"], "gr_date", ["gr_id", "gr_line_number"], "uc09_gr_sequence_for_vendor")
     lines = last_date_before(lines, ["vendor_id"], "gr_date", F.col("quantity_rejected") > 0, "last_rejection")
     quality = F.col("quality_score")
     return (lines.join(t["vendor_master"].select("vendor_id", "quality_score"), "vendor_id")

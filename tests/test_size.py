@@ -11,6 +11,7 @@ from buylens.session import cut_lineage, shared_folder
 from buylens.sources import fixture
 from buylens.sources.fixture import PurchasingTables
 from buylens.streaming import partials
+from buylens.usecases import vendors
 
 
 def plan(df):
@@ -86,6 +87,13 @@ def test_search_scores_with_models_that_were_read_back(spark, monkeypatch):
     assert trials.count() == 2 and len(set(read)) == 4  # two on the first fold, one on the second, one on all rows
 
 
+def test_receipt_lines_are_joined_once(t):
+    got = vendors.uc09_features(t)
+    files = got.inputFiles()
+    assert any("/cut/" in f for f in files) and not any("/ordered/" in f for f in files)
+    assert got.count() == t["gr_line_item"].count()
+
+
 def test_large_inputs_get_more_shuffle_partitions(spark, tmp_path, monkeypatch):
     first, task = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     old = spark.conf.get(task)
