@@ -1,12 +1,15 @@
 """What the queries write and move: no more than the work needs."""
 
 import os
+from dataclasses import replace
 
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import functions as F
 
 from buylens.graph import queries as g
 from buylens.graph import views
 from buylens.ml import models, splits
+from buylens.plans import ml
 from buylens.session import cut_lineage, shared_folder
 from buylens.sources import fixture
 from buylens.sources.fixture import PurchasingTables
@@ -87,6 +90,31 @@ def test_search_scores_with_models_that_were_read_back(spark, monkeypatch):
     assert trials.count() == 2 and len(set(read)) == 4  # two on the first fold, one on the second, one on all rows
 
 
+def test_registered_search_judges_every_draw_on_all_folds(spark, t, monkeypatch):
+    asked = []
+    rows = spark.createDataFrame([(str(i), float(i % 7), float(i % 7 > 3)) for i in range(60)], "key string, x double, label double")
+
+    def small(pipeline, space, df, key, search):
+        asked.append((search.draws, search.folds * search.repeats, pipeline.getStages()[-1].getMaxIter()))
+        fewer = replace(search, draws=2, folds=2, halved=tuple(2 if n >= search.draws else n for n in search.halved))
+        return real(models.logistic(["x"], rounds=5), {"regParam": ("log", 1e-4, 1e-2)}, rows, key, fewer)
+
+    real = models.random_search
+    monkeypatch.setattr(models, "random_search", small)
+    monkeypatch.setattr(t, "kept", t.kept - {"trials_50"})
+    trials = ml.QUERIES["m05_random_search"](t).collect()
+    assert asked == [(50, 15, 1000)] and [r.folds for r in trials] == [6, 6] and sum(r.best for r in trials) == 1
+
+
+def test_stages_before_the_last_are_fitted_once_a_fold(spark, monkeypatch):
+    rows = spark.createDataFrame([(str(i), float(i % 7), float(i % 7 > 3)) for i in range(60)], "key string, x double, label double")
+    fits, fit = [], StandardScaler._fit
+    monkeypatch.setattr(StandardScaler, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    search = models.Search(draws=3, folds=2, repeats=1, halved=(3, 3), parallelism=2)
+    trials = models.random_search(models.logistic(["x"], rounds=5), {"regParam": ("log", 1e-4, 1e-2)}, rows, "key", search)[1]
+    assert [r.folds for r in trials.collect()] == [2, 2, 2] and len(fits) == 3  # one a fold, one for the refitted model
+
+
 def test_receipt_lines_are_joined_once(t):
     got = vendors.uc09_features(t)
     files = got.inputFiles()
