@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from buylens.graph import queries as g
 from buylens.graph import views
 from buylens.ml import models, splits
+from buylens.features import invoice, vendor
 from buylens.plans import ml
 from buylens.session import cut_lineage, shared_folder
 from buylens.sources import fixture
 from buylens.sources.fixture import PurchasingTables
 from buylens.streaming import partials
-from buylens.usecases import vendors
+from buylens.usecases import finance, invoice_match, masterdata, vendors
 
 
 def plan(df):
@@ -141,3 +142,15 @@ def test_large_inputs_get_more_shuffle_partitions(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset(first)
         spark.conf.set(task, old)
+
+
+def test_only_variants_that_pass_the_sieve_are_written(spark, monkeypatch):
+    numbers = ["AB-1001", "AB-1002", "AB-100", "AB-2001", "ZZ-9", "QQQQQQ", "AB-1001"]
+    rows = spark.createDataFrame([(f"I{i}", "V1" if i < 6 else "V2", x) for i, x in enumerate(numbers)], "invoice_id string, vendor_id string, vendor_invoice_number string")
+    rows = rows.withColumn("invoice_date", F.expr("date'2000-01-01'"))
+    for bits in (27, 3):  # with few bits nearly all pass, and the links stay the same
+        monkeypatch.setattr(finance, "SIEVE_BITS", bits)
+        links = finance.number_links(rows)
+        assert any("/cut/" in f for f in links.inputFiles())
+        got = {(r.first_invoice_id, r.invoice_id) for r in links.collect()}
+        assert {("I0", "I1"), ("I0", "I2"), ("I0", "I3"), ("I1", "I2")} >= got >= {("I0", "I1"), ("I0", "I3"), ("I1", "I2")}
