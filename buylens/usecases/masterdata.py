@@ -5,22 +5,39 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from buylens.functions.columns import CRITICALITY, flag, ordinal, tier_value
 from buylens.operators.confidentiality import required_tiers
 from buylens.operators.contracts import active_items
 from buylens.operators.statistics import FIVE, group_quantiles
+from buylens.session import splittable
 
 Tables = Mapping[str, DataFrame]
 
 
+def usual_categories(pairs: DataFrame, vendor_categories: DataFrame) -> DataFrame:
+    """The category that most vendors of a material have, the least name of equally common ones.
+
+    A vendor's categories are bits of numbered words, 64 categories each, and a second set where a category is listed again. Pairs of material and vendor
+    move with those to the material, where they are counted: the many triples of material, vendor and category never move.
+    """
+    codes = vendor_categories.select("category_id").distinct().withColumn("code", F.row_number().over(W.orderBy("category_id")))  # one row per category
+    listed = vendor_categories.join(codes, vendor_categories["category_id"].eqNullSafe(codes["category_id"])).select("vendor_id", "code")
+    words = listed.withColumn("time", F.row_number().over(W.partitionBy("vendor_id", "code").orderBy("code"))).groupBy(
+        "vendor_id", "time", F.expr("code div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, code % 64)")).alias("bits"))
+    sets = splittable(words.groupBy("vendor_id").agg(F.collect_list(F.struct("word", "bits")).alias("words")))
+    votes = pairs.join(sets, "vendor_id").select("material_id", "words").repartition("material_id").select("material_id", F.inline("words")).select(
+        "material_id", F.explode(F.expr("transform(filter(sequence(0, 63), i -> (shiftright(bits, i) & 1) = 1), i -> word * 64 + i)")).alias("code"))
+    most = votes.groupBy("material_id", "code").agg(F.count(F.lit(1)).alias("n")).groupBy("material_id").agg(
+        F.min_by("code", F.struct((-F.col("n")).alias("n"), "code")).alias("code"))
+    return most.join(codes, "code").select("material_id", F.col("category_id").alias("uc12_vendor_categories"))
+
+
 def uc12_features(t: Tables, cost_cuts: tuple[int, ...] = (4600, 4700, 4800, 4900)) -> DataFrame:
     """Category by lookup with type, cost bin, unit and the usual category of the vendors."""
-    votes = t["source_list"].select("material_id", "vendor_id").distinct().join(
-        t["vendor_category"], "vendor_id").groupBy("material_id", "category_id").agg(F.count(F.lit(1)).alias("n"))
-    usual = votes.groupBy("material_id").agg(
-        F.min_by("category_id", F.struct((-F.col("n")).alias("n"), "category_id")).alias("uc12_vendor_categories"))
+    usual = usual_categories(t["source_list"].select("material_id", "vendor_id").distinct(), t["vendor_category"])
     bin_no = sum((flag(F.col("standard_cost") >= c) for c in cost_cuts), F.lit(0))
     return t["material_master"].join(usual, "material_id", "left").select(
         "material_id", "category_id", F.col("material_type").alias("uc12_material_type"), bin_no.alias("uc12_standard_cost_range"),

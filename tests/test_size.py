@@ -154,3 +154,16 @@ def test_only_variants_that_pass_the_sieve_are_written(spark, monkeypatch):
         assert any("/cut/" in f for f in links.inputFiles())
         got = {(r.first_invoice_id, r.invoice_id) for r in links.collect()}
         assert {("I0", "I1"), ("I0", "I2"), ("I0", "I3"), ("I1", "I2")} >= got >= {("I0", "I1"), ("I0", "I3"), ("I1", "I2")}
+
+
+def test_usual_categories_count_on_the_material(spark):
+    listed = spark.createDataFrame([(f"V{v}", f"C{c:03d}") for v in range(12) for c in range(130) if (v + c) % 5] + [("V1", "C000"), ("V1", "C000"), ("V2", None)],
+                                   "vendor_id string, category_id string")
+    pairs = spark.createDataFrame([(f"M{m}", f"V{v}") for m in range(9) for v in range(12) if (m * v) % 4 != 1] + [(None, "V1"), ("M0", None), ("M99", "V99")],
+                                  "material_id string, vendor_id string")
+    votes = pairs.join(listed, "vendor_id").groupBy("material_id", "category_id").count()
+    want = votes.groupBy("material_id").agg(F.min_by("category_id", F.struct(-F.col("count"), "category_id")).alias("uc12_vendor_categories"))
+    got = masterdata.usual_categories(pairs, listed)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    text = plan(got)
+    assert "hashpartitioning(material_id" in text and not any("code" in x.split(")")[0] and "material_id" in x.split(")")[0] for x in text.split("hashpartitioning(")[1:])
