@@ -342,7 +342,7 @@ class PurchasingTables:
             "case when sk % 10 in (0, 1) then concat('AL-', sk div 2) end as alias_group")
 
     def _vendor_category(self):
-        return (self["ordered"].select("pk", "sk").distinct().join(self["part_keys"].select("pk", "l1", "brand"), "pk")
+        return (self["ordered"].select("pk", "sk").join(self["part_keys"].select("pk", "l1", "brand"), "pk")
                 .selectExpr("concat('VND-', lpad(sk, 6, '0')) as vendor_id", "concat_ws('-', l1, brand) as category_id").distinct())
 
     def _vendor_address(self):

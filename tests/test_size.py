@@ -167,3 +167,25 @@ def test_usual_categories_count_on_the_material(spark):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     text = plan(got)
     assert "hashpartitioning(material_id" in text and not any("code" in x.split(")")[0] and "material_id" in x.split(")")[0] for x in text.split("hashpartitioning(")[1:])
+
+
+def relations(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_order_lines_are_joined_once_for_the_vendor_performance(t):
+    assert relations(vendor.vendor_performance(t["po_header"], t["po_line_item"], t["gr_line_item"])) == 5
+
+
+def test_own_shares_of_invoices_are_written_once(t):
+    got = invoice.invoice_behavior_loo(t["invoice_header"], t["invoice_line_item"])
+    assert all("/cut/" in f for f in got.inputFiles()) and got.count() == t["invoice_header"].count()
+
+
+def test_wide_rows_carry_encoded_columns(t):
+    plain, encoded = invoice_match.uc02_base(t), invoice_match.uc02_base(t, encoded=True)
+    added = [c for c in encoded.columns if c not in plain.columns]
+    assert added and encoded.columns[:len(plain.columns)] == plain.columns
+    want = invoice_match.match_labels(invoice_match.uc02_features(plain)).select("invoice_id", "invoice_line_number", *added)
+    got = encoded.select("invoice_id", "invoice_line_number", *added)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
