@@ -10,7 +10,7 @@ from buylens.graph import queries as g
 from buylens.graph import views
 from buylens.ml import models, splits
 from buylens.features import invoice, vendor
-from buylens.plans import ml
+from buylens.plans import ml, usecases
 from buylens.session import cut_lineage, shared_folder
 from buylens.sources import fixture
 from buylens.sources.fixture import PurchasingTables
@@ -189,3 +189,8 @@ def test_wide_rows_carry_encoded_columns(t):
     want = invoice_match.match_labels(invoice_match.uc02_features(plain)).select("invoice_id", "invoice_line_number", *added)
     got = encoded.select("invoice_id", "invoice_line_number", *added)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_vendor_sequence_numbers_rows_that_were_written_once(t):
+    got = usecases.QUERIES["u204_vendor_invoice_seq"](t)
+    assert all("/cut/" in f for f in got.inputFiles()) and got.count() == t["invoice_line_item"].count()
